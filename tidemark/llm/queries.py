@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, shard
+from . import decontaminate, mixing, quality, shard
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5(read(spark, sf_dir, "documents"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.op7(read(spark, sf_dir, "documents"))
 
@@ -20,5 +24,5 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op7_shard, op9_mix)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_quality, op7_shard, op9_mix)}
 SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op9_mix": mixing.OP9_SQL}
