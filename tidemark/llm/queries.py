@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, shard
+from . import chat, decontaminate, mixing, quality, shard, url_filter, warc
 from .common import read
 
 
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op2(read(spark, sf_dir, "conversations"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op4(spark, read(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op5(read(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op6(read(spark, sf_dir, "pages"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.op7(read(spark, sf_dir, "documents"))
 
@@ -24,5 +36,5 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_quality, op7_shard, op9_mix)}
-SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op9_mix": mixing.OP9_SQL}
+QUERIES = {f.__name__: f for f in (op2_preference, op3_decontaminate, op4_warc, op5_quality, op6_url_filter, op7_shard, op9_mix)}
+SQL = {"op2_preference": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op9_mix": mixing.OP9_SQL}
