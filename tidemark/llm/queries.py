@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality, shard, url_filter, warc
+from . import chat, decontaminate, mixing, near_dedup, quality, shard, url_filter, warc
 from .common import read
 
 
@@ -32,9 +32,13 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.op7(read(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.op8(read(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_preference, op3_decontaminate, op4_warc, op5_quality, op6_url_filter, op7_shard, op9_mix)}
-SQL = {"op2_preference": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op9_mix": mixing.OP9_SQL}
+QUERIES = {f.__name__: f for f in (op2_preference, op3_decontaminate, op4_warc, op5_quality, op6_url_filter, op7_shard, op8_near_dedup, op9_mix)}
+SQL = {"op2_preference": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op8_near_dedup": near_dedup.OP8_SQL, "op9_mix": mixing.OP9_SQL}

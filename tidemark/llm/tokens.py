@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 256 * 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -122,7 +123,7 @@ def split_words(texts: pa.Array, word: np.ndarray = SPACE, fold: bool = False) -
 def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about CHUNK bytes of text each."""
     col = batch.column(text)
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)) if len(col) else np.empty(0, int)
+    size = np.asarray(pc.fill_null(pc.binary_length(col), 0)) if len(col) else np.empty(0, int)
     a = total = 0
     for i, n in enumerate(size):
         if total and total + n > CHUNK:
