@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, near_dedup, quality, shard, url_filter, warc
+from . import chat, decontaminate, mixing, near_dedup, quality, shard, substring_dedup, url_filter, warc
 from .common import read
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op1(read(spark, sf_dir, "documents"))
+
+
 def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op2(read(spark, sf_dir, "conversations"))
 
@@ -40,5 +44,5 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_preference, op3_decontaminate, op4_warc, op5_quality, op6_url_filter, op7_shard, op8_near_dedup, op9_mix)}
-SQL = {"op2_preference": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op8_near_dedup": near_dedup.OP8_SQL, "op9_mix": mixing.OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_preference, op3_decontaminate, op4_warc, op5_quality, op6_url_filter, op7_shard, op8_near_dedup, op9_mix)}
+SQL = {"op1_substring": substring_dedup.OP1_SQL, "op2_preference": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op8_near_dedup": near_dedup.OP8_SQL, "op9_mix": mixing.OP9_SQL}
