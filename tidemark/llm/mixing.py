@@ -76,6 +76,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def emit(docs: DataFrame, id_col: str = "doc_id", **rule) -> DataFrame:
+    """docs, all columns, each row as often as the mix takes it. Copies of one id are counted over its rows; rows with a null id stay once."""
+    copies = mix(docs, id_col, **rule).groupBy(F.col(id_col).alias("__id")).agg((F.sum("copies") / F.count(F.lit(1))).alias("__c"))
+    joined = docs.join(copies.where(F.col("__id").isNotNull()), F.col(id_col) == F.col("__id"), "left")
+    times = F.coalesce(F.ceil("__c"), F.lit(1)).cast("int")
+    return joined.withColumn("__t", F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.expr("cast(array() as array<int>)"))).withColumn("__t", F.explode("__t")).select(*docs.columns)
+
+
 def op9(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 

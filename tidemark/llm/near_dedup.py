@@ -14,9 +14,10 @@ Groups of any size go through without their pairs being listed:
    and components are formed.
 3. Buckets that still hold several components are searched within a task: registers are compared with
    all others of the bucket, but only a spanning forest of likely links between different components is
-   emitted; links are verified, failed pairs remembered, and this repeats until no bucket proposes a
-   pair. A bucket over `block` members is dealt as pairs of blocks to several tasks. After `rounds` rounds
-   all likely pairs that are left are verified at once, so that the loop ends with the exact result.
+   emitted; links are verified, failed pairs remembered. Where proposals failed, the next rounds propose
+   up to 16 and then 256 likely partners of each member, and the last round all that are left, so that the
+   loop ends with the exact result. A bucket over `block` members is dealt as pairs of blocks to several
+   tasks.
 
 Two texts at the threshold miss every bucket with a probability under 1e-6 at 0.85 and 1e-4 at 0.8.
 """
@@ -73,7 +74,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def likely(d_less: np.ndarray, d_more: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, threshold: float, slack: float = 25.0) -> np.ndarray:
+def likely(d_less: np.ndarray, d_more: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, threshold: float, slack: float = 20.0) -> np.ndarray:
     """Whether the joint likelihood of sets of n_u and n_v elements leaves a similarity >= threshold open.
 
     d_less, d_more: how many registers are smaller and greater in the first sketch. False if the sizes
@@ -146,8 +147,8 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def _propose_in(rows: dict, threshold: float, everything: bool) -> list[tuple[int, int]]:
-    """Likely links between different components of one bucket: a spanning forest of them, or all."""
+def _propose_in(rows: dict, threshold: float, most: int | None) -> list[tuple[int, int]]:
+    """Likely links between different components of one bucket: a spanning forest of them (most None), or up to `most` of each member."""
     order = np.lexsort((rows["rep"], rows["label"]))
     rep, label, n = rows["rep"][order], rows["label"][order], rows["n"][order]
     side, failed = rows["side"][order], [rows["failed"][i] for i in order]
@@ -166,18 +167,17 @@ def _propose_in(rows: dict, threshold: float, everything: bool) -> list[tuple[in
         if not len(j):
             continue
         j = j[likely((s[i] < s[j]).sum(1), (s[i] > s[j]).sum(1), np.full(len(j), n[i]), n[j], threshold)]
-        bad = set(failed[i] or ())
-        for k in j.tolist():
-            if int(rep[k]) in bad:
-                continue
+        if failed[i]:
+            j = j[~np.isin(rep[j], failed[i])]
+        for k in j.tolist() if most is None else j[:most].tolist():
             x, y = _find(parent, i), _find(parent, k)
-            if everything or x != y:
+            if most is not None or x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((int(max(rep[i], rep[k])), int(min(rep[i], rep[k]))))
     return out
 
 
-def _propose(threshold: float, everything: bool):
+def _propose(threshold: float, most: int | None):
     """Over rows sorted by (key, lo, hi): the proposals of each bucket or pair of its blocks."""
     cols = ("rep", "label", "n", "side", "sketch", "failed")
 
@@ -188,7 +188,7 @@ def _propose(threshold: float, everything: bool):
             if len(held) > 1:
                 rows = {c: [r[c] for r in held] for c in cols}
                 rows |= {c: np.array(rows[c]) for c in ("rep", "label", "n", "side")} | {"split": at[1] != at[2]}
-                return _propose_in(rows, threshold, everything)
+                return _propose_in(rows, threshold, most)
             return []
 
         def batch_of(pairs):
@@ -225,7 +225,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
     """One row (id, n_shingles, component_id) per row of docs.
 
     Linked are texts of which 100 * |intersection| >= percent * |union| holds for the sets of distinct
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     stars = materialise(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen(threshold), "a long, b long"))
     tested = verified(stars)
     labels = components(tested.where("linked"))
-    for k in range(rounds + 1):
+    for most in (None, 16, 256, 1 << 62):
         marked = members.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
         parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         open_ = open_.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
         full = open_.join(sketches, "rep").join(failed, "rep", "left").select("key", "lo", "hi", "rep", "label", "n", "side", "sketch", "failed")
         full = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        pairs = materialise(full.mapInArrow(_propose(threshold, k == rounds), "a long, b long").distinct())
+        pairs = materialise(full.mapInArrow(_propose(threshold, most), "a long, b long").distinct())
         if pairs.isEmpty():
             break
         fresh = verified(pairs)

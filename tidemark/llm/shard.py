@@ -38,7 +38,7 @@ def place(vectors: np.ndarray, n_shards: int) -> np.ndarray:
     return out
 
 
-def pack(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cells: int = 8192, fine: int = 64, slot_rows: int = 10_000) -> DataFrame:
+def pack(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cells: int = 8192, fine: int = 64, slot_rows: int = 10_000, with_key: bool = False) -> DataFrame:
     """One row (id, size, tokens, text_crc32, shard, slot) per row of docs.
 
     size is the text's UTF-8 bytes plus 1. A null text counts as empty. Slots are gapless from 0 in
@@ -67,7 +67,23 @@ def pack(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
               .withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).drop("n"))
     rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("id", "key"))
     return (placed.withColumn("rank", rank).join(before, ["shard", "cell"])
-            .select(F.col("id").alias(id_col), "size", "tokens", "text_crc32", "shard", (F.col("base") + F.col("rank") - 1).cast("long").alias("slot")))
+            .select(F.col("id").alias(id_col), "size", "tokens", "text_crc32", *["key"] * with_key, "shard", (F.col("base") + F.col("rank") - 1).cast("long").alias("slot")))
+
+
+def assign(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """docs, all columns, with the columns shard and slot.
+
+    Rows of equal id and text share their places one each. Columns of docs that are named shard or slot
+    are replaced.
+    """
+    named = docs.drop("shard", "slot")
+    key = [F.col(id_col).alias("__id"), F.xxhash64(text_or_empty(text_col)).alias("__key")]
+    turn = lambda by: F.row_number().over(Window.partitionBy("__id", "__key").orderBy(by))
+    places = pack(docs, n_shards, id_col, text_col, with_key=True, **rule)
+    places = places.select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), "shard", "slot").withColumn("__n", turn("slot"))
+    rows = named.select("*", *key).withColumn("__n", turn(F.lit(1)))
+    same = [F.col("r.__id").eqNullSafe(F.col("p.__id")), F.col("r.__key") == F.col("p.__key"), F.col("r.__n") == F.col("p.__n")]
+    return rows.alias("r").join(places.alias("p"), same[0] & same[1] & same[2]).select(*[F.col(f"r.`{c}`") for c in named.columns], "p.shard", "p.slot")
 
 
 def op7(docs: DataFrame) -> DataFrame:
