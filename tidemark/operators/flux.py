@@ -75,12 +75,12 @@ def partition_nee(df: DataFrame, keys: list[str], fc: str, ta: str, rg: str, t:
         e0 = fit_e0(near, keys, fc, ta, F.array_distinct(grid))
     first = df.groupBy(*keys).agg(F.min(t).alias("__t0"))
     block = F.floor((F.col(t) - F.col("__t0")) / (7 * 24))
-    df = df.join(first, keys).withColumn("__b", block)
+    df = df.join(first, keys).withColumn("blk", block)
     g = _g(F.col(ta), F.col("e0"))
-    week = night.join(first, keys).join(e0, keys).groupBy(*keys, block.alias("__b")).agg(F.when(F.count(F.lit(1)) >= 8, clip(F.sum(F.col(fc) * g) / F.sum(g * g), 0.0, 60.0)).alias("rref"))
-    weeks = df.select(*keys, "__b").distinct().join(week, [*keys, "__b"], "left")
-    weeks = fill_both(interpolate(weeks, keys, "rref", "__i", t="__b"), keys, "__i", "rref_f", t="__b").select(*keys, "__b", F.col("rref_f").alias("rref"))
-    out = df.join(weeks, [*keys, "__b"], "left").join(e0, keys, "left")
+    week = night.join(first, keys).join(e0, keys).groupBy(*keys, block.alias("blk")).agg(F.when(F.count(F.lit(1)) >= 8, clip(F.sum(F.col(fc) * g) / F.sum(g * g), 0.0, 60.0)).alias("rref"))
+    weeks = df.select(*keys, "blk").distinct().join(week, [*keys, "blk"], "left")
+    weeks = fill_both(interpolate(weeks, keys, "rref", "__i", t="blk"), keys, "__i", "rref_f", t="blk").select(*keys, "blk", F.col("rref_f").alias("rref"))
+    out = df.join(weeks, [*keys, "blk"], "left").join(e0, keys, "left")
     out = out.withColumn("reco", F.col("rref") * _g(F.col(ta), F.col("e0")))
     gpp = F.when(F.col("reco").isNotNull() | F.col("e0").isNotNull(), F.when(F.col(rg) < 20, 0.0).otherwise(F.when(F.col(fc).isNotNull() & F.col("reco").isNotNull(), F.greatest(F.col("reco") - F.col(fc), F.lit(0.0)))))
-    return out.withColumn("gpp", gpp).drop("__t0", "__b", "rref", "e0")
+    return out.withColumn("gpp", gpp).drop("__t0", "blk", "rref", "e0")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16  # steps of a series that one task windows over
 
 
-def hours(ts: Column) -> Column:
+def hours(ts: Column | str) -> Column:
     """Whole hours since the epoch of a timestamp without zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
     return F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")).cast("long")
 
 
