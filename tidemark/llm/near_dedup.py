@@ -10,15 +10,15 @@ the threshold is verified on the full shingle sets.
 Groups of any size go through without their pairs being listed:
 
 1. Texts of equal sets form a class; only its smallest id goes on.
-2. Each bucket member is paired with the bucket's smallest id (found by a map-side aggregate), verified,
-   and components are formed.
-3. Buckets that still hold several components are searched within a task: registers are compared with
-   all others of the bucket, but only a spanning forest of likely links between different components is
-   emitted; links are verified, failed pairs remembered. Where proposals failed, the next rounds propose
-   up to 16 and then 256 likely partners of each member, and the last round all that are left, so that the
-   loop ends with the exact result. A bucket over `block` members is dealt as pairs of blocks to several
-   tasks.
-
+2. Each bucket member is paired with the bucket's smallest id, its hub (found by a map-side aggregate);
+   likely pairs are verified, and components are formed.
+3. Buckets whose other members still lie in several components are searched within a task: an inverted
+   index over the members' shingles gives the exact intersections of each member outside the largest
+   component with all others, and only a spanning forest of links between different components is
+   emitted. A bucket with over `block` shingles is dealt as pairs of blocks to several tasks. Buckets with
+   the same members are searched once.
+
+So every pair of texts that shares a bucket is decided: by its hub, by a component it is in, or exactly.
 Two texts at the threshold miss every bucket with a probability under 1e-6 at 0.85 and 1e-4 at 0.8.
 """
 
@@ -147,63 +147,56 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def _propose_in(rows: dict, threshold: float, most: int | None) -> list[tuple[int, int]]:
-    """Likely links between different components of one bucket: a spanning forest of them (most None), or up to `most` of each member."""
-    order = np.lexsort((rows["rep"], rows["label"]))
-    rep, label, n = rows["rep"][order], rows["label"][order], rows["n"][order]
-    side, failed = rows["side"][order], [rows["failed"][i] for i in order]
-    s = np.frombuffer(b"".join(rows["sketch"][i] for i in order), np.uint16).reshape(-1, M)
-    parent = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
-    split = rows["split"]
+def _links_in(rows: list[dict], percent: int, split: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links between different components of a bucket, or between two blocks of it."""
+    sets = shingle_sets(pa.array([r["text"] for r in rows], pa.string()))
+    rep, side = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "side"))
+    label = np.unique([r["label"] for r in rows], return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    start = np.concatenate([[0], np.cumsum(size)])
+    term = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(term, kind="stable")
+    holder = np.repeat(np.arange(len(rows)), size)[order]
+    at = np.concatenate([[0], np.cumsum(np.bincount(term))])
+    parent = np.unique(label, return_index=True)[1][label]
     out = []
-    for i in range(len(rep) - 1):
-        j = np.arange(i + 1, len(rep))
-        j = j[label[j] != label[i]]
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        own = term[start[i] : start[i + 1]]
+        n = at[own + 1] - at[own]
+        shared = np.bincount(holder[np.repeat(at[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))
+        ok = (100 * shared >= percent * (size[i] + size - shared)) & (label != label[i])
         if split:
-            j = j[side[j] != side[i]]
-        if not len(j):
-            continue
-        j = j[(s[j] == s[i]).sum(1) >= 0.5 * M]
-        if not len(j):
-            continue
-        j = j[likely((s[i] < s[j]).sum(1), (s[i] > s[j]).sum(1), np.full(len(j), n[i]), n[j], threshold)]
-        if failed[i]:
-            j = j[~np.isin(rep[j], failed[i])]
-        for k in j.tolist() if most is None else j[:most].tolist():
+            ok &= side != side[i]
+        for k in np.flatnonzero(ok).tolist():
             x, y = _find(parent, i), _find(parent, k)
-            if most is not None or x != y:
+            if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((int(max(rep[i], rep[k])), int(min(rep[i], rep[k]))))
     return out
 
 
-def _propose(threshold: float, most: int | None):
-    """Over rows sorted by (key, lo, hi): the proposals of each bucket or pair of its blocks."""
-    cols = ("rep", "label", "n", "side", "sketch", "failed")
-
-    def propose(batches):
+def _search(percent: int):
+    """Over rows sorted by (key, lo, hi): the links of each bucket or pair of its blocks."""
+    def search(batches):
         held, at = [], None
 
         def flush():
-            if len(held) > 1:
-                rows = {c: [r[c] for r in held] for c in cols}
-                rows |= {c: np.array(rows[c]) for c in ("rep", "label", "n", "side")} | {"split": at[1] != at[2]}
-                return _propose_in(rows, threshold, most)
-            return []
+            return _links_in(held, percent, at[1] != at[2]) if len(held) > 1 else []
 
         def batch_of(pairs):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
-                if (key := (row["key"], row["lo"], row["hi"])) != at:
-                    found += flush()
-                    held, at = [], key
-                held.append(row)
+            for part in chunks(batch, "text"):
+                for row in part.to_pylist():
+                    if (key := (row["key"], row["lo"], row["hi"])) != at:
+                        found += flush()
+                        held, at = [], key
+                    held.append(row)
             yield batch_of(found)
         yield batch_of(flush())
-    return propose
+    return search
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -225,7 +218,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 20) -> DataFrame:
     """One row (id, n_shingles, component_id) per row of docs.
 
     Linked are texts of which 100 * |intersection| >= percent * |union| holds for the sets of distinct
@@ -245,6 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     members = materialise(bands.join(hubs, "key"))
     wanted = members.select(F.col("rep").alias("id")).distinct()
     texts = materialise(rows.join(wanted, "id", "left_semi"))
+    sizes = reps.select("rep", "n")
     sketches = materialise(reps.join(wanted.withColumnRenamed("id", "rep"), "rep", "left_semi").drop("bands"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -258,23 +252,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     stars = materialise(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_screen(threshold), "a long, b long"))
     tested = verified(stars)
     labels = components(tested.where("linked"))
-    for most in (None, 16, 256, 1 << 62):
-        marked = members.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
-        failed = tested.where(~F.col("linked"))
-        failed = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("failed"))
-        open_ = marked.join(mixed.select("key", parts.alias("parts")), "key").withColumn("side", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        open_ = open_.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-        full = open_.join(sketches, "rep").join(failed, "rep", "left").select("key", "lo", "hi", "rep", "label", "n", "side", "sketch", "failed")
-        full = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        pairs = materialise(full.mapInArrow(_propose(threshold, most), "a long, b long").distinct())
-        if pairs.isEmpty():
-            break
-        fresh = verified(pairs)
-        tested = materialise(tested.unionByName(fresh))
-        labels = components(tested.where("linked"))
+    marked = members.where("rep != hub").select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    marked = marked.join(sizes, "rep")
+    open_ = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark")).where("lo < hi")
+    open_ = open_.groupBy("mark", "total", "m").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("total") / F.lit(block)).cast("int").alias("parts"))
+    spread = marked.join(open_, "key").withColumn("side", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rep", "label", "side")
+    full = spread.join(texts.withColumnRenamed("id", "rep"), "rep").select("key", "lo", "hi", "rep", "label", "side", "text")
+    more = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_search(percent), "a long, b long")
+    labels = components(tested.where("linked").select("a", "b").unionByName(more))
     class_of = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     return signed.select("id", "n_shingles", "digest").join(class_of, "digest", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
