@@ -49,8 +49,8 @@ def mds(panel: DataFrame, keys: list[str], target: str, ta: str, sw: str, window
         rank = F.when(F.abs(F.col("gt") - F.col("ct")) <= days * 24, i).otherwise(rank)
     found = near.join(have.withColumn("b", block), [*keys, "chr", "b"]).where(similar).withColumn("rank", rank).where(F.col("rank") < len(windows))
     # sums per rank first: of equal (gap, window) groups only four numbers travel
-    sums = found.groupBy(*keys, "gt", "rank").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
-    first = sums.groupBy(*keys, "gt").agg(F.min_by(F.struct("s", "n"), "rank").alias("m")).select(*keys, "gt", (F.col("m.s") / F.col("m.n")).alias("filled"))
+    sums = found.groupBy(*keys, "gt", "rank").agg(F.sum("y").alias("__s"), F.count("y").alias("__n"))
+    first = sums.groupBy(*keys, "gt").agg(F.min_by(F.struct("__s", "__n"), "rank").alias("__m")).select(*keys, "gt", (F.col("__m.__s") / F.col("__m.__n")).alias("filled"))
     doy = lambda c: F.dayofyear(F.date_add(F.lit("1970-01-01").cast("date"), c.cast("int")))
     left = gaps.join(first, [*keys, "gt"], "left_anti").withColumn("gdoy", doy(F.col("gday")))
     # days of the year in blocks of 8, which wrap: a gap looks into the blocks that 7 days reach
