@@ -11,7 +11,7 @@ minimizer (the least hash of the window's m-word grams) is a segment, and equal
 minimizers. Only segments whose minimizer another document has are indexed; they are dealt to shards by
 minimizer, equal segments once with their least id. Three steps keep frequent passages from meeting in
 one task: minimizers that are frequent in a bounded sample of documents skip the search for repeats, as
-they are known to repeat; equal segments are reduced on the map side; and segments of a minimizer with
+they are known to repeat; equal segments are reduced per batch on the map side; and segments of a minimizer with
 more than `crowd` documents are cut into single windows, dealt by the window's own hash.
 
 Minimizers and segment keys are hashes (48 and 128 bits). The first only select more than needed when
@@ -36,6 +36,9 @@ _C1, _C2 = np.uint64(0xA0761D6478BD642F | 1), np.uint64(0xE7037ED1A0B428DB | 1)
 _INV1, _INV2 = np.uint64(pow(int(_C1), -1, 1 << 64)), np.uint64(pow(int(_C2), -1, 1 << 64))
 
 
+LONGEST = 24  # windows of a segment; a longer run, as in periodic text, is cut
+
+
 # --- segments -------------------------------------------------------------------------------
 
 
@@ -57,6 +60,8 @@ def segments(words: Words, h: np.ndarray, n: int, m: int) -> tuple[np.ndarray, n
         return empty, empty, empty, empty
     new = np.ones(len(at), bool)
     new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+    run = np.flatnonzero(new)
+    new[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % LONGEST == 0] = True
     first = np.flatnonzero(new)
     return doc[first], at[first], np.diff(np.append(first, len(at))), (low[first] >> np.uint64(16)).astype(np.int64)
 
@@ -124,36 +129,53 @@ def _repeated(crowd: int):
     return run
 
 
-def _cut(n: int, m: int, shards: int, texts: bool):
-    """Segments with a repeated minimizer, crowded ones as single windows: (shard, text, id) or (k1, k2, id, first)."""
+def _chosen(part: pa.RecordBatch, words: Words, h: np.ndarray, n: int, m: int):
+    """Of a chunk's segments those with a repeated minimizer, crowded ones as single windows: (text, start, stop, what deals them)."""
+    doc, first, windows, key = segments(words, h, n, m)
+    plain, crowded = ([np.asarray(x, np.int64) for x in part.column(c).to_pylist()] for c in ("plain", "crowded"))
+    bounds = np.searchsorted(doc, np.arange(words.n_docs + 1))
+    take, single = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+    for d in range(words.n_docs):
+        own = slice(bounds[d], bounds[d + 1])
+        single[own] = np.isin(key[own], crowded[d])
+        take[own] = np.isin(key[own], plain[d]) & ~single[own]
+    alone = np.repeat(np.flatnonzero(single), windows[single])
+    at = first[alone] + np.arange(len(alone)) - np.repeat(np.cumsum(windows[single]) - windows[single], windows[single])
+    by = np.concatenate([key[take], gram_hashes(h, n)[at].view(np.int64)]) if len(h) >= n else np.empty(0, np.int64)
+    return np.concatenate([doc[take], doc[alone]]), np.concatenate([first[take], at]), np.concatenate([first[take] + windows[take] + n - 1, at + n]), by
+
+
+def _texts(n: int, m: int, shards: int):
+    """(shard, words, id, held) of the chosen segments; equal ones of a batch are one row with their least id."""
+    def run(batches):
+        for batch in batches:
+            held: dict[bytes, list[int]] = {}
+            for part in chunks(batch, "text"):
+                words = split_words(part.column("text"))
+                of, start, stop, by = _chosen(part, words, words.hashes(), n, m)
+                raw, ids = words.data.tobytes(), part.column("id").to_numpy()[of]
+                shard = mix(by.view(np.uint64)) % np.uint64(shards)
+                for a, b, i, k in zip(words.start[start].tolist(), words.end[stop - 1].tolist(), ids.tolist(), shard.tolist()):
+                    w = _spaced(raw[a:b])
+                    if (e := held.get(w)) is None:
+                        held[w] = [k, i, 1]
+                    else:
+                        e[1], e[2] = min(e[1], i), e[2] + 1
+            cols = list(zip(*held.values())) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(list(held), pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["shard", "words", "id", "held"])
+    return run
+
+
+def _places(n: int, m: int):
+    """(k1, k2, id, first) of the chosen segments."""
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 words = split_words(part.column("text"))
                 h = words.hashes()
-                doc, first, windows, key = segments(words, h, n, m)
-                plain, crowded = ([np.asarray(x, np.int64) for x in part.column(c).to_pylist()] for c in ("plain", "crowded"))
-                bounds = np.searchsorted(doc, np.arange(words.n_docs + 1))
-                take, single = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-                for d in range(words.n_docs):
-                    own = slice(bounds[d], bounds[d + 1])
-                    single[own] = np.isin(key[own], crowded[d])
-                    take[own] = np.isin(key[own], plain[d]) & ~single[own]
-                alone = np.repeat(np.flatnonzero(single), windows[single])
-                step = np.arange(len(alone)) - np.repeat(np.cumsum(windows[single]) - windows[single], windows[single])
-                start = np.concatenate([first[take], first[alone] + step])
-                stop = np.concatenate([first[take] + windows[take] + n - 1, first[alone] + step + n])
-                of = np.concatenate([doc[take], doc[alone]])
-                ids = pa.array(part.column("id").to_numpy()[of], pa.int64())
-                if texts:
-                    by = np.concatenate([key[take], gram_hashes(h, n)[first[alone] + step].view(np.int64)]) if len(h) >= n else np.empty(0, np.int64)
-                    shard = (mix(by.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-                    raw = words.data.tobytes()
-                    held = [raw[a:b] for a, b in zip(words.start[start], words.end[stop - 1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([_spaced(x) for x in held], pa.binary()), ids], names=["shard", "words", "id"])
-                else:
-                    k1, k2 = segment_keys(h, start, stop) if len(h) else (np.empty(0, np.int64),) * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), ids, pa.array((start - words.bounds[of]).astype(np.int32), pa.int32())], names=["k1", "k2", "id", "first"])
+                of, start, stop, _ = _chosen(part, words, h, n, m)
+                k1, k2 = segment_keys(h, start, stop)
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(part.column("id").to_numpy()[of], pa.int64()), pa.array((start - words.bounds[of]).astype(np.int32), pa.int32())], names=["k1", "k2", "id", "first"])
     return run
 
 
@@ -162,6 +184,9 @@ def _spaced(raw: bytes) -> bytes:
     return b" ".join(raw.split())
 
 
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 # --- the index ------------------------------------------------------------------------------
 
 
@@ -186,33 +211,36 @@ class WaveletTree:
         at = at.astype(np.int64)
         for level, packed, before, zeros in self.levels:
             word = at >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            at = np.where((code >> level) & 1, zeros + ones, at - ones)
+            ones = before[word] + np.bitwise_count(packed[word] & _BELOW[at & 63])
+            at = np.where(code & (1 << level), zeros + ones, at - ones)
         return at
 
 
 class FMIndex:
     """Backward search over concatenated texts of word codes (1 and up; 0 ends each text).
 
-    Suffixes are sorted by their first 16 words, which is enough for patterns of up to 16.
+    Suffixes are sorted by their first `depth` words, a power of two and enough for patterns up to it.
+    The intervals of the `known` last words of a pattern (the largest power of two within n, at most 8)
+    are kept, as seeds of the search.
     """
 
-    DEPTH = 16
-
-    def __init__(self, codes: np.ndarray, alphabet: int):
-        n = len(codes)
+    def __init__(self, codes: np.ndarray, alphabet: int, n: int):
         rank, span = codes.astype(np.int64), 1
-        while span < self.DEPTH:
-            nxt = np.zeros(n, np.int64)
-            nxt[: n - span] = rank[span:] + 1
+        self.known = max(k for k in (1, 2, 4, 8) if k <= n)
+        while True:
+            if span == self.known:
+                self.seed = rank
+            if span >= n:
+                break
+            nxt = np.zeros(len(codes), np.int64)
+            nxt[: len(codes) - span] = rank[span:] + 1
             rank = np.unique(rank * (int(nxt.max()) + 1) + nxt, return_inverse=True)[1]
             span *= 2
         self.suffixes = np.argsort(rank, kind="stable")
         self.tree = WaveletTree(codes[self.suffixes - 1], alphabet)
-        count = np.bincount(codes, minlength=alphabet)
-        self.first = np.concatenate([[0], np.cumsum(count)])
-        every = np.arange(alphabet)
-        self.shift = self.first[:-1] - self.tree.descend(every, np.zeros(alphabet, np.int64))
+        self.seeds = np.concatenate([[0], np.cumsum(np.bincount(self.seed))])
+        first = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=alphabet))])
+        self.shift = first[:-1] - self.tree.descend(np.arange(alphabet), np.zeros(alphabet, np.int64))
 
     def step(self, code: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of code + pattern from those of the patterns."""
@@ -228,10 +256,10 @@ class FMIndex:
         text, at = np.arange(len(start)), start.copy()
         while len(text):
             end = at + n - 1
-            lo, hi = self.first[codes[end]], self.first[codes[end] + 1]
-            back, live = np.zeros(len(at), np.int64), np.arange(len(at))
-            live = live[hi[live] - lo[live] > 1]
-            for k in range(1, n):
+            seed = self.seed[end - self.known + 1]
+            lo, hi = self.seeds[seed], self.seeds[seed + 1]
+            back, live = np.full(len(at), self.known - 1), np.flatnonzero(hi - lo > 1)
+            for k in range(self.known, n):
                 if not len(live):
                     break
                 lo[live], hi[live] = self.step(codes[end[live] - k], lo[live], hi[live])
@@ -244,19 +272,22 @@ class FMIndex:
             text, at = text[go], after[go]
 
 
-def least_over(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Least of values[lo:hi] for each interval, from a table of doubling spans."""
-    table, span = [values], 1
-    most = int((hi - lo).max()) if len(lo) else 0
-    while span * 2 <= most:
-        table.append(np.minimum(table[-1][: len(table[-1]) - span], table[-1][span:]))
-        span *= 2
-    level = np.frexp((hi - lo).astype(float))[1] - 1
-    out = np.empty(len(lo), values.dtype)
-    for k in np.unique(level):
-        of = level == k
-        out[of] = np.minimum(table[k][lo[of]], table[k][hi[of] - (1 << int(k))])
-    return out
+class RangeLeast:
+    """Least of values[lo:hi], from tables of doubling spans that are made as they are needed."""
+
+    def __init__(self, values: np.ndarray):
+        self.table = [values]
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        level = np.frexp((hi - lo).astype(float))[1] - 1
+        out = np.empty(len(lo), self.table[0].dtype)
+        for k in np.unique(level).tolist():
+            while len(self.table) <= k:
+                last, span = self.table[-1], 1 << (len(self.table) - 1)
+                self.table.append(np.minimum(last[: len(last) - span], last[span:]))
+            of = level == k
+            out[of] = np.minimum(self.table[k][lo[of]], self.table[k][hi[of] - (1 << k)])
+        return out
 
 
 def _search(n: int):
@@ -267,9 +298,10 @@ def _search(n: int):
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("least", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
-        texts, ids = table.column("words").combine_chunks(), table.column("id").to_numpy()
-        if not len(texts):
+        if not table.num_rows:
             return schema.empty_table()
+        table = table.group_by("words").aggregate([("id", "min"), ("held", "sum")])
+        texts, ids = table.column("words").combine_chunks(), table.column("id_min").to_numpy()
         words = split_words(texts.cast(pa.string()))
         h = words.hashes()
         code = np.unique(h, return_inverse=True)[1] + 1
@@ -279,11 +311,11 @@ def _search(n: int):
         codes[np.arange(len(h)) + words.doc_of()] = code
         owner = np.zeros(len(codes), np.int64)
         owner[np.arange(len(h)) + words.doc_of()] = ids[words.doc_of()]
-        index = FMIndex(codes, int(code.max()) + 1)
-        owners = owner[index.suffixes]
-        found = [[x, at - start[x], least_over(owners, lo, hi)] for x, at, lo, hi in index.repeats(codes, start, start + counts, n) if len(x)]
+        index = FMIndex(codes, int(code.max()) + 1, n)
+        least_owner = RangeLeast(owner[index.suffixes])
+        found = [[x, at - start[x], least_owner(lo, hi)] for x, at, lo, hi in index.repeats(codes, start, start + counts, n) if len(x)]
         text, at, least = (np.concatenate([np.empty(0, np.int64), *[f[i] for f in found]]) for i in range(3))
-        shared = table.column("held").to_numpy() > 1
+        shared = table.column("held_sum").to_numpy() > 1
         hit = np.union1d(text, np.flatnonzero(shared))
         k1, k2 = segment_keys(h, words.bounds[hit], words.bounds[hit + 1])
         width = counts[hit] - n + 1
@@ -306,9 +338,14 @@ def _remove(n: int, with_text: bool):
             for part in chunks(batch, "text"):
                 words = split_words(part.column("text"))
                 cover = np.zeros(len(words.start) + 1, np.int64)
-                for d, spans in enumerate(part.column("windows").to_pylist()):
-                    if spans:
-                        at = np.asarray(spans, np.int64) + words.bounds[d]
+                for d, (spans, copy) in enumerate(zip(part.column("windows").to_pylist(), part.column("copy").to_pylist())):
+                    a, b = words.bounds[d : d + 2]
+                    if copy and b - a >= n:
+                        cover[a] += 1
+                        cover[b] -= 1
+                    elif spans:
+                        at = np.asarray(spans, np.int64) + a
+                        at = at[at + n <= b]
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + n, -1)
                 kept = np.cumsum(cover[:-1]) == 0
@@ -357,27 +394,31 @@ def repeated_minimizers(rows: DataFrame, n: int, m: int, crowd: int, sample: int
     return written(both.groupBy("id").agg(F.collect_list(F.when(~F.col("crowded"), F.col("key"))).alias("plain"), F.collect_list(F.when(F.col("crowded"), F.col("key"))).alias("crowded")), "minimizers")
 
 
-def remove_repeats(docs: DataFrame, n: int = 13, m: int = 5, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_segments: int = 60_000, crowd: int = 4096, sample: int = 10_000, often: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, m: int = 5, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_segments: int = 40_000, crowd: int = 4096, sample: int = 10_000, often: int = 20) -> DataFrame:
     """One row (id, n_words, n_removed, kept_sha256[, kept_text]) per row of docs.
 
     Words are runs of bytes other than space and \\t to \\r. Each word covered by an n-word window that
-    also starts in a document with a smaller id goes; windows are judged on the input. kept_text is the
-    kept words one space apart. Null and empty texts have no words. Rows of one id never remove words
+    also starts in a document with a smaller id goes; windows are judged on the input. Of documents with
+    equal texts only the one with the smallest id is cut and indexed; in the others every window repeats
+    it. kept_text is the kept words one space apart. Ids must be unique but for repeated equal rows. Null and empty texts have no words. Rows of one id never remove words
     from one another. A row with a null id loses nothing and causes no removal. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = rows.where(F.col("id").isNotNull())
+    alike = named.select("id", F.xxhash64("text").alias("x1"), F.xxhash64(F.lit("text"), F.col("text")).alias("x2"))
+    least = alike.groupBy("x1", "x2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    copies = written(alike.join(least, ["x1", "x2"]).where("id > least").select("id").distinct(), "copies")
     keys = repeated_minimizers(named, n, m, crowd, sample, often)
     total = keys.agg(F.coalesce(F.sum(F.size("plain") + F.size("crowded")), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / shard_segments))
-    joined = named.join(keys, "id").select("id", "text", "plain", "crowded")
-    pieces = joined.mapInArrow(_cut(n, m, shards, True), "shard int, words binary, id long").groupBy("shard", "words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("held"))
-    answers = pieces.groupBy("shard").applyInArrow(_search(n), "k1 long, k2 long, least array<long>")
-    places = joined.mapInArrow(_cut(n, m, shards, False), "k1 long, k2 long, id long, first int")
+    joined = named.join(keys.join(copies, "id", "left_anti"), "id").select("id", "text", "plain", "crowded")
+    answers = joined.mapInArrow(_texts(n, m, shards), "shard int, words binary, id long, held long").groupBy("shard").applyInArrow(_search(n), "k1 long, k2 long, least array<long>")
+    places = joined.mapInArrow(_places(n, m), "k1 long, k2 long, id long, first int")
     hit = places.join(answers, ["k1", "k2"]).select("id", F.filter(F.transform("least", lambda x, i: F.when(x < F.col("id"), F.col("first") + i)), lambda x: x.isNotNull()).alias("at"))
     gone = hit.where(F.size("at") > 0).groupBy("id").agg(F.flatten(F.collect_list("at")).alias("windows"))
-    full = named.join(gone, "id", "left").select("id", "text", "windows")
-    alone = rows.where(F.col("id").isNull()).withColumn("windows", F.lit(None).cast("array<int>"))
+    gone = gone.select("id", "windows", F.lit(False).alias("copy")).unionByName(copies.select("id", F.lit(None).cast("array<int>").alias("windows"), F.lit(True).alias("copy")))
+    full = named.join(gone, "id", "left").select("id", "text", "windows", "copy")
+    alone = rows.where(F.col("id").isNull()).withColumn("windows", F.lit(None).cast("array<int>")).withColumn("copy", F.lit(None).cast("boolean"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return full.unionByName(alone).mapInArrow(_remove(n, with_text), schema).withColumnRenamed("id", id_col)
 
