@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..operators import metrics as M
+from ..operators.gaps import interpolate
 from ..operators.grid import lags, lookback_arrays
 from ..operators.qc import confusion
 from . import backtest as B
 from . import models as ML
-from .registry import daily, panel, query, r, readings
+from .registry import daily, panel, query, r
 
 c, lit = F.col, F.lit
 FEATURES = ["y_lag1", "y_lag2", "y_lag7", "n_lag1", "hs", "hc"]
@@ -154,7 +155,8 @@ for _n in ("l19_importance", "o3_top_importances"):
 
 @query("l21_decomposition_linear")
 def l21(spark, sf):
-    a = lookback_arrays(panel(spark, sf), ["series"], "y", 12, 1).withColumn("tr", X.moving_average(c("past"), 5))
+    h = interpolate(panel(spark, sf), ["series"], "y", "f").select("series", "t", c("f").alias("y"))
+    a = lookback_arrays(h, ["series"], "y", 12, 1).withColumn("tr", X.moving_average(c("past"), 5))
     cols = [f"trend{i}" for i in range(12)] + [f"rest{i}" for i in range(12)]
     a = a.select("series", "t", c("future")[0].alias("y"), *[c("tr")[i].alias(f"trend{i}") for i in range(12)], *[(c("past")[i] - c("tr")[i]).alias(f"rest{i}") for i in range(12)])
     cut = a.agg(((F.min("t") + F.max("t")) / 2).cast("long")).first()[0]
@@ -185,7 +187,7 @@ def stream(spark, sf):
     from ..streaming.hourly import hourly_means
     src, out = scratch(spark, "stream-in"), scratch(spark, "stream-out")
     e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", c("ts").cast("timestamp").alias("ts"), "value")
-    last = e.groupBy("event_type").agg(F.timestamp_add("DAY", lit(9), F.max("ts")).alias("ts")).withColumn("value", lit(0.0))
+    last = e.groupBy(lit("end").alias("event_type")).agg(F.timestamp_add("DAY", lit(9), F.max("ts")).alias("ts")).withColumn("value", lit(0.0))
     e.write.parquet(src)
     means = hourly_means(spark.readStream.schema(e.schema).parquet(src), "event_type", "ts", "value")
     # a later batch moves the watermark past the last hour
