@@ -33,12 +33,13 @@ def folds(df: DataFrame, cuts: list[tuple[int, int]], t: str = "t") -> DataFrame
 
 def conformal(calibration: DataFrame, test: DataFrame, by: list[str], y: str = "y", p: str = "p", alpha: float = 0.1) -> DataFrame:
     """test with lo and hi = p -+ the quantile of the absolute calibration residuals, at the split-conformal level."""
-    resid = calibration.withColumn("__r", F.abs(F.col(y) - F.col(p))).where(F.col("__r").isNotNull())
-    sorted_ = resid.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list("__r")).alias("__s"))
-    at = (F.col("__n") - 1) * conformal_level(F.col("__n"), alpha)
-    low = F.floor(at).cast("int")
-    q = F.get("__s", low) + (F.coalesce(F.get("__s", low + 1), F.get("__s", low)) - F.get("__s", low)) * (at - low)
-    half = sorted_.select(*by, q.alias("__q"))
+    resid = calibration.select(*by, F.abs(F.col(y) - F.col(p)).alias("__r")).where(F.col("__r").isNotNull())
+    n = resid.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__at", (F.col("__n") - 1) * conformal_level(F.col("__n"), alpha))
+    # the two order statistics around the level, from ranks; nothing is gathered
+    ranked = resid.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("__r")) - 1).join(n, by)
+    low = F.floor("__at")
+    ends = ranked.groupBy(*by).agg(F.max("__at").alias("__at"), F.max(F.when(F.col("__k") == low, F.col("__r"))).alias("__a"), F.max(F.when(F.col("__k") == low + 1, F.col("__r"))).alias("__b"))
+    half = ends.select(*by, (F.col("__a") + (F.coalesce("__b", "__a") - F.col("__a")) * (F.col("__at") - F.floor("__at"))).alias("__q"))
     return test.join(half, by).withColumn("lo", F.col(p) - F.col("__q")).withColumn("hi", F.col(p) + F.col("__q")).drop("__q")
 
 
