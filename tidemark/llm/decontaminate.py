@@ -8,7 +8,6 @@ against all documents, and the hits of the slices are merged per document.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -134,7 +133,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", id_col
 
     In mode "span" the words of a text that are covered by a hit are cut out bytewise; separators stay.
     """
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__row"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__row"))
     hits = scan(docs, benchmark, id_col=id_col, text_col=text_col, **rule).where(F.size("spans") > 0)
     hits = hits.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.first("spans").alias("__spans"))
     if mode == "document":
