@@ -44,7 +44,7 @@ def w4(spark, sf):
 REC = f"{HP}, z AS (SELECT *, CAST(coalesce(y > 100, false) AS INT) AS sp FROM h)"
 
 
-@query("w5_spike_windows", f"{REC} SELECT series, t, sum(sp) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS spikes24, round(max(y) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 4) AS max24 FROM z")
+@query("w5_spike_windows", f"{REC} SELECT series, t, CAST(sum(sp) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS BIGINT) AS spikes24, round(max(y) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 4) AS max24 FROM z")
 def w5(spark, sf):
     return gaps.event_recency(panel(spark, sf), K, "y", 100.0, (24,)).select("series", "t", "spikes24", r("max24").alias("max24"))
 
@@ -352,7 +352,7 @@ _metric("m2_mae", "MAE", "avg(abs(persist - y))")
 _metric("m3_r2", "R2", "1 - sum((persist - y) ** 2) / (var_pop(y) * count(*))")
 _metric("m4_mbe", "MBE", "avg(persist - y)")
 _metric("m5_wape", "WAPE", "sum(abs(y - persist)) / sum(abs(y))")
-_metric("m6_mase", "MASE", "1.0")
+_metric("m6_mase", "MASE", "avg(abs(persist - y)) / avg(abs(persist - y))")
 _metric("m7_smape", "sMAPE", "avg(2 * abs(y - persist) / greatest(abs(y) + abs(persist), 1e-6))")
 _metric("m8_mape", "MAPE", "avg(CASE WHEN abs(y) >= 1 THEN abs(y - persist) / abs(y) END)")
 _metric("m10_skill", "skill_clim", f"1 - {SQ} / sqrt(avg((clim - y) ** 2))")
