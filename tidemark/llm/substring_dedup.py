@@ -420,7 +420,8 @@ def remove_repeats(docs: DataFrame, n: int = 13, m: int = 5, id_col: str = "doc_
     full = named.join(gone, "id", "left").select("id", "text", "windows", "copy")
     alone = rows.where(F.col("id").isNull()).withColumn("windows", F.lit(None).cast("array<int>")).withColumn("copy", F.lit(None).cast("boolean"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return full.unionByName(alone).mapInArrow(_remove(n, with_text), schema).withColumnRenamed("id", id_col)
+    # the rows are united behind the scan, so that all three joins of the texts share one exchange
+    return full.mapInArrow(_remove(n, with_text), schema).unionByName(alone.mapInArrow(_remove(n, with_text), schema)).withColumnRenamed("id", id_col)
 
 
 def op1(docs: DataFrame) -> DataFrame:
