@@ -367,7 +367,7 @@ def test_targets_share_the_excess(spark):
 
 def brute_lines(rows, percent=80, bits=3):
     def norm(t):
-        return " ".join(WORD.findall(t.translate({c: c + 32 for c in range(65, 91)})))
+        return " ".join(WORD.findall(t.lower()))
     def simhash(n):
         s = [0] * 64
         words = n.split(" ")
@@ -408,7 +408,8 @@ def test_lines(spark, empty):
     v = w.split()
     rows = [(0, w + "\nshort line\n\nother " + prose(12, 78), "en", "a"), (1, w.upper() + "\n" + "  short   LINE ", "en", "a"), (2, None, "en", "a"), (3, "", "en", "a")]
     rows += [(4 + i, " ".join(v[:i] + ["typo" + v[i]] + v[i + 1 :]) + f"\nunique {i} " + prose(9, 300 + i), "en", "a") for i in range(25)]
-    rows += [(None, "short line", "en", "a")]
+    long = prose(700, 81)
+    rows += [(40, long, "en", "a"), (41, long.replace("w1 ", "z1 ", 1) + "\t end", "en", "a"), (None, "short line", "en", "a")]
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(clash(df)).collect()}
     want = brute_lines(rows)
@@ -416,5 +417,11 @@ def test_lines(spark, empty):
     for i, lines in want.items():
         assert got[i] == (texts[i] if len(lines) == len((texts[i] or "").split("\n")) else "\n".join(lines))
     assert got[None] == "short line" and got[2] is None
+    one = {r["n"]: r["h"] for r in spark.createDataFrame([(w,), (long,), ("a",), (prose(255, 9),), (prose(256, 9),)], "norm string").withColumn("id", F.monotonically_increasing_id()).withColumn("line", F.lit(0)).transform(lambda d: line_dedup.simhash(d).join(d, "id")).select(F.col("norm").alias("n"), "h").collect()}
+    for n, h in one.items():
+        counts = [sum(xxhash.xxh64_intdigest(x.encode(), seed=42) >> k & 1 for x in n.split(" ")) for k in range(64)]
+        assert h % (1 << 64) == sum(1 << k for k in range(64) if 2 * counts[k] > len(n.split(" ")))
+    six = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, blocks=6).collect()}
+    assert six == got
     assert any(len(x) < len((texts[i] or "").split("\n")) for i, x in want.items() if i >= 4)
     assert line_dedup.op10(empty).count() == 0
