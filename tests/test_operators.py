@@ -71,6 +71,18 @@ def test_similarity_day_of_year_fallback(spark):
     assert mds(df, K, "y", "ta", "sw").first()["filled"] == 7.0
 
 
+def test_similarity_day_of_year_wraps(spark):
+    # candidates on all days of 1970, gaps in the leap year 1972: too far for the windows, so all are filled by day of year
+    gaps = [1, 2, 8, 180, 352, 358, 359, 360, 364, 365, 366]
+    rows = [("a", 24 * (n - 1), float(n * n), 10.0, 0.0) for n in range(1, 366)] + [("a", 24 * (730 + n - 1), None, 10.0, 0.0) for n in gaps]
+    df = spark.createDataFrame(rows, "s string, t long, y double, ta double, sw double")
+    got = {r["t"] // 24 - 729: r["filled"] for r in mds(df, K, "y", "ta", "sw").collect()}
+    assert set(got) == set(gaps)
+    for g in gaps:
+        near = [n * n for n in range(1, 366) if min(abs(g - n), 365 - abs(g - n)) <= 7]
+        assert got[g] == pytest.approx(sum(near) / len(near))
+
+
 def test_rule_order(spark):
     rules = [("fertN", ["inorganic"]), ("manure", ["organic"])]
     df = spark.createDataFrame([("Inorganic fertiliser",), ("Organic manure",), ("Seed",)], "x string")

@@ -53,8 +53,8 @@ def mds(panel: DataFrame, keys: list[str], target: str, ta: str, sw: str, window
     first = sums.groupBy(*keys, "gt").agg(F.min_by(F.struct("__s", "__n"), "rank").alias("__m")).select(*keys, "gt", (F.col("__m.__s") / F.col("__m.__n")).alias("filled"))
     doy = lambda c: F.dayofyear(F.date_add(F.lit("1970-01-01").cast("date"), c.cast("int")))
     left = gaps.join(first, [*keys, "gt"], "left_anti").withColumn("gdoy", doy(F.col("gday")))
-    # days of the year in blocks of 8, which wrap: a gap looks into the blocks that 7 days reach
-    spread = F.array_distinct(F.transform(F.array(*[F.lit(x) for x in (-7, 0, 7)]), lambda x: F.floor(F.pmod(F.col("gdoy") + x, F.lit(365)) / 8)))
+    # days of the year in blocks of 8, which wrap and of which the last has 5: a gap looks into the blocks of all days within 7
+    spread = F.array_distinct(F.transform(F.sequence(F.lit(-7), F.lit(7)), lambda x: F.floor(F.pmod(F.col("gdoy") + x, F.lit(365)) / 8)))
     left = left.withColumn("b", F.explode(spread))
     apart = F.least(F.abs(F.col("gdoy") - F.col("cdoy")), 365 - F.abs(F.col("gdoy") - F.col("cdoy")))
     late = have.withColumn("cdoy", doy(F.col("cday"))).withColumn("b", F.floor(F.pmod(F.col("cdoy"), F.lit(365)) / 8))
