@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import materialise, n_words
 
 WEIGHTS = (5, 2, 1)
 
@@ -48,8 +48,8 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(source, F.lit("\u0000")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block: int = 65536, **rule) -> DataFrame:
-    """One row (id, source, size, source_size, target, copies, taken) per row of docs.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block: int = 65536, with_key: bool = False, **rule) -> DataFrame:
+    """One row (id, source, size, source_size, target, copies, taken) per row of docs; with_key: also text_key() as `key`.
 
     A null text has size 0. Null is a source of its own, the last. A source without words takes
     none. Repeated rows each take their own place. An empty table gives no rows. Other columns are
@@ -57,6 +57,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit(""))  # noqa: E731  null-safe join key
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key(F.col(source_col)).alias("k"), n_words(F.col(text_col)).alias("size"))
+    own_key = ["key"] * with_key
+    sized = sized if not with_key else docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key(F.col(source_col)).alias("k"), n_words(F.col(text_col)).alias("size"), text_key(text_col).alias("key"))
     sized = sized.withColumn("block", F.floor(F.coalesce(F.col("id"), F.lit(0)) / F.lit(block)))
     cells = sized.groupBy("k", "size", "block").agg(F.count(F.lit(1)).alias("n"))
     by_size = cells.groupBy("k", "size").agg(F.sum("n").alias("n"))
@@ -67,21 +69,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ).select("k", "size", "block", (F.col("before") + F.col("smaller")).alias("base"))
     totals = by_size.groupBy("k").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     aims = targets(totals.withColumn("source", F.when(F.col("k") != "", F.expr("substring(k, 2)"))), "source", **rule).drop("source")
-    rank = F.row_number().over(Window.partitionBy("k", "size", "block").orderBy("id"))
+    rank = F.row_number().over(Window.partitionBy("k", "size", "block").orderBy("id", *own_key))
     rows = sized.withColumn("rank", rank).join(base, ["k", "size", "block"]).join(aims, "k")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col("base") + F.col("rank")
     cut = lambda n: F.floor(offset(F.col("source"), seed) + expected * n)
     return rows.withColumn("copies", (cut(place) - cut(place - 1)).cast("long")).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *own_key)
 
 
-def emit(docs: DataFrame, id_col: str = "doc_id", **rule) -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it. Copies of one id are counted over its rows; rows with a null id stay once."""
-    copies = mix(docs, id_col, **rule).groupBy(F.col(id_col).alias("__id")).agg((F.sum("copies") / F.count(F.lit(1))).alias("__c"))
-    joined = docs.join(copies.where(F.col("__id").isNotNull()), F.col(id_col) == F.col("__id"), "left")
-    times = F.coalesce(F.ceil("__c"), F.lit(1)).cast("int")
-    return joined.withColumn("__t", F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.expr("cast(array() as array<int>)"))).withColumn("__t", F.explode("__t")).select(*docs.columns)
+def text_key(text_col: str) -> Column:
+    """Hash of a text, null included."""
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
+
+
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rule) -> DataFrame:
+    """docs, all columns, each row as often as the mix takes it.
+
+    Rows are found again by id, text hash and source, nulls included. Rows that agree in all three share their
+    numbers of copies one each.
+    """
+    names = {id_col: "__id", source_col: "__source", "key": "__key"}
+    groups = mix(docs, id_col, text_col, source_col, with_key=True, **rule).groupBy(*[F.col(c).alias(n) for c, n in names.items()])
+    groups = materialise(groups.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__c")))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (text_key(text_col) == F.col("__key"))
+    once, often = groups.where("size(__c) = 1"), groups.where("size(__c) > 1")
+    joined = docs.join(once, same).withColumn("__t", F.get("__c", F.lit(0)))
+    if not often.isEmpty():
+        turn = F.row_number().over(Window.partitionBy(*names.values()).orderBy(F.lit(1))) - 1
+        joined = joined.unionByName(docs.join(often, same).withColumn("__t", turn).withColumn("__t", F.get("__c", F.col("__t"))))
+    return joined.where("__t > 0").withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("__t").cast("int")))).select(*docs.columns)
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -267,10 +267,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
-def keep(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", **rule) -> DataFrame:
-    """docs, all columns, with one document of each component: that with the smallest id. Of repeated rows of one id all stay."""
-    gone = near_duplicates(docs, percent, id_col, **rule).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+def keep(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """docs, all columns, with one document of each component: that with the smallest id.
+
+    If there are null or repeated ids, each (id, text) is numbered, in the order of the ids, and the numbers
+    stand for ids: so rows of one id with different texts are documents of their own, and of equal ones
+    one stays. Rows with a null id are compared with one another, not with those that have an id.
+    """
+    often = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
+    if often.isEmpty():
+        gone = near_duplicates(docs, percent, id_col, text_col, **rule).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+        return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    own = F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
+    numbers = docs.select(F.col(id_col).alias("__id"), own.alias("__key")).distinct().orderBy(F.col("__id").asc_nulls_last(), "__key")
+    numbers = materialise(numbers.withColumn("__n", F.monotonically_increasing_id()))
+    rows = docs.join(numbers, F.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__key")))
+    heads = None
+    for part in (rows.where(F.col(id_col).isNotNull()), rows.where(F.col(id_col).isNull())):
+        found = near_duplicates(part, percent, "__n", text_col, **rule).where(F.col("__n") == F.col("component_id")).select("__n")
+        heads = found if heads is None else heads.unionByName(found)
+    kept = rows.join(heads.distinct(), "__n", "left_semi")
+    return kept.groupBy("__n").agg(F.min(F.struct(*docs.columns)).alias("__m")).select("__m.*")
 
 
 def op8(docs: DataFrame) -> DataFrame:
