@@ -80,19 +80,34 @@ def near_hashes(hashes: DataFrame, bits: int, blocks: int) -> DataFrame:
     return x.join(y, (key("h", "x.k") == key("g", "y.k")) & (F.col("h") > F.col("g")) & near).select("h", "g").distinct()
 
 
-def candidates(kinds: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """Distinct (a, b): classes with SimHashes that differ in at most `bits` bits.
+def candidates(kinds: DataFrame, near: DataFrame) -> DataFrame:
+    """Distinct (a, b): classes with SimHashes that are equal or a pair (h, g) of `near`, by way of the first of each hash.
 
     Classes with one SimHash are paired with the first of them, which stands for that hash in the search,
-    so that a bucket does not grow with lines of one hash.
+    so that a bucket does not grow with lines of one hash. open_candidates() has the pairs of the others.
     """
     firsts = kinds.groupBy("h").agg(F.min(F.struct("id", "line")).alias("f"))
     same = kinds.select("h", F.struct("id", "line").alias("a")).join(firsts, "h").where(F.col("a") != F.col("f")).select("a", F.col("f").alias("b"))
-    pairs = near_hashes(firsts.select("h"), bits, blocks)
-    pairs = pairs.join(firsts.withColumnRenamed("f", "a"), "h").join(firsts.select(F.col("h").alias("g"), F.col("f").alias("b")), "g").select("a", "b")
+    pairs = near.join(firsts.withColumnRenamed("f", "a"), "h").join(firsts.select(F.col("h").alias("g"), F.col("f").alias("b")), "g").select("a", "b")
     return pairs.unionByName(same)
 
 
+def open_candidates(kinds: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct (a, b) that candidates() does not pair and whose hashes allow it, of classes in different components so far.
+
+    One of the two at least is not the first of its hash. A bag of words has one SimHash in any order, so
+    the first of a hash need not be similar to what the others are similar to.
+    """
+    every = kinds.select("h", F.struct("id", "line").alias("cls")).join(roots, "cls", "left").select("h", "cls", F.coalesce("root", "cls").alias("root"))
+    firsts = every.groupBy("h").agg(F.min("cls").alias("f"))
+    rest = materialise(every.join(firsts, "h").where(F.col("cls") != F.col("f")).select("h", F.col("cls").alias("a"), F.col("root").alias("ra")))
+    both = near.select(F.explode(F.array(F.struct("h", "g"), F.struct(F.col("g").alias("h"), F.col("h").alias("g")))).alias("p")).select("p.h", "p.g")
+    crossed = rest.join(both, "h").join(every.select(F.col("h").alias("g"), F.col("cls").alias("b"), F.col("root").alias("rb")), "g")
+    inner = rest.join(rest.select("h", F.col("a").alias("b"), F.col("ra").alias("rb")), "h").where(F.col("a") < F.col("b"))
+    pairs = crossed.select("a", "b", "ra", "rb").unionByName(inner.select("a", "b", "ra", "rb")).where(F.col("ra") != F.col("rb"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def edit_similar(a: Column, b: Column, percent: int) -> Column:
     """100 * (1 - edit distance / longer length) >= percent, with a bounded distance."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
@@ -114,12 +129,22 @@ def components(links: DataFrame) -> DataFrame:
         roots = step.drop("old")
 
 
+def similar_pairs(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines pass the edit similarity."""
+    ends = materialise(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().select("cls.id", "cls.line"))
+    ends = F.broadcast(ends) if ends.count() * 64 <= SMALL else ends
+    texts = materialise(lines.join(ends, ["id", "line"], "left_semi").groupBy(F.struct("id", "line").alias("cls")).agg(F.min("norm").alias("norm")))
+    full = pairs.join(texts.select(F.col("cls").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("norm").alias("tb")), "b")
+    return materialise(full.where(edit_similar(F.col("ta"), F.col("tb"), percent)).select("a", "b"))
+
+
 def mark(docs: DataFrame, percent: int = 80, bits: int = 3, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, line, keep) per line of docs: whether it is the first occurrence of its group, or has no word.
 
     First is by (id, line number). Null texts have one empty line. Lines without a word are kept. Rows
     of one id are taken as one document with each line number once per row. Rows with a null id are left
-    out. Classes that share one SimHash are linked by way of the first of them.
+    out. Classes are linked by way of the first of their SimHash; those that this leaves in different
+    components are then compared with all others that the bits allow.
     """
     spark = docs.sparkSession
     lines = exploded(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumn("norm", normal(F.col("raw"))).drop("raw")
@@ -129,12 +154,12 @@ def mark(docs: DataFrame, percent: int = 80, bits: int = 3, blocks: int = 5, id_
     keyed = spark.read.parquet(path)
     kinds = keyed.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("first")).select("first.id", "first.line")
     kinds = materialise(kinds.join(simhash(lines.where(word)), ["id", "line"]))
-    pairs = materialise(candidates(kinds, bits, blocks))
-    ends = materialise(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().select("cls.id", "cls.line"))
-    ends = F.broadcast(ends) if ends.count() * 64 <= SMALL else ends
-    texts = materialise(lines.join(ends, ["id", "line"], "left_semi").groupBy(F.struct("id", "line").alias("cls")).agg(F.min("norm").alias("norm")))
-    full = pairs.join(texts.select(F.col("cls").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("norm").alias("tb")), "b")
-    roots = components(full.where(edit_similar(F.col("ta"), F.col("tb"), percent)).select("a", "b"))
+    near = materialise(near_hashes(kinds.select("h").distinct(), bits, blocks))
+    links = similar_pairs(materialise(candidates(kinds, near)), lines, percent)
+    roots = components(links)
+    more = materialise(open_candidates(kinds, near, roots))
+    if not more.isEmpty():
+        roots = components(links.unionByName(similar_pairs(more, lines, percent)))
     # of a class stays its first occurrence, if the class is its group's root
     lost = roots.where(F.col("cls") != F.col("root")).select("cls.id", "cls.line")
     heads = kinds.select("id", "line").join(lost, ["id", "line"], "left_anti").withColumn("head", F.lit(True))
