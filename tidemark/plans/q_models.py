@@ -89,29 +89,43 @@ def l7(spark, sf):
     return scored(ML.hurdle(clf, spike, base, test), ["series"], "hurdle")
 
 
+def hourly(spark, sf) -> DataFrame:
+    """(series, t, y, features): the hourly feature matrix of track A; lags only."""
+    m = lags(panel(spark, sf).select("series", "t", "y"), ["series"], "y", [1, 2, 24])
+    s, k = X.cyclic(F.pmod("t", lit(24)), 24)
+    return m.withColumn("hs", s).withColumn("hc", k)
+
+
+def direct(m: DataFrame, t: str, cut: int, features: list[str], track: str, horizons: tuple[int, ...]) -> list[DataFrame]:
+    """Scores of one model per horizon, trained on targets before the cut."""
+    parts = []
+    for h in horizons:
+        target = m.select("series", (c(t) - h).alias(t), c("y").alias("target"))
+        a = m.withColumnRenamed("y", "y_now").join(target, ["series", t]).withColumnRenamed("target", "y").withColumn("tt", c(t) + h)
+        model = ML.fit("rf", a.where(c("tt") < cut), ["y_now", *features], numTrees=10)
+        s = M.point_metrics(ML.predict(model, a.where(c("tt") >= cut)), ["series"], naive="y_now", least=10)
+        parts.append(s.select("series", lit(track).alias("track"), lit(h).alias("h"), r("RMSE").alias("RMSE"), r("skill_persist").alias("skill_persist"), "n_test"))
+    return parts
+
+
 @query("l10_direct_backtest")
 def l10(spark, sf):
-    m = matrix(spark, sf)
-    parts = []
-    for h in (1, 3, 7):
-        target = m.select("series", (c("d") - h).alias("d"), c("y").alias("target"))
-        a = m.withColumnRenamed("y", "y_now").join(target, ["series", "d"]).withColumnRenamed("target", "y").withColumn("tt", c("d") + h)
-        model = ML.fit("rf", a.where(c("tt") < CUT), ["y_now", *FEATURES], numTrees=10)
-        s = M.point_metrics(ML.predict(model, a.where(c("tt") >= CUT)), ["series"], naive="y_now", least=10)
-        parts.append(s.select("series", lit(h).alias("h"), r("RMSE").alias("RMSE"), r("skill_persist").alias("skill_persist"), "n_test"))
-    return union(parts)
+    """Track A in hours, track B in days."""
+    hours = hourly(spark, sf).cache()
+    cut = hours.agg(((F.min("t") + F.max("t")) / 2).cast("long")).first()[0]
+    parts = direct(hours, "t", cut, ["y_lag1", "y_lag2", "y_lag24", "hs", "hc"], "A", (1, 6, 12, 24, 48))
+    return union(parts + direct(matrix(spark, sf), "d", CUT, FEATURES, "B", (1, 3, 7, 14)))
 
 
 @query("l12_pooling")
 def l12(spark, sf):
     train, test = halves(spark, sf)
-    names = [x[0] for x in train.select("series").distinct().orderBy("series").collect()]  # one per series
+    names = [x[0] for x in train.where("y IS NOT NULL").select("series").distinct().orderBy("series").collect()]  # one per series
     dummies = lambda d: d.select("*", *[F.when(c("series") == n, 1.0).otherwise(0.0).alias(f"is{i}") for i, n in enumerate(names)])
-    one = names[0]
-    solo = ML.predict(ML.fit("rf", train.where(c("series") == one), FEATURES, numTrees=10), test.where(c("series") == one))
-    full = ML.predict(ML.fit("rf", train, FEATURES, numTrees=10), test.where(c("series") == one))
-    part = ML.predict(ML.fit("rf", dummies(train), [*FEATURES, *[f"is{i}" for i in range(len(names))]], numTrees=10), dummies(test).where(c("series") == one))
-    return union([scored(solo, ["series"], "solo"), scored(full, ["series"], "full"), scored(part, ["series"], "partial")])
+    solo = [ML.predict(ML.fit("rf", train.where(c("series") == n), FEATURES, numTrees=10), test.where(c("series") == n)) for n in names]
+    full = ML.predict(ML.fit("rf", train, FEATURES, numTrees=10), test)
+    part = ML.predict(ML.fit("rf", dummies(train), [*FEATURES, *[f"is{i}" for i in range(len(names))]], numTrees=10), dummies(test))
+    return union([scored(union(solo), ["series"], "solo"), scored(full, ["series"], "full"), scored(part, ["series"], "partial")])
 
 
 def _ablation(name, groups):
