@@ -16,11 +16,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (single-machine tests) a temporary folder is made and set.
+    Where the setting is absent, a local master, as in tests, gets a temporary folder; a cluster gets an error,
+    since a folder of the driver's machine is not shared.
     """
     ctx = spark.sparkContext
     path = ctx.getConf().get("spark.checkpoint.dir") or ctx.getCheckpointDir()
     if not path:
+        if not ctx.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
     if not ctx.getCheckpointDir():
         ctx.setCheckpointDir(path)
@@ -59,3 +62,22 @@ def words(c: Column) -> Column:
 def n_words(c: Column) -> Column:
     """Number of whitespace words, without building them."""
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, label): the smallest id reachable over links (a, b), for every id in them.
+
+    Rounds of neighbours' least labels and of label-of-label jumps, each checkpointed, until nothing
+    changes.
+    """
+    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
+        step = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
+        jump = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        step = materialise(step.join(jump, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
+        changed = step.where(F.col("label") != F.col("old")).limit(1).count()
+        labels = step.drop("old")
+        if not changed:
+            return labels

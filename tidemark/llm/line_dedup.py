@@ -1,16 +1,22 @@
 """Fuzzy line dedup, in DataFrame functions alone.
 
 Lines are normalised (lower case, words one space apart). Equal normalised lines are one class. Each class
-gets a 64-bit SimHash of its words; classes whose SimHashes differ in at most 3 bits and whose edit
-similarity is at least 0.8 are linked, and of each connected group the first occurrence stays.
-
-Pigeonhole: the hash is cut into `blocks` blocks, of which at most 3 can differ, so that all others agree
-whole. The join key is a choice of that many blocks with their values: with 5 blocks 10 keys of about 26
-bits for each class, with 6 blocks, for larger corpora, 20 keys of 32 bits. The difference in bits is tested
-in the join, the edit similarity after it.
-
-The SimHash's 64 counters are summed in 8 longs of eight 8-bit lanes each, over at most 127 words at a time,
-so that no lane overflows, nor the sign; these sums are then added in 32 longs of two wide lanes.
+gets a 64-bit SimHash of its distinct words, so that no word repeated in a line decides the hash alone.
+Classes whose SimHashes agree in two of six blocks and differ in at most 10 bits are candidates; candidates
+with an edit similarity of at least 0.8 are linked, and of each connected group the first occurrence stays.
+
+Pigeonhole: any 4 differing bits leave two of the six blocks whole, so that all pairs within 4 bits are
+found; pairs of 5 to 10 bits are found as far as their bits leave two blocks whole. The join key is a
+choice of two blocks with their values, 15 keys of about 21 bits for each SimHash. The difference in bits is
+tested in the join.
+
+Crowds: where three keys of disjoint blocks gather over `crowd` classes, these are first linked to the
+least of them. Classes of one large component are then not paired again, so that a crowd of near copies
+yields links in proportion to its size.
+
+The SimHash's 64 counters are summed in 8 longs of eight 8-bit lanes each, over at most 127 words at a time;
+lines with more words add these sums up in 32 longs of two wide lanes. Majorities are read off all lanes of
+a long at once, by adding what a lane lacks to carry into its highest bit.
 """
 
 from __future__ import annotations
@@ -20,16 +26,24 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialise, scratch, text_or_empty
+from .common import WS, components, materialise, scratch, text_or_empty
 
 ONES = 0x0101010101010101
+EVEN, EVEN_ONES = 0x00FF00FF00FF00FF, 0x0001000100010001
+WIDE_ONES = 1 | 1 << 32
 LANE_WORDS = 127
-SMALL = 16 << 20  # bytes of the candidates' ends that may be broadcast
+SPOT = ["id", "line", "t"]  # a line: its document's id, its number, and the hash of the document's text
+SMALL = 32 << 20  # bytes up to which a table, counted before, is broadcast
+FILTER_ROWS = 1 << 18  # rows of a filter's table, 64 bits each
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, raw): every \\n-split line with its number from 0."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("line", "raw"))
+    """(id, t, line, raw): every \\n-split line with its number from 0; t is a hash of the whole text."""
+    return docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("t"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("line", "raw"))
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
 
 
 def normal(raw: Column) -> Column:
@@ -40,28 +54,45 @@ def normal(raw: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(F.lower(raw), WS, " ")).otherwise(F.lower(raw)))
 
 
+def _lane_sums(x: Column) -> list[Column]:
+    return [F.sum(F.shiftrightunsigned(x, j).bitwiseAND(F.lit(ONES))).alias(f"s{j}") for j in range(8)]
+
+
+def _or(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
+    return out
+
+
 def simhash(lines: DataFrame) -> DataFrame:
-    """(id, line, h): the SimHash of the words of `norm`: a bit is set where most words' hashes have it."""
-    words = lines.select("id", "line", F.posexplode(F.split("norm", " ")).alias("p", "w"))
-    words = words.select("id", "line", F.floor(F.col("p") / LANE_WORDS).cast("int").alias("part"), F.xxhash64("w").alias("x"))
-    parts = words.groupBy("id", "line", "part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(ONES))).alias(f"s{j}") for j in range(8)])
+    """(id, line, t, h): the SimHash of the distinct words of `norm`: a bit is set where most words' hashes have it."""
+    width = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    hashes = F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    n = F.col("n")
+    short = lines.where(width <= LANE_WORDS).select(*SPOT, F.explode(hashes).alias("x")).groupBy(*SPOT).agg(F.count(F.lit(1)).alias("n"), *_lane_sums(F.col("x")))
+    lack = F.lit(127) - F.floor(n / 2)  # a lane that holds over half of n words reaches 128 with it
+    bits = []
+    for j in range(8):
+        for odd in (0, 1):
+            lanes = F.shiftrightunsigned(f"s{j}", 8 * odd).bitwiseAND(F.lit(EVEN)) + lack * F.lit(EVEN_ONES)
+            bits.append(F.shiftleft(F.shiftrightunsigned(lanes, 7).bitwiseAND(F.lit(EVEN_ONES)), j + 8 * odd))
+    short = short.select(*SPOT, _or(bits).alias("h"))
+    words = lines.where(width > LANE_WORDS).select(*SPOT, F.posexplode(hashes).alias("p", "x")).withColumn("part", F.floor(F.col("p") / LANE_WORDS).cast("int"))
+    parts = words.groupBy(*SPOT, "part").agg(F.count(F.lit(1)).alias("n"), *_lane_sums(F.col("x")))
     lane = lambda j, k: F.shiftrightunsigned(f"s{j}", 8 * k).bitwiseAND(F.lit(255))  # noqa: E731  counter of bit 8 k + j
     wide = [F.sum(lane(j, k).bitwiseOR(F.shiftleft(lane(j, k + 4), 32))).alias(f"t{j}{k}") for j in range(8) for k in range(4)]
-    sums = parts.groupBy("id", "line").agg(F.sum("n").alias("n"), *wide)
-    bit = lambda c, i: F.when(c * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
-    h = F.lit(0).cast("long")
-    for j in range(8):
-        for k in range(4):
-            t = F.col(f"t{j}{k}")
-            h = h.bitwiseOR(bit(t.bitwiseAND(F.lit(0xFFFFFFFF)), 8 * k + j)).bitwiseOR(bit(F.shiftrightunsigned(t, 32), 8 * (k + 4) + j))
-    return sums.select("id", "line", h.alias("h"))
+    long = parts.groupBy(*SPOT).agg(F.sum("n").alias("n"), *wide)
+    lack = F.lit((1 << 30) - 1) - F.floor(n / 2)
+    bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"t{j}{k}") + lack * F.lit(WIDE_ONES), 30).bitwiseAND(F.lit(WIDE_ONES)), 8 * k + j) for j in range(8) for k in range(4)]
+    return short.unionByName(long.select(*SPOT, _or(bits).alias("h")))
 
 
-def block_key(h: Column, k: Column, blocks: int, bits: int) -> Column:
-    """The k-th choice of blocks - bits blocks: its number and the values, as a long."""
+def block_key(h: Column, k: Column, blocks: int, choices: list[tuple[int, ...]]) -> Column:
+    """The k-th choice of blocks: its number and their values, as a long."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     out = None
-    for n, chosen in enumerate(combinations(range(blocks), blocks - bits)):
+    for n, chosen in enumerate(choices):
         v = F.lit(n).cast("long")
         for b in chosen:
             width = edges[b + 1] - edges[b]
@@ -70,114 +101,128 @@ def block_key(h: Column, k: Column, blocks: int, bits: int) -> Column:
     return out
 
 
-def near_hashes(hashes: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """Distinct (h, g), h > g, of a table of distinct hashes h that differ in at most `bits` bits."""
-    choices = len(list(combinations(range(blocks), blocks - bits)))
-    rows = hashes.select("h", F.explode(F.array(*[F.lit(i).cast("tinyint") for i in range(choices)])).alias("k"))
-    x, y = rows.alias("x"), rows.withColumnRenamed("h", "g").alias("y")
-    key = lambda h, k: block_key(F.col(h), F.col(k), blocks, bits)
-    near = F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= bits
-    return x.join(y, (key("h", "x.k") == key("g", "y.k")) & (F.col("h") > F.col("g")) & near).select("h", "g").distinct()
+def _keyed(hashes: DataFrame, n: int) -> DataFrame:
+    return hashes.select("*", F.explode(F.array(*[F.lit(i).cast("tinyint") for i in range(n)])).alias("k"))
 
 
-def candidates(kinds: DataFrame, near: DataFrame) -> DataFrame:
-    """Distinct (a, b): classes with SimHashes that are equal or a pair (h, g) of `near`, by way of the first of each hash.
+def near(h: str, g: str, bits: int) -> Column:
+    return F.bit_count(F.col(h).bitwiseXOR(F.col(g))) <= bits
 
-    Classes with one SimHash are paired with the first of them, which stands for that hash in the search,
-    so that a bucket does not grow with lines of one hash. open_candidates() has the pairs of the others.
-    """
-    firsts = kinds.groupBy("h").agg(F.min(F.struct("id", "line")).alias("f"))
-    same = kinds.select("h", F.struct("id", "line").alias("a")).join(firsts, "h").where(F.col("a") != F.col("f")).select("a", F.col("f").alias("b"))
-    pairs = near.join(firsts.withColumnRenamed("f", "a"), "h").join(firsts.select(F.col("h").alias("g"), F.col("f").alias("b")), "g").select("a", "b")
-    return pairs.unionByName(same)
 
+def crowd_pairs(kinds: DataFrame, bits: int, blocks: int, crowd: int) -> DataFrame:
+    """(a, b): of keys of disjoint blocks that over `crowd` classes share, each class within `bits` of the least and that one."""
+    choices = [(2 * i, 2 * i + 1) for i in range(blocks // 2)]
+    rows = _keyed(kinds.select("c", "h"), len(choices)).select("c", "h", block_key(F.col("h"), F.col("k"), blocks, choices).alias("key"))
+    hubs = rows.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).drop("n")
+    hubs = hubs.join(kinds.select(F.col("c").alias("hub"), F.col("h").alias("g")), "hub")
+    return rows.join(hubs, "key").where((F.col("c") > F.col("hub")) & near("h", "g", bits)).select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
 
-def open_candidates(kinds: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct (a, b) that candidates() does not pair and whose hashes allow it, of classes in different components so far.
 
-    One of the two at least is not the first of its hash. A bag of words has one SimHash in any order, so
-    the first of a hash need not be similar to what the others are similar to.
-    """
-    every = kinds.select("h", F.struct("id", "line").alias("cls")).join(roots, "cls", "left").select("h", "cls", F.coalesce("root", "cls").alias("root"))
-    firsts = every.groupBy("h").agg(F.min("cls").alias("f"))
-    rest = materialise(every.join(firsts, "h").where(F.col("cls") != F.col("f")).select("h", F.col("cls").alias("a"), F.col("root").alias("ra")))
-    both = near.select(F.explode(F.array(F.struct("h", "g"), F.struct(F.col("g").alias("h"), F.col("h").alias("g")))).alias("p")).select("p.h", "p.g")
-    crossed = rest.join(both, "h").join(every.select(F.col("h").alias("g"), F.col("cls").alias("b"), F.col("root").alias("rb")), "g")
-    inner = rest.join(rest.select("h", F.col("a").alias("b"), F.col("ra").alias("rb")), "h").where(F.col("a") < F.col("b"))
-    pairs = crossed.select("a", "b", "ra", "rb").unionByName(inner.select("a", "b", "ra", "rb")).where(F.col("ra") != F.col("rb"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def near_hashes(nodes: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """Distinct (h, p, g, q), h > g, of nodes (h, p) that share two blocks, within `bits` bits, and not in one large component p."""
+    choices = list(combinations(range(blocks), 2))
+    rows = _keyed(nodes, len(choices))
+    x, y = rows.alias("x"), rows.withColumnRenamed("h", "g").withColumnRenamed("p", "q").alias("y")
+    key = lambda h, k: block_key(F.col(h), F.col(k), blocks, choices)
+    apart = (F.col("p") != F.col("q")) | (F.col("p") < 0)
+    return x.join(y, (key("h", "x.k") == key("g", "y.k")) & (F.col("h") > F.col("g")) & near("h", "g", bits) & apart).select("h", "p", "g", "q").distinct()
+
+
+def candidates(kinds: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """Distinct (a, b) of classes (c, h, root, p) in different components: of near or of equal SimHashes."""
+    pairs = materialise(near_hashes(kinds.select("h", "p").distinct(), bits, blocks))
+    one = kinds.select("h", "p", F.col("c").alias("a"), F.col("root").alias("ra"))
+    two = kinds.select(F.col("h").alias("g"), F.col("p").alias("q"), F.col("c").alias("b"), F.col("root").alias("rb"))
+    crossed = pairs.join(one, ["h", "p"]).join(two, ["g", "q"])
+    often = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    alike = one.join(often, "h").join(two, F.col("h") == F.col("g")).where(F.col("a") > F.col("b"))
+    every = crossed.select("a", "b", "ra", "rb").unionByName(alike.select("a", "b", "ra", "rb")).where(F.col("ra") != F.col("rb"))
+    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def edit_similar(a: Column, b: Column, percent: int) -> Column:
-    """100 * (1 - edit distance / longer length) >= percent, with a bounded distance."""
+    """100 * (1 - edit distance / longer length) >= percent.
+
+    The distance is bounded, first by a few edits, which most near copies keep to and which is quickly found out.
+    """
     longest = F.greatest(F.char_length(a), F.char_length(b))
     allowed = F.floor(longest * (100 - percent) / 100).cast("int")
-    return (F.least(F.char_length(a), F.char_length(b)) * 100 >= longest * percent) & (F.call_function("levenshtein", a, b, allowed) >= 0)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(cls, root): the smallest class reachable over links (a, b)."""
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(roots.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("root").alias("m"))
-        step = roots.join(near, "cls", "left").select("cls", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("old"))
-        jump = step.select(F.col("cls").alias("root"), F.col("root").alias("up"))
-        step = materialise(step.join(jump, "root", "left").select("cls", F.least("root", F.coalesce("up", "root")).alias("root"), "old"))
-        if step.where(F.col("root") != F.col("old")).isEmpty():
-            return step.drop("old")
-        roots = step.drop("old")
-
-
-def similar_pairs(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose lines pass the edit similarity."""
-    ends = materialise(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().select("cls.id", "cls.line"))
-    ends = F.broadcast(ends) if ends.count() * 64 <= SMALL else ends
-    texts = materialise(lines.join(ends, ["id", "line"], "left_semi").groupBy(F.struct("id", "line").alias("cls")).agg(F.min("norm").alias("norm")))
-    full = pairs.join(texts.select(F.col("cls").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("norm").alias("tb")), "b")
+    few = F.least(allowed, F.floor(longest / 24).cast("int") + 4)
+    within = lambda n: F.call_function("levenshtein", a, b, n) >= 0
+    return (F.least(F.char_length(a), F.char_length(b)) * 100 >= longest * percent) & (within(few) | within(allowed))
+
+
+def only_of(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined with `wanted` on `by`.
+
+    A table of FILTER_ROWS words of 64 bits, one bit set for each wanted key, is broadcast first, so that few
+    others of the rows are shuffled.
+    """
+    mark = F.xxhash64(*by)
+    word, bit = F.pmod(mark, F.lit(FILTER_ROWS)).cast("int").alias("__w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(mark, 58).cast("int"))
+    bits = wanted.select(word, bit.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__b"))
+    passed = rows.withColumn("__w", word).join(F.broadcast(bits), "__w").where(F.col("__b").bitwiseAND(bit) != 0).drop("__w", "__b")
+    return passed.join(wanted, by)
+
+
+def similar_pairs(pairs: DataFrame, kinds: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose lines pass the edit similarity."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    ends = materialise(kinds.select("c", *SPOT).join(ends, "c"))
+    texts = materialise(only_of(lines.select(*SPOT, "norm"), ends, SPOT).select("c", "norm").dropDuplicates(["c"]))
+    full = pairs.join(texts.select(F.col("c").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("norm").alias("tb")), "b")
     return materialise(full.where(edit_similar(F.col("ta"), F.col("tb"), percent)).select("a", "b"))
 
 
-def mark(docs: DataFrame, percent: int = 80, bits: int = 3, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, line, keep) per line of docs: whether it is the first occurrence of its group, or has no word.
+def removed(docs: DataFrame, percent: int = 80, bits: int = 10, blocks: int = 6, crowd: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t, gone): of each document that loses lines their numbers; t is text_key().
 
-    First is by (id, line number). Null texts have one empty line. Lines without a word are kept. Rows
-    of one id are taken as one document with each line number once per row. Rows with a null id are left
-    out. Classes are linked by way of the first of their SimHash; those that this leaves in different
-    components are then compared with all others that the bits allow.
+    A line stays if it is the first occurrence of its group, by (id, line number), or has no word. Null texts
+    have one empty line. Rows of one id with different texts are documents of their own; of equal rows both
+    keep the first occurrence. Rows with a null id are left out.
     """
     spark = docs.sparkSession
-    lines = exploded(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumn("norm", normal(F.col("raw"))).drop("raw")
-    word = F.col("norm") != ""
     path = scratch(spark, "lines")
-    lines.select("id", "line", F.when(word, F.xxhash64("norm")).alias("k1"), F.when(word, F.xxhash64(F.lit("line"), F.col("norm"))).alias("k2")).write.parquet(path)
-    keyed = spark.read.parquet(path)
-    kinds = keyed.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("first")).select("first.id", "first.line")
-    kinds = materialise(kinds.join(simhash(lines.where(word)), ["id", "line"]))
-    near = materialise(near_hashes(kinds.select("h").distinct(), bits, blocks))
-    links = similar_pairs(materialise(candidates(kinds, near)), lines, percent)
-    roots = components(links)
-    more = materialise(open_candidates(kinds, near, roots))
-    if not more.isEmpty():
-        roots = components(links.unionByName(similar_pairs(more, lines, percent)))
-    # of a class stays its first occurrence, if the class is its group's root
-    lost = roots.where(F.col("cls") != F.col("root")).select("cls.id", "cls.line")
-    heads = kinds.select("id", "line").join(lost, ["id", "line"], "left_anti").withColumn("head", F.lit(True))
-    return keyed.join(heads, ["id", "line"], "left").select("id", "line", (F.col("k1").isNull() | F.col("head").isNotNull()).alias("keep"))
+    lines = exploded(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumn("norm", normal(F.col("raw"))).where(F.col("norm") != "")
+    lines.select(*SPOT, "norm", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit("line"), F.col("norm")).alias("k2")).write.option("compression", "zstd").parquet(path)
+    lines = spark.read.parquet(path)
+    heads = lines.groupBy("k1", "k2").agg(F.min(F.struct(*SPOT)).alias("s")).select("s.*")
+    # numbers in the order of occurrence, so that the least of a component is its first line
+    kinds = materialise(heads.join(simhash(lines), SPOT).dropDuplicates(SPOT).orderBy(*SPOT).withColumn("c", F.monotonically_increasing_id()))
+    links = crowded = materialise(crowd_pairs(kinds, bits, blocks, crowd))
+    roots = None
+    if not crowded.isEmpty():
+        links = similar_pairs(crowded, kinds, lines, percent)
+        roots = components(links).withColumnRenamed("id", "c").withColumnRenamed("label", "root")
+        large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("root", F.col("root").alias("p"))
+        roots = materialise(roots.join(large, "root", "left"))
+        known = materialise(kinds.join(roots, "c", "left").select("c", *SPOT, "h", F.coalesce("root", "c").alias("root"), F.coalesce("p", F.lit(-1).cast("long")).alias("p")))
+    else:
+        known = kinds.withColumn("root", F.col("c")).withColumn("p", F.lit(-1).cast("long"))
+    more = materialise(candidates(known, bits, blocks))
+    found = similar_pairs(more, kinds, lines, percent)
+    roots = components(links.unionByName(found) if roots is not None else found)
+    lost = roots.where(F.col("id") != F.col("label")).select(F.col("id").alias("c"))
+    stay = kinds.join(lost, "c", "left_anti").select(*SPOT)
+    both = lines.select(*SPOT, F.lit(False).alias("stays")).unionByName(stay.withColumn("stays", F.lit(True)))
+    number = lambda on: F.collect_set(F.when(F.col("stays") == on, F.col("line")))
+    return both.groupBy("id", "t").agg(F.array_except(number(False), number(True)).alias("gone")).where(F.size("gone") > 0)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
     """docs, all columns, with the text's kept lines, and n_lines and n_removed (as __n_lines, __n_removed).
 
-    A text of which no line goes is unchanged, null included. Rows with a null id are unchanged.
+    A text of which no line goes is unchanged, null included. Rows with a null id are unchanged. The
+    line numbers are broadcast if they are few, else joined.
     """
-    marks = mark(docs, id_col=id_col, text_col=text_col, **rule).distinct().groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("line", "keep"))).alias("__m"))
-    marks = marks.select("__id", F.transform("__m", lambda m: m["keep"]).alias("__keep"))
-    joined = docs.join(marks, F.col(id_col) == F.col("__id"), "left")
+    gone = materialise(removed(docs, id_col=id_col, text_col=text_col, **rule).select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("gone").alias("__gone")))
+    size = gone.agg(F.coalesce(F.sum(F.lit(96) + 4 * F.size("__gone")), F.lit(0))).first()[0]
+    joined = docs.join(F.broadcast(gone) if size <= SMALL else gone, (F.col(id_col) == F.col("__id")) & (text_key(text_col) == F.col("__t")), "left")
     lines = F.split(text_or_empty(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x, i: F.coalesce(F.get(F.col("__keep"), i), F.lit(True)))
-    text = F.when(F.size(kept) == F.size(lines), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[c for c in docs.columns if c != text_col], text.alias(text_col), F.size(lines).cast("long").alias("__n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("__n_removed"))
+    out = F.col("__gone")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
+    text = F.when(out.isNull(), F.col(text_col)).otherwise(kept)
+    return joined.select(*[c for c in docs.columns if c != text_col], text.alias(text_col), F.size(lines).cast("long").alias("__n_lines"), F.coalesce(F.size(out), F.lit(0)).cast("long").alias("__n_removed"))
 
 
 def op10(docs: DataFrame) -> DataFrame:

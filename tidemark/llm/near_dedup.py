@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import components, materialise
 from .tokens import chunks, gram_hashes, mix, split_words
 
 SHINGLE = 5
@@ -199,25 +199,6 @@ def _search(percent: int):
     return search
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id reachable over links (a, b), for every id in them.
-
-    Rounds of neighbours' least labels and of label-of-label jumps, each checkpointed, until nothing
-    changes.
-    """
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
-        jump = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        step = materialise(step.join(jump, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
-        changed = step.where(F.col("label") != F.col("old")).limit(1).count()
-        labels = step.drop("old")
-        if not changed:
-            return labels
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = 1 << 20) -> DataFrame:
     """One row (id, n_shingles, component_id) per row of docs.
 
