@@ -6,6 +6,7 @@ import re
 import zipfile
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -376,13 +377,9 @@ def brute_lines(rows, percent=80, bits=10, blocks=6):
             for k in range(64):
                 s[k] += x >> k & 1
         return sum(1 << k for k in range(64) if 2 * s[k] > len(words))
+    con = duckdb.connect()
     def lev(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            p, d[0] = d[0], i
-            for j, y in enumerate(b, 1):
-                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
-        return d[-1]
+        return con.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0]
     first = {}
     for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         for k, line in enumerate((t or "").split("\n")):

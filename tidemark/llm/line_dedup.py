@@ -10,9 +10,13 @@ found; pairs of 5 to 10 bits are found as far as their bits leave two blocks who
 choice of two blocks with their values, 15 keys of about 21 bits for each SimHash. The difference in bits is
 tested in the join.
 
-Crowds: where three keys of disjoint blocks gather over `crowd` classes, these are first linked to the
-least of them. Classes of one large component are then not paired again, so that a crowd of near copies
-yields links in proportion to its size.
+Hubs: before all pairs are looked for, each class is compared with the least class of its three keys of
+disjoint blocks. Classes of one component of over `crowd` classes are then not paired again, so that a crowd of
+near copies yields links in proportion to its size.
+
+The edit distance is costly character by character. First lines are compared word by word, each word as one
+character: edits of words, times the longest word and a space, bound the distance from above. Only pairs that this
+leaves open, and that no other link has joined by then, are compared by characters.
 
 The SimHash's 64 counters are summed in 8 longs of eight 8-bit lanes each, over at most 127 words at a time;
 lines with more words add these sums up in 32 longs of two wide lanes. Majorities are read off all lanes of
@@ -109,11 +113,11 @@ def near(h: str, g: str, bits: int) -> Column:
     return F.bit_count(F.col(h).bitwiseXOR(F.col(g))) <= bits
 
 
-def crowd_pairs(kinds: DataFrame, bits: int, blocks: int, crowd: int) -> DataFrame:
-    """(a, b): of keys of disjoint blocks that over `crowd` classes share, each class within `bits` of the least and that one."""
+def hub_pairs(kinds: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """Distinct (a, b): each class, with the least class of each of its keys of disjoint blocks, if within `bits` of it."""
     choices = [(2 * i, 2 * i + 1) for i in range(blocks // 2)]
     rows = _keyed(kinds.select("c", "h"), len(choices)).select("c", "h", block_key(F.col("h"), F.col("k"), blocks, choices).alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).drop("n")
+    hubs = rows.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where(F.col("hub") < F.col("top")).drop("top")
     hubs = hubs.join(kinds.select(F.col("c").alias("hub"), F.col("h").alias("g")), "hub")
     return rows.join(hubs, "key").where((F.col("c") > F.col("hub")) & near("h", "g", bits)).select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
 
@@ -137,7 +141,17 @@ def candidates(kinds: DataFrame, bits: int, blocks: int) -> DataFrame:
     often = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     alike = one.join(often, "h").join(two, F.col("h") == F.col("g")).where(F.col("a") > F.col("b"))
     every = crossed.select("a", "b", "ra", "rb").unionByName(alike.select("a", "b", "ra", "rb")).where(F.col("ra") != F.col("rb"))
-    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return every.distinct()
+
+
+def word_codes(norm: Column) -> Column:
+    """One character for each word: 15 bits of its hash, so that two words agree wrongly once in 32768 times."""
+    code = lambda w: F.hex(F.lit(0x1000) + F.xxhash64(w).bitwiseAND(F.lit(0x7FFF)))  # noqa: E731  no surrogates
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-16BE")
+
+
+def longest_word(norm: Column) -> Column:
+    return F.array_max(F.transform(F.split(norm, " "), lambda w: F.char_length(w)))
 
 
 def edit_similar(a: Column, b: Column, percent: int) -> Column:
@@ -165,16 +179,41 @@ def only_of(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     return passed.join(wanted, by)
 
 
-def similar_pairs(pairs: DataFrame, kinds: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose lines pass the edit similarity."""
+def texts_of(pairs: DataFrame, kinds: DataFrame, lines: DataFrame) -> DataFrame:
+    """(c, norm, size, codes, most) of the classes in pairs (a, b)."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     ends = materialise(kinds.select("c", *SPOT).join(ends, "c"))
-    texts = materialise(only_of(lines.select(*SPOT, "norm"), ends, SPOT).select("c", "norm").dropDuplicates(["c"]))
+    texts = only_of(lines.select(*SPOT, "norm"), ends, SPOT).select("c", "norm").dropDuplicates(["c"])
+    path = scratch(pairs.sparkSession, "texts")
+    texts.select("c", "norm", F.char_length("norm").alias("size"), word_codes(F.col("norm")).alias("codes"), longest_word(F.col("norm")).alias("most")).write.parquet(path)
+    return pairs.sparkSession.read.parquet(path)
+
+
+def by_words(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, ...) whose lengths allow the edit similarity, with `linked`: whether their words show it."""
+    side = lambda x: texts.select(F.col("c").alias(x), *[F.col(n).alias(n + x) for n in ("size", "codes", "most")])
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    longest = F.greatest("sizea", "sizeb")
+    edits = F.floor(F.floor(longest * (100 - percent) / 100) / (F.greatest("mosta", "mostb") + 1)).cast("int")
+    full = full.where(F.least("sizea", "sizeb") * 100 >= longest * percent)
+    return materialise(full.select(*pairs.columns, (F.call_function("levenshtein", F.col("codesa"), F.col("codesb"), edits) >= 0).alias("linked")))
+
+
+def by_characters(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose lines pass the edit similarity."""
     full = pairs.join(texts.select(F.col("c").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("norm").alias("tb")), "b")
-    return materialise(full.where(edit_similar(F.col("ta"), F.col("tb"), percent)).select("a", "b"))
+    return materialise(full.where(edit_similar(F.col("ta"), F.col("tb"), percent)).select(*pairs.columns))
+
+
+def relabelled(df: DataFrame, links: DataFrame, cols: list[str]) -> DataFrame:
+    """df with the columns of nodes replaced by the least node that links (a, b) reach from them."""
+    labels = components(links)
+    for c in cols:
+        df = df.join(labels.select(F.col("id").alias(c), F.col("label").alias("__l")), c, "left").withColumn(c, F.coalesce("__l", c)).drop("__l")
+    return df
 
 
-def removed(docs: DataFrame, percent: int = 80, bits: int = 10, blocks: int = 6, crowd: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, percent: int = 80, bits: int = 10, blocks: int = 6, crowd: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, gone): of each document that loses lines their numbers; t is text_key().
 
     A line stays if it is the first occurrence of its group, by (id, line number), or has no word. Null texts
@@ -189,19 +228,19 @@ def removed(docs: DataFrame, percent: int = 80, bits: int = 10, blocks: int = 6,
     heads = lines.groupBy("k1", "k2").agg(F.min(F.struct(*SPOT)).alias("s")).select("s.*")
     # numbers in the order of occurrence, so that the least of a component is its first line
     kinds = materialise(heads.join(simhash(lines), SPOT).dropDuplicates(SPOT).orderBy(*SPOT).withColumn("c", F.monotonically_increasing_id()))
-    links = crowded = materialise(crowd_pairs(kinds, bits, blocks, crowd))
-    roots = None
-    if not crowded.isEmpty():
-        links = similar_pairs(crowded, kinds, lines, percent)
-        roots = components(links).withColumnRenamed("id", "c").withColumnRenamed("label", "root")
-        large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("root", F.col("root").alias("p"))
-        roots = materialise(roots.join(large, "root", "left"))
-        known = materialise(kinds.join(roots, "c", "left").select("c", *SPOT, "h", F.coalesce("root", "c").alias("root"), F.coalesce("p", F.lit(-1).cast("long")).alias("p")))
-    else:
-        known = kinds.withColumn("root", F.col("c")).withColumn("p", F.lit(-1).cast("long"))
+    stars = materialise(hub_pairs(kinds, bits, blocks))
+    linked = by_words(stars, texts_of(stars, kinds, lines), percent).where("linked")
+    known = materialise(relabelled(kinds.withColumn("root", F.col("c")), linked, ["root"]))
+    large = known.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("root", F.col("root").alias("p"))
+    known = known.join(large, "root", "left").withColumn("p", F.coalesce("p", F.lit(-1).cast("long")))
     more = materialise(candidates(known, bits, blocks))
-    found = similar_pairs(more, kinds, lines, percent)
-    roots = components(links.unionByName(found) if roots is not None else found)
+    texts = texts_of(more, kinds, lines)
+    judged = by_words(more, texts, percent)
+    # from here on the nodes are the roots found so far
+    sure = judged.where("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    still = relabelled(judged.where(~F.col("linked")).drop("linked"), sure, ["ra", "rb"]).where(F.col("ra") != F.col("rb"))
+    last = by_characters(materialise(still), texts, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    roots = relabelled(known.select("c", "root"), sure.unionByName(last), ["root"]).select(F.col("c").alias("id"), F.col("root").alias("label"))
     lost = roots.where(F.col("id") != F.col("label")).select(F.col("id").alias("c"))
     stay = kinds.join(lost, "c", "left_anti").select(*SPOT)
     both = lines.select(*SPOT, F.lit(False).alias("stays")).unionByName(stay.withColumn("stays", F.lit(True)))
