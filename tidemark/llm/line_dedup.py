@@ -30,7 +30,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, components, materialise, scratch, text_or_empty
+from .common import WS, components, materialise, scratch, text_or_empty, written
 
 ONES = 0x0101010101010101
 EVEN, EVEN_ONES = 0x00FF00FF00FF00FF, 0x0001000100010001
@@ -184,9 +184,7 @@ def texts_of(pairs: DataFrame, kinds: DataFrame, lines: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     ends = materialise(kinds.select("c", *SPOT).join(ends, "c"))
     texts = only_of(lines.select(*SPOT, "norm"), ends, SPOT).select("c", "norm").dropDuplicates(["c"])
-    path = scratch(pairs.sparkSession, "texts")
-    texts.select("c", "norm", F.char_length("norm").alias("size"), word_codes(F.col("norm")).alias("codes"), longest_word(F.col("norm")).alias("most")).write.parquet(path)
-    return pairs.sparkSession.read.parquet(path)
+    return written(texts.select("c", "norm", F.char_length("norm").alias("size"), word_codes(F.col("norm")).alias("codes"), longest_word(F.col("norm")).alias("most")), "texts")
 
 
 def by_words(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -196,13 +194,13 @@ def by_words(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     longest = F.greatest("sizea", "sizeb")
     edits = F.floor(F.floor(longest * (100 - percent) / 100) / (F.greatest("mosta", "mostb") + 1)).cast("int")
     full = full.where(F.least("sizea", "sizeb") * 100 >= longest * percent)
-    return materialise(full.select(*pairs.columns, (F.call_function("levenshtein", F.col("codesa"), F.col("codesb"), edits) >= 0).alias("linked")))
+    return written(full.select(*pairs.columns, (F.call_function("levenshtein", F.col("codesa"), F.col("codesb"), edits) >= 0).alias("linked")), "judged")
 
 
 def by_characters(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose lines pass the edit similarity."""
     full = pairs.join(texts.select(F.col("c").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("norm").alias("tb")), "b")
-    return materialise(full.where(edit_similar(F.col("ta"), F.col("tb"), percent)).select(*pairs.columns))
+    return written(full.where(edit_similar(F.col("ta"), F.col("tb"), percent)).select(*pairs.columns), "similar")
 
 
 def relabelled(df: DataFrame, links: DataFrame, cols: list[str]) -> DataFrame:
@@ -230,16 +228,16 @@ def removed(docs: DataFrame, percent: int = 80, bits: int = 10, blocks: int = 6,
     kinds = materialise(heads.join(simhash(lines), SPOT).dropDuplicates(SPOT).orderBy(*SPOT).withColumn("c", F.monotonically_increasing_id()))
     stars = materialise(hub_pairs(kinds, bits, blocks))
     linked = by_words(stars, texts_of(stars, kinds, lines), percent).where("linked")
-    known = materialise(relabelled(kinds.withColumn("root", F.col("c")), linked, ["root"]))
+    known = written(relabelled(kinds.withColumn("root", F.col("c")), linked, ["root"]), "known")
     large = known.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("root", F.col("root").alias("p"))
     known = known.join(large, "root", "left").withColumn("p", F.coalesce("p", F.lit(-1).cast("long")))
-    more = materialise(candidates(known, bits, blocks))
+    more = written(candidates(known, bits, blocks), "pairs")
     texts = texts_of(more, kinds, lines)
     judged = by_words(more, texts, percent)
     # from here on the nodes are the roots found so far
     sure = judged.where("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     still = relabelled(judged.where(~F.col("linked")).drop("linked"), sure, ["ra", "rb"]).where(F.col("ra") != F.col("rb"))
-    last = by_characters(materialise(still), texts, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    last = by_characters(still, texts, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     roots = relabelled(known.select("c", "root"), sure.unionByName(last), ["root"]).select(F.col("c").alias("id"), F.col("root").alias("label"))
     lost = roots.where(F.col("id") != F.col("label")).select(F.col("id").alias("c"))
     stay = kinds.join(lost, "c", "left_anti").select(*SPOT)

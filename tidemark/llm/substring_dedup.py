@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import written
 from .tokens import Words, chunks, gram_hashes, mix, split_words
 
 _C1, _C2 = np.uint64(0xA0761D6478BD642F | 1), np.uint64(0xE7037ED1A0B428DB | 1)
@@ -373,13 +373,6 @@ def _remove(n: int, with_text: bool):
     return run
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def repeated_minimizers(rows: DataFrame, n: int, m: int, crowd: int, sample: int, often: int) -> DataFrame:
     """(id, plain, crowded): of each document the minimizers that repeat, apart those of crowds. Written out."""
     spark = rows.sparkSession
