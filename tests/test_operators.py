@@ -71,6 +71,80 @@ def test_similarity_day_of_year_fallback(spark):
     assert mds(df, K, "y", "ta", "sw").first()["filled"] == 7.0
 
 
+def test_similarity_null_temperature_of_the_gap_passes(spark):
+    df = spark.createDataFrame([("a", 240, None, None, 0.0), ("a", 241, 5.0, 30.0, 0.0)], "s string, t long, y double, ta double, sw double")
+    assert mds(df, K, "y", "ta", "sw").first()["filled"] == 5.0
+
+
+def test_similarity_fallback_ignores_the_drivers(spark):
+    year = 24 * 365
+    df = spark.createDataFrame([("a", year * 2 + 84, None, 10.0, 500.0), ("a", year + 36, 7.0, 30.0, 900.0), ("a", year * 2 + 85, 9.0, 30.0, 900.0)], "s string, t long, y double, ta double, sw double")
+    assert mds(df, K, "y", "ta", "sw").first()["filled"] == 8.0
+
+
+def test_respiration_is_the_base_at_ten_degrees(spark):
+    assert spark.range(1).select(X.lloyd_taylor(F.lit(3.0), 200.0, F.lit(10.0))).first()[0] == pytest.approx(3.0)
+
+
+def test_partition_without_a_full_week_takes_the_base_of_all_nights(spark):
+    # 7 nights a week for 60 weeks: no week reaches 8 rows, all together pass 300
+    rows = [("a", w * 168 + 24 * d, 5 + (w * 7 + d) % 15, 0.0) for w in range(60) for d in range(7)]
+    df = spark.createDataFrame(rows, "s string, t long, ta long, rg double").withColumn("ta", F.col("ta").cast("double")).withColumn("fc", X.lloyd_taylor(F.lit(2.5), 180.0, F.col("ta")))
+    out = flux.partition_nee(df, K, "fc", "ta", "rg")
+    assert out.where("reco IS NULL").count() == 0 and out.agg(F.max(F.abs(F.col("reco") - F.col("fc")))).first()[0] < 1e-6
+
+
+def test_friction_threshold_against_loops(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = 1200
+    ta, us = rng.uniform(0, 30, n), np.where(rng.random(n) < 0.3, 0.05, rng.uniform(0.01, 0.9, n))  # many ties, so edges fall together
+    fc = np.minimum(us * 20, 6) + rng.normal(0, 0.2, n)
+    df = spark.createDataFrame([("a", float(a), float(u), float(f), 0.0) for a, u, f in zip(ta, us, fc)], "s string, ta double, us double, fc double, rg double")
+    got = flux.ustar_threshold(df, K, "ta", "us", "fc", "rg").first()["threshold"]
+    cls = (ta[:, None] > np.quantile(ta, [i / 6 for i in range(1, 6)])).sum(1)
+    found = []
+    for k in range(6):
+        u, f = us[cls == k], fc[cls == k]
+        edges = np.unique(np.quantile(u, np.linspace(0, 1, 21)))
+        bins = np.maximum((u[:, None] > edges).sum(1) - 1, 0)
+        mean = {b: f[bins == b].mean() for b in np.unique(bins)}
+        level = np.mean([m for b, m in mean.items() if b >= max(mean) // 2])
+        found.append(u[bins == min(b for b, m in mean.items() if m >= 0.95 * level)].mean())
+    assert got == pytest.approx(min(0.5, max(0.01, float(np.median(found)))), abs=1e-6)
+
+
+def test_climatology_of_an_empty_cell(spark):
+    from tidemark.plans import backtest
+
+    train = spark.createDataFrame([("a", 1, 10.0)] * 24 + [("b", 1, 40.0), ("b", 2, 80.0)], "s string, m int, y double")
+    test = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3)], "s string, m int")
+    got = {(r["s"], r["m"]): r["clim"] for r in backtest.climatology(train, test, "s", ["m"]).collect()}
+    assert got == {("a", 1): 10.0, ("a", 2): 10.0, ("b", 2): 80.0, ("b", 3): pytest.approx(360 / 26)}
+
+
+def test_hurdle_weighs_both_models(spark):
+    from tidemark.plans import models
+
+    rows = [(float(x), 100.0 if x > 5 else 1.0, 1.0 if x > 5 else 0.0) for x in range(10)] * 6
+    df = spark.createDataFrame(rows, "x double, y double, label double")
+    clf = models.fit_classifier("rf", df, ["x"])
+    spike, base = models.fit("rf", df.where("label > 0.5"), ["x"]), models.fit("rf", df.where("label <= 0.5"), ["x"])
+    for r in models.hurdle(clf, spike, base, df).collect():
+        assert r["p"] == pytest.approx(100 * r["prob"] + (1 - r["prob"])) and (r["prob"] > 0.5) == (r["x"] > 5)
+    assert models.fit_classifier("rf", df.where("label < 0.5 OR x = 9").limit(40), ["x"], least=50) is None
+
+
+def test_permuted_columns_matter_if_used(spark):
+    from tidemark.plans import models
+
+    df = spark.createDataFrame([(i, float(i % 10), float(i * 7 % 13), 5.0 * (i % 10)) for i in range(400)], "row long, a double, b double, y double")
+    out = {(r["family"], r["rep"]): r["delta"] for r in models.permutation_importance(models.fit("lr", df, ["a", "b"]), df, {"a": ["a"], "b": ["b"]}, 2).collect()}
+    # y = 5 a: taking a from another row adds about 5 sd(a) sqrt(2) = 20; b has no weight
+    assert all(15 < out["a", k] < 25 and abs(out["b", k]) < 0.5 for k in (0, 1))
+
+
 def test_similarity_day_of_year_wraps(spark):
     # candidates on all days of 1970, gaps in the leap year 1972: too far for the windows, so all are filled by day of year
     gaps = [1, 2, 8, 180, 352, 358, 359, 360, 364, 365, 366]
@@ -84,9 +158,10 @@ def test_similarity_day_of_year_wraps(spark):
 
 
 def test_rule_order(spark):
-    rules = [("fertN", ["inorganic"]), ("manure", ["organic"])]
-    df = spark.createDataFrame([("Inorganic fertiliser",), ("Organic manure",), ("Seed",)], "x string")
-    assert [r[0] for r in df.select(qc.classify(F.col("x"), rules)).collect()] == ["fertN", "manure", "other"]
+    rows = [("Inorganic fertiliser N", "x", "fertN"), ("Organic Fertiliser", "Mow", "manure"), ("Liming", None, "lime"), (None, "Mow ", "cut"), ("", "Plough", "cultiv"), (None, "Drilling barley", "cultiv"),
+            (None, "Apply Fertiliser", "fertN"), (None, "Apply fertiliser", None), (None, None, None), ("Seed", "mow", None)]
+    df = spark.createDataFrame(rows, "a string, o string, want string")
+    assert [r[0] for r in df.select(qc.event_channel(F.col("a"), F.col("o"))).collect()] == [w for *_, w in rows]
 
 
 def test_asof_takes_the_larger_of_tied_events_and_none_before_the_first(spark):

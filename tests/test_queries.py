@@ -47,8 +47,14 @@ def test_against_duckdb(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_models_return_rows(spark, name):
-    df = catalog.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    df = catalog.QUERIES[name](spark, SF).cache()
+    kinds = dict(df.dtypes)
+    assert df.count() > 0
+    for c in ("precision", "recall", "f1"):
+        assert c not in kinds or not df.where(f"{c} < 0 OR {c} > 1").count()
+    for c in ("RMSE", "importance", "n_test", "n_spike", "n", "gpp", "reco"):
+        assert c not in kinds or not df.where(f"`{c}` < 0").count()
+    df.unpersist()
 
 
 def test_entry(spark):

@@ -23,7 +23,8 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
-def lloyd_taylor(rref: Column, e0: Column | float, temp: Column, tref: float = 15.0, t0: float = -46.02) -> Column:
+def lloyd_taylor(rref: Column, e0: Column | float, temp: Column, tref: float = 10.0, t0: float = -46.02) -> Column:
+    """Respiration at a temperature in C; rref is that at 10 C."""
     e0 = F.lit(float(e0)) if not isinstance(e0, Column) else e0
     return rref * F.exp(e0 * (F.lit(1 / (tref - t0)) - 1 / (temp - F.lit(t0))))
 

@@ -30,9 +30,9 @@ def mds(panel: DataFrame, keys: list[str], target: str, ta: str, sw: str, window
     """(keys, t, filled): marginal distribution sampling for steps (hours) without target.
 
     A candidate has a target, lies within the window's days, within an hour of the clock (23 and 0 are
-    no neighbours), TA within 2.5 and, by day (SW > 10), SW within 50; a candidate's null TA or SW passes.
-    The smallest window with a candidate gives the mean; else the same hours and drivers within 7 days of
-    the year. Candidates are found by equi-joins on (key, hour, block of days), not by comparing all.
+    no neighbours), TA within 2.5 and, by day (SW > 10), SW within 50; a null TA or SW on either side passes.
+    The smallest window with a candidate gives the mean; else the same hours within 7 days of the year,
+    whatever the drivers. Candidates are found by equi-joins on (key, hour, block of days), not by comparing all.
     """
     rows = panel.withColumn("__hr", F.pmod(F.col(t), F.lit(24))).withColumn("__day", F.floor(F.col(t) / 24))
     gaps = rows.where(F.col(target).isNull()).select(*keys, F.col(t).alias("gt"), F.col("__hr").alias("ghr"), F.col("__day").alias("gday"), F.col(ta).alias("gta"), F.col(sw).alias("gsw"))
@@ -42,7 +42,7 @@ def mds(panel: DataFrame, keys: list[str], target: str, ta: str, sw: str, window
     gaps = gaps.withColumn("chr", F.explode(clock))
     block = F.floor(F.col("cday") / (widest + 1))
     near = gaps.withColumn("b", F.explode(F.sequence(F.floor(F.col("gday") / (widest + 1)) - 1, F.floor(F.col("gday") / (widest + 1)) + 1)))
-    similar = (F.coalesce(F.abs(F.col("gta") - F.col("cta")) <= 2.5, F.col("gta").isNotNull() & F.col("cta").isNull())
+    similar = (F.coalesce(F.abs(F.col("gta") - F.col("cta")) <= 2.5, F.lit(True))
                & ((F.coalesce(F.col("gsw"), F.lit(0.0)) <= 10) | F.col("csw").isNull() | (F.abs(F.col("gsw") - F.col("csw")) <= 50)))
     rank = F.lit(len(windows))
     for i, days in reversed(list(enumerate(windows))):
@@ -58,5 +58,5 @@ def mds(panel: DataFrame, keys: list[str], target: str, ta: str, sw: str, window
     left = left.withColumn("b", F.explode(spread))
     apart = F.least(F.abs(F.col("gdoy") - F.col("cdoy")), 365 - F.abs(F.col("gdoy") - F.col("cdoy")))
     late = have.withColumn("cdoy", doy(F.col("cday"))).withColumn("b", F.floor(F.pmod(F.col("cdoy"), F.lit(365)) / 8))
-    again = left.join(late, [*keys, "chr", "b"]).where(similar & (apart <= 7)).groupBy(*keys, "gt").agg(F.avg("y").alias("filled"))
+    again = left.join(late, [*keys, "chr", "b"]).where(apart <= 7).groupBy(*keys, "gt").agg(F.avg("y").alias("filled"))
     return first.unionByName(again).withColumnRenamed("gt", t)

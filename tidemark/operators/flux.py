@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, lloyd_taylor
 from .gaps import fill_both, interpolate
 
-TREF, T0 = 15.0, -46.02
+TREF, T0 = 10.0, -46.02
 
 
 def mdc_fill(df: DataFrame, keys: list[str], col: str, name: str, windows: tuple[int, ...] = (7, 14, 28, 60), t: str = "t") -> DataFrame:
@@ -31,19 +31,22 @@ def mdc_fill(df: DataFrame, keys: list[str], col: str, name: str, windows: tuple
 
 
 def ustar_threshold(df: DataFrame, keys: list[str], ta: str, ustar: str, fc: str, rg: str) -> DataFrame:
-    """(keys, threshold): where the night flux levels off, by classes of temperature and bins of friction velocity."""
+    """(keys, threshold): where the night flux levels off, by classes of temperature and bins of friction velocity.
+
+    Of each class the 20 quantile bins between at least 6 distinct edges, both ends included; the plateau is the
+    mean of the bins from half the greatest bin number on, empty bins being counted in the numbers.
+    """
     night = df.where((F.col(rg) < 20) & (F.col(ustar) > 0) & F.col(fc).isNotNull() & F.col(ta).isNotNull()).select(*keys, F.col(ta).alias("ta"), F.col(ustar).alias("us"), F.col(fc).alias("fc"))
     count = df.select(*keys).distinct().join(night.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "left")
     edges = night.groupBy(*keys).agg(F.percentile("ta", F.array(*[F.lit(i / 6) for i in range(1, 6)])).alias("te"))
     bin_of = lambda x, e: F.aggregate(e, F.lit(0), lambda a, v: a + (x > v).cast("int"))
     rows = night.join(edges, keys).withColumn("cls", bin_of(F.col("ta"), F.col("te")))
-    inner = rows.groupBy(*keys, "cls").agg(F.percentile("us", F.array(*[F.lit(i / 20) for i in range(1, 20)])).alias("ue"), F.count(F.lit(1)).alias("m"))
+    inner = rows.groupBy(*keys, "cls").agg(F.percentile("us", F.array(*[F.lit(i / 20) for i in range(21)])).alias("ue"), F.count(F.lit(1)).alias("m"))
     inner = inner.where((F.col("m") >= 50) & (F.size(F.array_distinct("ue")) >= 6))
-    bins = rows.join(inner, [*keys, "cls"]).withColumn("bin", bin_of(F.col("us"), F.array_distinct("ue"))).groupBy(*keys, "cls", "bin").agg(F.avg("us").alias("us"), F.avg("fc").alias("fc"))
-    order = Window.partitionBy(*keys, "cls").orderBy("bin")
-    whole = Window.partitionBy(*keys, "cls")
-    bins = bins.withColumn("r", F.row_number().over(order) - 1).withColumn("k", F.count(F.lit(1)).over(whole)).where("k >= 6")
-    plateau = F.avg(F.when(F.col("r") >= F.floor(F.col("k") / 2), F.col("fc"))).over(whole)
+    bins = rows.join(inner, [*keys, "cls"]).withColumn("bin", F.greatest(bin_of(F.col("us"), F.array_distinct("ue")) - 1, F.lit(0))).groupBy(*keys, "cls", "bin").agg(F.avg("us").alias("us"), F.avg("fc").alias("fc"))
+    whole = Window.partitionBy(*keys, "cls")  # at most 20 bins
+    bins = bins.withColumn("k", F.count(F.lit(1)).over(whole)).withColumn("top", F.max("bin").over(whole)).where("k >= 6")
+    plateau = F.avg(F.when(F.col("bin") >= F.floor(F.col("top") / 2), F.col("fc"))).over(whole)
     bins = bins.withColumn("p", plateau).where("p > 0 AND fc >= 0.95 * p")
     per = bins.groupBy(*keys, "cls").agg(F.min_by("us", "bin").alias("us")).groupBy(*keys).agg(F.median("us").alias("us"))
     got = count.join(per, keys, "left")
@@ -64,8 +67,8 @@ def fit_e0(night: DataFrame, keys: list[str], fc: str, ta: str, grid: Column) ->
 
 
 def partition_nee(df: DataFrame, keys: list[str], fc: str, ta: str, rg: str, t: str = "t", refine: bool = True) -> DataFrame:
-    """Adds reco and gpp: E0 over all nights, base respiration by weeks of at least 8 night rows, interpolated; null under 300 night rows."""
-    night = df.where((F.col(rg) < 20) & F.col(fc).isNotNull() & F.col(ta).isNotNull())
+    """Adds reco and gpp: E0 over all nights, base respiration by weeks of at least 8 night rows, interpolated, that of all nights if there is no such week; null under 300 night rows."""
+    night = df.where((F.col(rg) < 20) & F.col(fc).isNotNull() & (F.col(ta) > -43.15))
     enough = night.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 300").select(*keys)
     night = night.join(enough, keys, "left_semi")
     e0 = fit_e0(night, keys, fc, ta, F.sequence(F.lit(30), F.lit(450)))
@@ -80,7 +83,8 @@ def partition_nee(df: DataFrame, keys: list[str], fc: str, ta: str, rg: str, t:
     week = night.join(first, keys).join(e0, keys).groupBy(*keys, block.alias("blk")).agg(F.when(F.count(F.lit(1)) >= 8, clip(F.sum(F.col(fc) * g) / F.sum(g * g), 0.0, 60.0)).alias("rref"))
     weeks = df.select(*keys, "blk").distinct().join(week, [*keys, "blk"], "left")
     weeks = fill_both(interpolate(weeks, keys, "rref", "__i", t="blk"), keys, "__i", "rref_f", t="blk").select(*keys, "blk", F.col("rref_f").alias("rref"))
-    out = df.join(weeks, [*keys, "blk"], "left").join(e0, keys, "left")
-    out = out.withColumn("reco", F.col("rref") * _g(F.col(ta), F.col("e0")))
+    whole = night.join(e0, keys).groupBy(*keys).agg(clip(F.sum(F.col(fc) * g) / F.sum(g * g), 0.0, 60.0).alias("__all"))
+    out = df.join(weeks, [*keys, "blk"], "left").join(e0.join(whole, keys), keys, "left")
+    out = out.withColumn("reco", F.coalesce("rref", "__all") * _g(F.col(ta), F.col("e0")))
     gpp = F.when(F.col("reco").isNotNull() | F.col("e0").isNotNull(), F.when(F.col(rg) < 20, 0.0).otherwise(F.when(F.col(fc).isNotNull() & F.col("reco").isNotNull(), F.greatest(F.col("reco") - F.col(fc), F.lit(0.0)))))
-    return out.withColumn("gpp", gpp).drop("__t0", "blk", "rref", "e0")
+    return out.withColumn("gpp", gpp).drop("__t0", "blk", "rref", "e0", "__all")

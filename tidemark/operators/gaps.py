@@ -11,16 +11,13 @@ from .grid import last_known, over_halo
 def islands(df: DataFrame, keys: list[str], flag: Column, t: str = "t") -> DataFrame:
     """(keys, start, stop, steps) of each run of consecutive steps with the flag.
 
-    A run starts where the step before lacks the flag; its stop is the next end mark. Steps are
-    consecutive integers, so starts and stops are found by joins of t with t - 1 and t + 1.
+    A run starts where the step before lacks the flag; its stop is the next end mark, carried over chunks.
     """
-    on = df.where(flag).select(*keys, t)
-    w = Window.partitionBy(*keys).orderBy(t)
-    before = on.select(*keys, (F.col(t) + 1).alias(t))
-    after = on.select(*keys, (F.col(t) - 1).alias(t))
-    starts = on.join(before, [*keys, t], "left_anti").select(*keys, F.col(t).alias("start"), F.row_number().over(w).alias("__n"))
-    stops = on.join(after, [*keys, t], "left_anti").select(*keys, F.col(t).alias("stop"), F.row_number().over(w).alias("__n"))
-    return starts.join(stops, [*keys, "__n"]).drop("__n").withColumn("steps", F.col("stop") - F.col("start") + 1)
+    on = over_halo(df.where(flag).select(*keys, t), keys, {"__b": lambda w: F.lag(t).over(w), "__a": lambda w: F.lead(t).over(w)}, 1, 1, t)
+    end = F.when(F.coalesce(F.col("__a") != F.col(t) + 1, F.lit(True)), F.col(t))
+    on = last_known(on, keys, end, "stop", t=t, forward=True)
+    starts = on.where(F.coalesce(F.col("__b") != F.col(t) - 1, F.lit(True)))
+    return starts.select(*keys, F.col(t).alias("start"), "stop", (F.col("stop") - F.col(t) + 1).alias("steps"))
 
 
 def gap_runs(df: DataFrame, keys: list[str], col: str, t: str = "t") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16  # steps of a series that one task windows over
+CHUNK = 1 << 12  # steps of a series that one task windows over
 
 
 def hours(ts: Column | str) -> Column:

@@ -47,14 +47,29 @@ def row_mean(cols: list[str]) -> Column:
     return F.when(n > 0, total / n)
 
 
-def classify(text: Column, rules: list[tuple[str, list[str]]], other: str = "other") -> Column:
-    """First rule with a word that the lower-cased text contains; the order of rules decides ("inorganic" holds "organic")."""
-    out = F.lit(other)
-    for name, words in reversed(rules):
-        out = F.when(reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in words]), name).otherwise(out)
+# Field operations of the cut and the cultivation channel.
+CUT = ("Mow", "Rowing up", "Forage harvest", "Trailers (silage)", "Top", "Baling (silage)", "Hay turning")
+CULTIVATION = ("Plough", "Power harrow", "Drill Seed", "Broadcast Seed", "Grass seeding (overseeding)", "Cambridge/Ring roll", "Sub soiling / ripping", "Chain harrow", "Cultivate / Level")
+
+
+def classify(rules: list[tuple[str, Column]], other: str | None = "other") -> Column:
+    """The name of the first rule whose condition holds; a null condition does not."""
+    out = F.lit(other).cast("string")
+    for name, holds in reversed(rules):
+        out = F.when(holds, name).otherwise(out)
     return out
 
 
+def event_channel(application: Column, operation: Column) -> Column:
+    """Channel of a field event from two texts, or null: words of the application, then sets and a prefix of the operation.
+
+    The order decides ("inorganic" holds "organic"); fertiliser applied without a kind counts as inorganic.
+    """
+    used, done = F.lower(application), F.trim(operation)
+    return classify([("fertN", used.contains("inorganic fertiliser")), ("manure", used.contains("organic fertiliser")), ("lime", used.contains("liming")), ("cut", done.isin(*CUT)),
+                     ("cultiv", done.isin(*CULTIVATION) | done.startswith("Drilling")), ("fertN", done == "Apply Fertiliser")], None)
+
+
 def confusion(label: Column, predicted: Column) -> Column:
     """TP, FP, FN or TN of two boolean columns."""
     return F.when(label & predicted, "TP").when(predicted, "FP").when(label, "FN").otherwise("TN")

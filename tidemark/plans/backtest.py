@@ -9,14 +9,14 @@ from ..functions.scalar import conformal_level
 
 
 def climatology(train: DataFrame, test: DataFrame, key: str, by: list[str], y: str = "y", min_rows: int = 24, name: str = "clim") -> DataFrame:
-    """test with the mean of the training rows of its key and `by` cell; keys under min_rows training rows take the pooled cell, empty cells the global mean."""
-    n = train.groupBy(key).agg(F.count(y).alias("__n"))
+    """test with the mean of the training rows of its key and `by` cell; keys under min_rows training rows take the pooled cell. An empty cell takes the mean of the rows that it was looked for in."""
+    n = train.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.avg(y).alias("__m"))
     own = train.groupBy(key, *by).agg(F.avg(y).alias("__o"))
     pooled = train.groupBy(*by).agg(F.avg(y).alias("__p"))
     total = train.agg(F.avg(y).alias("__g"))  # one row
     out = test.join(n, key, "left").join(own, [key, *by], "left").join(pooled, by, "left").join(F.broadcast(total))
-    best = F.when(F.coalesce(F.col("__n"), F.lit(0)) >= min_rows, F.col("__o")).otherwise(F.col("__p"))
-    return out.withColumn(name, F.coalesce(best, F.col("__g"))).drop("__n", "__o", "__p", "__g")
+    best = F.when(F.coalesce(F.col("__n"), F.lit(0)) >= min_rows, F.coalesce("__o", "__m")).otherwise(F.coalesce("__p", "__g"))
+    return out.withColumn(name, best).drop("__n", "__m", "__o", "__p", "__g")
 
 
 def thresholds(df: DataFrame, key: str, y: str = "y", q: float = 0.9, min_rows: int = 20) -> DataFrame:

@@ -139,10 +139,10 @@ def x19(spark, sf):
     return a.select("series", "t", r(F.element_at("tr", 22)).alias("trend22"), r(F.element_at("tr", 24)).alias("trend24"))
 
 
-@query("a33_gap_buckets", f"{HP}, {RUNS} SELECT series, count(*) FILTER (steps = 1) AS one, count(*) FILTER (steps BETWEEN 2 AND 288) AS days12, count(*) FILTER (steps > 288) AS longer, max(steps) AS longest, median(steps) AS med FROM rn GROUP BY series")
+@query("a33_gap_buckets", f"{HP}, {RUNS} SELECT series, count(*) FILTER (steps = 1) AS one, count(*) FILTER (steps BETWEEN 2 AND 288) AS days12, count(*) FILTER (steps BETWEEN 289 AND 720) AS days30, count(*) FILTER (steps > 720) AS longer, max(steps) AS longest, median(steps) AS med FROM rn GROUP BY series")
 def a33(spark, sf):
     n = c("steps")
-    return gaps.gap_runs(panel(spark, sf), K, "y").groupBy("series").agg(F.count_if(n == 1).alias("one"), F.count_if(n.between(2, 288)).alias("days12"), F.count_if(n > 288).alias("longer"), F.max(n).alias("longest"), F.median(n).alias("med"))
+    return gaps.gap_runs(panel(spark, sf), K, "y").groupBy("series").agg(F.count_if(n == 1).alias("one"), F.count_if(n.between(2, 288)).alias("days12"), F.count_if(n.between(289, 720)).alias("days30"), F.count_if(n > 720).alias("longer"), F.max(n).alias("longest"), F.median(n).alias("med"))
 
 
 @query("o2_top_gaps", f"{HP}, {RUNS} SELECT series, start, steps FROM rn ORDER BY steps DESC, series, start LIMIT 10")
@@ -171,10 +171,11 @@ def g1(spark, sf):
 
 MDS_SQL = """gp AS (SELECT series, t AS gt, t % 24 AS ghr, t // 24 AS gday, ta AS gta, sw AS gsw FROM {src} WHERE y IS NULL),
 cd AS (SELECT series, t AS ct, t % 24 AS chr, t // 24 AS cday, ta AS cta, sw AS csw, y FROM {src} WHERE y IS NOT NULL),
-pr AS (SELECT gp.series, gt, y, gday, cday, CASE WHEN abs(gt - ct) <= 7 * 24 THEN 0 WHEN abs(gt - ct) <= 14 * 24 THEN 1 WHEN abs(gt - ct) <= 28 * 24 THEN 2 WHEN abs(gt - ct) <= 91 * 24 THEN 3 ELSE 4 END AS k
-  FROM gp JOIN cd ON gp.series = cd.series AND abs(ghr - chr) <= 1 AND (cta IS NULL AND gta IS NOT NULL OR abs(gta - cta) <= 2.5) AND (coalesce(gsw, 0) <= 10 OR csw IS NULL OR abs(gsw - csw) <= 50)),
-bk AS (SELECT series, gt, min(k) AS k FROM pr WHERE k < 4 GROUP BY ALL),
-f1 AS (SELECT pr.series, pr.gt, avg(y) AS filled FROM pr JOIN bk ON bk.series = pr.series AND bk.gt = pr.gt AND bk.k = pr.k GROUP BY ALL),
+pr AS (SELECT gp.series, gt, y, gday, cday, CASE WHEN abs(gt - ct) <= 7 * 24 THEN 0 WHEN abs(gt - ct) <= 14 * 24 THEN 1 WHEN abs(gt - ct) <= 28 * 24 THEN 2 WHEN abs(gt - ct) <= 91 * 24 THEN 3 ELSE 4 END AS k,
+  (cta IS NULL OR gta IS NULL OR abs(gta - cta) <= 2.5) AND (coalesce(gsw, 0) <= 10 OR csw IS NULL OR abs(gsw - csw) <= 50) AS alike
+  FROM gp JOIN cd ON gp.series = cd.series AND abs(ghr - chr) <= 1),
+bk AS (SELECT series, gt, min(k) AS k FROM pr WHERE k < 4 AND alike GROUP BY ALL),
+f1 AS (SELECT pr.series, pr.gt, avg(y) AS filled FROM pr JOIN bk ON bk.series = pr.series AND bk.gt = pr.gt AND bk.k = pr.k WHERE alike GROUP BY ALL),
 dd AS (SELECT *, dayofyear(DATE '1970-01-01' + CAST(gday AS INT)) AS g, dayofyear(DATE '1970-01-01' + CAST(cday AS INT)) AS q FROM pr),
 f2 AS (SELECT series, gt, avg(y) AS filled FROM dd WHERE least(abs(g - q), 365 - abs(g - q)) <= 7 AND NOT EXISTS (SELECT 1 FROM bk WHERE bk.series = dd.series AND bk.gt = dd.gt) GROUP BY ALL),
 fl AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2)"""
@@ -205,10 +206,10 @@ TOWERS = """tw AS (SELECT l_returnflag AS series, l_orderkey * 7 + l_linenumber
 USTAR = f"""WITH {TOWERS}, nt AS (SELECT * FROM tw WHERE rg < 20 AND us > 0),
 te AS (SELECT series, quantile_cont(ta, [i / 6.0 for i in range(1, 6)]) AS te, count(*) AS n FROM nt GROUP BY series),
 cl AS (SELECT nt.*, len(list_filter(te, lambda x: ta > x)) AS cls FROM nt JOIN te ON te.series = nt.series),
-ue AS (SELECT series, cls, list_distinct(quantile_cont(us, [i / 20.0 for i in range(1, 20)])) AS ue FROM cl GROUP BY ALL HAVING count(*) >= 50),
-bn AS (SELECT cl.series, cl.cls, len(list_filter(ue, lambda x: us > x)) AS bin, avg(us) AS us, avg(fc) AS fc FROM cl JOIN ue ON ue.series = cl.series AND ue.cls = cl.cls WHERE len(ue) >= 6 GROUP BY ALL),
-rk AS (SELECT *, row_number() OVER (PARTITION BY series, cls ORDER BY bin) - 1 AS k, count(*) OVER (PARTITION BY series, cls) AS m FROM bn),
-pl AS (SELECT *, avg(CASE WHEN k >= m // 2 THEN fc END) OVER (PARTITION BY series, cls) AS p FROM rk WHERE m >= 6),
+ue AS (SELECT series, cls, list_distinct(quantile_cont(us, [i / 20.0 for i in range(0, 21)])) AS ue FROM cl GROUP BY ALL HAVING count(*) >= 50),
+bn AS (SELECT cl.series, cl.cls, greatest(len(list_filter(ue, lambda x: us > x)) - 1, 0) AS bin, avg(us) AS us, avg(fc) AS fc FROM cl JOIN ue ON ue.series = cl.series AND ue.cls = cl.cls WHERE len(ue) >= 6 GROUP BY ALL),
+rk AS (SELECT *, max(bin) OVER (PARTITION BY series, cls) AS top, count(*) OVER (PARTITION BY series, cls) AS m FROM bn),
+pl AS (SELECT *, avg(CASE WHEN bin >= top // 2 THEN fc END) OVER (PARTITION BY series, cls) AS p FROM rk WHERE m >= 6),
 pc AS (SELECT series, cls, arg_min(us, bin) AS us FROM pl WHERE p > 0 AND fc >= 0.95 * p GROUP BY ALL),
 md AS (SELECT series, median(us) AS us FROM pc GROUP BY series)
 SELECT te.series, round(CASE WHEN n >= 200 AND us IS NOT NULL THEN greatest(0.01, least(0.5, us)) ELSE 0.1 END, 4) AS threshold FROM te LEFT JOIN md ON md.series = te.series"""
@@ -220,7 +221,7 @@ def g3(spark, sf):
 
 
 E0_SQL = f"""WITH {TOWERS}, nt AS (SELECT * FROM tw WHERE rg < 20), ok AS (SELECT series FROM nt GROUP BY series HAVING count(*) >= 300),
-g AS (SELECT series, e0, sum(fc * g) AS fg, sum(g * g) AS gg, sum(fc * fc) AS ff FROM (SELECT nt.series, e0, fc, exp(e0 * (1 / (15.0 + 46.02) - 1 / (ta + 46.02))) AS g FROM nt JOIN ok ON ok.series = nt.series, (SELECT unnest(generate_series(30, 450)) AS e0)) GROUP BY ALL),
+g AS (SELECT series, e0, sum(fc * g) AS fg, sum(g * g) AS gg, sum(fc * fc) AS ff FROM (SELECT nt.series, e0, fc, exp(e0 * (1 / (10.0 + 46.02) - 1 / (ta + 46.02))) AS g FROM nt JOIN ok ON ok.series = nt.series, (SELECT unnest(generate_series(30, 450)) AS e0)) GROUP BY ALL),
 s AS (SELECT *, greatest(0.0, least(60.0, fg / gg)) AS rr FROM g)
 SELECT series, arg_min(e0, ff - 2 * rr * fg + rr * rr * gg) AS e0 FROM s GROUP BY series"""
 
@@ -314,8 +315,8 @@ def g11(spark, sf):
 
 FC = f"""WITH {DAILY}, f AS (SELECT b.series, a.d, b.d AS tt, b.y, a.y AS persist, month(DATE '1970-01-01' + CAST(b.d AS INT)) AS m FROM o a JOIN o b ON b.series = a.series AND b.d = a.d + 1),
 tr AS (SELECT * FROM f WHERE tt < 10957), te AS (SELECT * FROM f WHERE tt >= 10957),
-tn AS (SELECT series, count(y) AS n FROM tr GROUP BY series), ow AS (SELECT series, m, avg(y) AS own FROM tr GROUP BY ALL), pl AS (SELECT m, avg(y) AS pooled FROM tr GROUP BY m),
-fc AS (SELECT te.*, coalesce(CASE WHEN coalesce(n, 0) >= 24 THEN own ELSE pooled END, (SELECT avg(y) FROM tr)) AS clim
+tn AS (SELECT series, count(*) AS n, avg(y) AS own_mean FROM tr GROUP BY series), ow AS (SELECT series, m, avg(y) AS own FROM tr GROUP BY ALL), pl AS (SELECT m, avg(y) AS pooled FROM tr GROUP BY m),
+fc AS (SELECT te.*, CASE WHEN coalesce(n, 0) >= 24 THEN coalesce(own, own_mean) ELSE coalesce(pooled, (SELECT avg(y) FROM tr)) END AS clim
   FROM te LEFT JOIN tn ON tn.series = te.series LEFT JOIN ow ON ow.series = te.series AND ow.m = te.m LEFT JOIN pl ON pl.m = te.m)"""
 
 
@@ -331,6 +332,10 @@ def scores(spark, sf):
     return M.point_metrics(forecasts(spark, sf)[0], K, p="persist", naive="persist", clim="clim")
 
 
+def climatology_scores(spark, sf):
+    return M.point_metrics(forecasts(spark, sf)[0], K, p="clim", naive="persist")
+
+
 @query("m9_flagship", f"{HP}, f AS (SELECT b.series, b.y, a.y AS p FROM h a JOIN h b ON b.series = a.series AND b.t = a.t + 1 WHERE a.y IS NOT NULL AND b.y IS NOT NULL) SELECT series, round(sqrt(avg((p - y) ** 2)), 4) AS rmse, round(avg(abs(p - y)), 4) AS mae, round(1 - sum((p - y) ** 2) / (var_pop(y) * count(*)), 4) AS r2, round(avg(p - y), 4) AS mbe FROM f GROUP BY series")
 def flagship(spark, sf):
     """Gated hourly means on a full grid, persistence one step ahead, scored per series."""
@@ -339,7 +344,7 @@ def flagship(spark, sf):
     return m.select("series", r("RMSE").alias("rmse"), r("MAE").alias("mae"), r("R2").alias("r2"), r("MBE").alias("mbe"))
 
 
-def _metric(name, column, sql):
+def _metric(name, column, sql, scores=scores):
     @query(name, f"{FC} SELECT series, round({sql}, 4) AS v FROM fc GROUP BY series")
     def run(spark, sf):
         return scores(spark, sf).select("series", r(column).alias("v"))
@@ -352,7 +357,7 @@ _metric("m2_mae", "MAE", "avg(abs(persist - y))")
 _metric("m3_r2", "R2", "1 - sum((persist - y) ** 2) / (var_pop(y) * count(*))")
 _metric("m4_mbe", "MBE", "avg(persist - y)")
 _metric("m5_wape", "WAPE", "sum(abs(y - persist)) / sum(abs(y))")
-_metric("m6_mase", "MASE", "avg(abs(persist - y)) / avg(abs(persist - y))")
+_metric("m6_mase", "MASE", "avg(abs(clim - y)) / avg(abs(persist - y))", climatology_scores)
 _metric("m7_smape", "sMAPE", "avg(2 * abs(y - persist) / greatest(abs(y) + abs(persist), 1e-6))")
 _metric("m8_mape", "MAPE", "avg(CASE WHEN abs(y) >= 1 THEN abs(y - persist) / abs(y) END)")
 _metric("m10_skill", "skill_clim", f"1 - {SQ} / sqrt(avg((clim - y) ** 2))")

@@ -128,10 +128,10 @@ def p5(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", qc.qc_gate(c("l_quantity"), c("l_returnflag"), ("N",)).alias("q"))
 
 
-@query("p6_select_by_name", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+@query("p6_select_by_name", "SELECT p_partkey, p_brand, p_type, p_retailprice FROM part")
 def p6(spark, sf):
     p = table(spark, sf, "part")
-    return p.select(p.colRegex("`p_.*`"))
+    return p.select(p.colRegex("`p_(?!name|size).*`"))
 
 
 @query("p7_generic_names", "SELECT 'l' AS station, l_orderkey, l_quantity AS value FROM lineitem")
@@ -191,12 +191,11 @@ def p15(spark, sf):
     return qc.drop_constant(df, ["l_quantity", "one", "none"])
 
 
-RULES = [("economy", ["economy"]), ("polished", ["polished", "burnished"]), ("standard", ["standard", "small"]), ("other_metal", ["steel", "tin"])]
-
-
-@query("p16_classify", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'economy') THEN 'economy' WHEN contains(lower(p_type), 'polished') OR contains(lower(p_type), 'burnished') THEN 'polished' WHEN contains(lower(p_type), 'standard') OR contains(lower(p_type), 'small') THEN 'standard' WHEN contains(lower(p_type), 'steel') OR contains(lower(p_type), 'tin') THEN 'other_metal' ELSE 'other' END AS channel FROM part")
+@query("p16_classify", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'economy') THEN 'economy' WHEN contains(lower(p_type), 'standard') AND p_brand IN ('Brand#11', 'Brand#12') THEN 'standard' WHEN p_brand IN ('Brand#13', 'Brand#21') OR starts_with(p_brand, 'Brand#3') THEN 'brand' WHEN p_type = 'PROMO BURNISHED COPPER' THEN 'economy' END AS channel FROM part")
 def p16(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", qc.classify(c("p_type"), RULES).alias("channel"))
+    kind, brand = F.lower("p_type"), c("p_brand")
+    rules = [("economy", kind.contains("economy")), ("standard", kind.contains("standard") & brand.isin("Brand#11", "Brand#12")), ("brand", brand.isin("Brand#13", "Brand#21") | brand.startswith("Brand#3")), ("economy", c("p_type") == "PROMO BURNISHED COPPER")]
+    return table(spark, sf, "part").select("p_partkey", qc.classify(rules, None).alias("channel"))
 
 
 @query("p17_roles", f"WITH {PANEL} SELECT a.series, a.t, round(a.y, 4) AS ar_y, round(b.ta, 4) AS fx_ta FROM h a JOIN h b ON a.series = b.series AND b.t = a.t + 6")
@@ -293,8 +292,7 @@ ASOF = "er AS (SELECT date_diff('hour', TIMESTAMP '1970-01-01', date_trunc('hour
 def j8(spark, sf):
     from ..operators.asof import asof
     h, e = probes_and_events(spark, sf)
-    h = h.withColumn("channel", lit("error"))
-    return asof(h, e.withColumn("channel", lit("error")), ["channel"], "value").select("series", "t", "event_t", r("event_value").alias("event_value"))
+    return h.join(asof(h.select("t", lit("error").alias("channel")).distinct(), e.withColumn("channel", lit("error")), ["channel"], "value"), "t").select("series", "t", "event_t", r("event_value").alias("event_value"))
 
 
 @query("j10_day_hour_lookup", f"WITH {PANEL}, m AS (SELECT t // 24 AS d, t % 24 AS hr, avg(y) AS m FROM h GROUP BY ALL) SELECT h.series, h.t, round(m, 4) AS m FROM h LEFT JOIN m ON m.d = h.t // 24 AND m.hr = h.t % 24")
@@ -618,17 +616,17 @@ def x2(spark, sf):
     return table(spark, sf, "events").select("event_id", r(s).alias("s"), r(k).alias("k"))
 
 
-@query("x3_seasons", "SELECT o_orderkey, month(o_orderdate) BETWEEN 4 AND 9 AS growing, month(o_orderdate) IN (12, 1, 2) AS winter FROM orders")
+@query("x3_seasons", "SELECT o_orderkey, month(o_orderdate) BETWEEN 4 AND 9 AS growing, month(o_orderdate) IN (12, 1, 2) AS winter, (o_orderkey % 24) * 20 > 10 AS daytime FROM orders")
 def x3(spark, sf):
     m = F.month("o_orderdate")
-    return table(spark, sf, "orders").select("o_orderkey", m.between(4, 9).alias("growing"), m.isin(12, 1, 2).alias("winter"))
+    return table(spark, sf, "orders").select("o_orderkey", m.between(4, 9).alias("growing"), m.isin(12, 1, 2).alias("winter"), ((c("o_orderkey") % 24) * 20 > 10).alias("daytime"))
 
 
 @query("x4_recency", f"WITH {PANEL}, {ASOF} SELECT h.series, h.t, round(coalesce(exp(-(h.t - er.t) / 24.0 / 14.0), 0), 4) AS recency, round(coalesce(er.value * exp(-(h.t - er.t) / 24.0 / 14.0), 0), 4) AS rate FROM h ASOF LEFT JOIN er ON h.t >= er.t")
 def x4(spark, sf):
     from ..operators.asof import asof, recency
     h, e = probes_and_events(spark, sf)
-    j = asof(h.withColumn("channel", lit("error")), e.withColumn("channel", lit("error")), ["channel"], "value")
+    j = h.join(asof(h.select("t", lit("error").alias("channel")).distinct(), e.withColumn("channel", lit("error")), ["channel"], "value"), "t")
     k = recency((c("t") - c("event_t")) / 24.0, 14)
     return j.select("series", "t", r(k).alias("recency"), r(F.coalesce(c("event_value") * k, lit(0.0))).alias("rate"))
 
@@ -644,15 +642,15 @@ def x6(spark, sf):
     return table(spark, sf, "events").select("event_id", r(z).alias("z"), r(F.sinh(z)).alias("back"))
 
 
-@query("x7_smearing", f"WITH {PANEL}, m AS (SELECT series, avg(asinh(y)) AS z FROM h GROUP BY series), q AS (SELECT h.series, any_value(z) AS z, quantile_cont(asinh(y) - z, [i / 20.0 for i in range(0, 21)]) AS q FROM h JOIN m ON m.series = h.series GROUP BY h.series) SELECT series, round(list_avg([sinh(z + x) for x in q]), 4) AS p FROM q")
+@query("x7_smearing", f"WITH {PANEL}, m AS (SELECT series, avg(asinh(y)) AS z FROM h GROUP BY series), q AS (SELECT h.series, any_value(z) AS z, quantile_cont(asinh(y) - z, [0.01 + 0.98 * i / 20.0 for i in range(0, 21)]) AS q FROM h JOIN m ON m.series = h.series GROUP BY h.series) SELECT series, round(list_avg([sinh(z + x) for x in q]), 4) AS p FROM q")
 def x7(spark, sf):
     h = panel(spark, sf).withColumn("a", F.asinh("y"))
     h = h.join(h.groupBy("series").agg(F.avg("a").alias("z")), "series")
-    q = h.groupBy("series").agg(F.any_value("z").alias("z"), F.percentile(c("a") - c("z"), F.array(*[lit(i / 20) for i in range(21)])).alias("q"))
+    q = h.groupBy("series").agg(F.any_value("z").alias("z"), F.percentile(c("a") - c("z"), F.array(*[lit(0.01 + 0.98 * i / 20) for i in range(21)])).alias("q"))
     return q.select("series", r(X.smear(c("z"), c("q"))).alias("p"))
 
 
-@query("x8_lloyd_taylor", f"WITH {PANEL} SELECT series, t, round(3.0 * exp(200.0 * (1 / (15.0 + 46.02) - 1 / (ta + 46.02))), 4) AS reco FROM h")
+@query("x8_lloyd_taylor", f"WITH {PANEL} SELECT series, t, round(3.0 * exp(200.0 * (1 / (10.0 + 46.02) - 1 / (ta + 46.02))), 4) AS reco FROM h")
 def x8(spark, sf):
     return panel(spark, sf).select("series", "t", r(X.lloyd_taylor(lit(3.0), 200.0, c("ta"))).alias("reco"))
 
