@@ -203,6 +203,24 @@ def test_packages_round_trip(spark):
     assert warc.op4(spark, pages.limit(0)).count() == 0
 
 
+def test_urls_with_line_ends(spark):
+    urls = ["http://a/\r\n\r\nb", "http://a/\rb", "http://a/\nb", "http://a/\r\nContent-Length: 5", "http://a/ b\x00\x7f", "http://ä/é", ":", "x" * 70_000]
+    pages = spark.createDataFrame([(i, u, f"page {i} " * 30) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.read_packages(warc.write_packages(pages, scratch(spark, "warc"))).collect()}
+    assert [got[i]["url"] for i in range(len(urls))] == urls
+    assert all(bytes(got[i]["payload"]).decode() == f"page {i} " * 30 for i in range(len(urls)))
+    assert warc.op4(spark, pages).count() == len(urls)
+
+
+def test_a_repeated_task_leaves_the_first_attempts_packages(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 40) for i in range(50)], "page_id long, url string, html string")
+    root = scratch(spark, "warc")
+    one = warc.write_packages(pages.repartition(2), root, archive_bytes=3000)
+    two = warc.write_packages(pages.orderBy(F.desc("page_id")).coalesce(2), root, archive_bytes=3000)
+    for manifest in (one, two):
+        assert sorted(r["page_id"] for r in warc.read_packages(manifest).collect()) == list(range(50))
+
+
 # --- 5
 
 

@@ -9,7 +9,9 @@ end record, and the central directory with its ZIP64 extras, finds the stored me
 record by the offset and length of its index line.
 
 Files are opened with pyarrow.fs by URI, so that the shared folder may be any store it knows. A task
-writes under a name of its own and moves the finished file, so a repeated task leaves the same files.
+writes under a name of its own, which holds the number of its attempt, and moves the finished file. A repeated
+task may deal its pages otherwise; it leaves files beside those of the first, and the manifest names those of
+one attempt only. What the manifest does not name is not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -36,9 +39,14 @@ MANIFEST = "uri string, bytes long, records long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
 
 
+def target(url: str) -> str:
+    """The URL as a header holds it: spaces and control characters, line ends among them, percent-encoded. The index has it as it was."""
+    return re.sub(r"[\x00-\x20\x7F-\x9F\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def record(page_id, url, kind: str, digest: str, refers_to, payload: bytes) -> bytes:
     """One WARC/1.1 record; a revisit has no payload."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {url}",
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {target(url)}",
              "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -161,12 +169,12 @@ def read_package(uri: str) -> Iterator[tuple[dict, dict, bytes]]:
 
 def _writer(root: str, archive_bytes: int):
     def write(batches):
-        part, seq, out = TaskContext.get().partitionId(), 0, None
+        task, seq, out = TaskContext.get(), 0, None
         done = []
         for batch in batches:
             for page_id, url, payload, digest, kind, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "kind", "refers_to"))):
                 if out is None:
-                    out = PackageWriter(f"{root}/part-{part:05d}-{seq:04d}.wacz")
+                    out = PackageWriter(f"{root}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{seq:04d}.wacz")
                     seq += 1
                 out.add(page_id.as_py(), url.as_py(), kind.as_py(), digest.as_py(), refers_to.as_py(), payload.as_py())
                 if out.size >= archive_bytes:
@@ -215,8 +223,9 @@ def write_packages(pages: DataFrame, root: str, id_col: str = "page_id", url_col
 
 
 def read_packages(manifest: DataFrame) -> DataFrame:
-    """The records (RECORDS) of the packages of a manifest."""
-    return manifest.select("uri").repartition(max(1, manifest.count())).mapInArrow(_read, RECORDS)
+    """The records (RECORDS) of the packages of a manifest, dealt to a few tasks per core; a task reads its packages in turn."""
+    tasks = min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism)
+    return manifest.select("uri").repartition(max(1, tasks)).mapInArrow(_read, RECORDS)
 
 
 def op4(spark: SparkSession, pages: DataFrame) -> DataFrame:
