@@ -234,6 +234,8 @@ def test_statistics_and_verdicts(spark, docs):
         for k in range(len(w) - 2):
             if count[tuple(w[k : k + 3])] > 1:
                 cover |= {k, k + 1, k + 2}
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        assert (got[i]["n_symbols"], got[i]["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)))
         assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_repeat_words"]) == (len(w), sum(map(len, w)), len(cover))
         assert got[i]["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
         assert not (got[i]["base_failed"] and got[i]["kept"])
@@ -249,8 +251,58 @@ def test_outliers_go_and_clean_texts_stay(spark, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_consistency_factor():
+def brute_distances(rows, inner=0.75, steps=10):
+    """Scaled distances of the rows of statistics (n, 5) of one group, as quality.py states them."""
+    n, d = rows.shape
+    floor = np.array([f for _, f in quality.FEATURES.values()]) ** 2
+    edge = lambda v, q, per=64: (np.sort(np.floor(v * per))[int(np.ceil(n * q)) - 1] + 1) / per
+    chol = lambda c: np.linalg.cholesky(c + np.diag(floor))
+    dist = lambda m, c: (np.linalg.solve(chol(c), (rows - m).T) ** 2).sum(0)
+    det = lambda c: 2 * np.log(np.diag(chol(c))).sum()
+    cov = lambda x: (x.T @ x) / len(x) - np.outer(x.mean(0), x.mean(0))
+    factor = quality.consistency(inner, d)
+
+    def step(m, c):
+        bins = np.floor(np.log(dist(m, c) + 1e-6) * 64)
+        inside = rows[bins <= np.sort(bins)[int(np.ceil(n * inner)) - 1]]
+        return inside.mean(0), cov(inside) * factor
+
+    med = np.array([edge(x, 0.5) for x in rows.T])
+    mad = np.array([edge(abs(x - m), 0.5) for x, m in zip(rows.T, med)])
+    var = (mad * 1.4826) ** 2
+    near = rows[((rows - med) ** 2 <= 9 * (var + floor)).all(1)]
+    tried = [(med, np.diag(var)), (rows.mean(0), cov(rows)), (near.mean(0), cov(near))]
+    best = min((step(*step(*x)) for x in tried), key=lambda x: det(x[1]))
+    for _ in range(steps):
+        new = step(*best)
+        if det(new[1]) >= det(best[1]) - 1e-6:
+            break
+        best = new
+    out = dist(*best)
+    return out * quality.chi2_quantile(0.5, max(1, int((np.diag(best[1]) > 1e-6).sum()))) / max(1e-3, np.exp(edge(np.log(out + 1e-6), 0.5)))
+
+
+def test_distances_against_numpy(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, " ".join("a" * int(k) for k in r.integers(1, 12, 60 + i % 90)) + " #" * int(r.poisson(0.4)) + f" end{i}", "en", "ab"[i % 2]) for i in range(240)]
+    rows += [(1000 + i, " ".join(w + "###$$$%%%" for w in prose(80, 900 + i).split()), "en", "a") for i in range(12)] + [(2000 + i, prose(70, i), "de", "c") for i in range(9)]
+    got = quality.judge(spark.createDataFrame(rows, DOCS)).toPandas().merge(__import__("pandas").DataFrame(rows, columns=["doc_id", "text", "lang", "source"]), on="doc_id")
+    got = got[~got.base_failed]
+    share = lambda c: np.log(1 + 100 * got[c] / (1 + got.n_words))
+    x = np.stack([np.log(1 + got.n_words), np.log((1 + got.word_chars) / (1 + got.n_words)), share("n_symbols"), share("n_dup_lines"), share("n_repeat_words")], 1).astype(float)
+    for lang, source in (("en", "a"), ("en", "b")):
+        own = ((got.lang == lang) & (got.source == source)).to_numpy()
+        want = brute_distances(x[own])
+        assert np.allclose(got.md2[own], want, rtol=1e-6)
+        assert (got.kept[own] == (want <= quality.chi2_quantile(1e-50, 5))).all()
+        assert 2 < np.median(want) < 5
+    assert set(got[~got.kept].doc_id) == set(range(1000, 1012))
+
+
+def test_chi_square():
     assert quality.chi2_cdf(6.6257, 5) == pytest.approx(0.75, abs=1e-3)
+    assert quality.chi2_tail(6.6257, 5) == pytest.approx(0.25, abs=1e-3) and quality.chi2_tail(9.2103, 2) == pytest.approx(0.01, abs=1e-4)
+    assert quality.chi2_quantile(0.5, 5) == pytest.approx(4.3515, abs=1e-3) and quality.chi2_tail(quality.chi2_quantile(1e-30, 5), 5) == pytest.approx(1e-30, rel=1e-3)
     assert quality.consistency(0.75, 5) == pytest.approx(0.75 / quality.chi2_cdf(6.6257, 7), rel=1e-3)
 
 
