@@ -6,9 +6,9 @@ the residual capacity is highest.
 
 What is packed on the driver is bounded by parameters, not by the data: a group with more than
 1/`fine` of a shard's bytes is an item of its own (at most n_shards * fine of them), all smaller
-groups are summed into `cells` items by a hash of their text. A group over a quarter of a shard is
-first split by a hash of the row's id, so that one text with a third of all rows does not unbalance
-the shards. Placement and slots are joins and windows over (shard, rank cell).
+groups are summed into `cells` items by a hash of their text, whole. A group over `whole` shards, 1 by default,
+fits in none; it is split by a hash of the row's id into pieces of a quarter of a shard, so that one text with a
+third of all rows does not unbalance the shards. All other groups stay together. Placement and slots are joins and windows over (shard, rank cell).
 """
 
 from __future__ import annotations
@@ -25,20 +25,25 @@ DIMS = ("bytes", "tokens", "rows")
 
 
 def place(vectors: np.ndarray, n_shards: int) -> np.ndarray:
-    """Shard of each item (rows of bytes, tokens, rows): the greedy dot-product rule."""
+    """Shard of each item (rows of bytes, tokens, rows): the greedy dot-product rule.
+
+    The largest item first, into that shard with room for it in all three, whose residual capacity has the largest dot
+    product with the item; without such a shard into the one whose fullest dimension stays least full.
+    """
     capacity = np.maximum(vectors.sum(axis=0) / n_shards, 1e-9)
     v = vectors / capacity
     residual = np.ones((n_shards, vectors.shape[1]))
     out = np.zeros(len(v), int)
     for i in np.lexsort((np.arange(len(v)), -v.max(axis=1))):
         score = residual @ v[i]
-        fits = residual[:, 0] >= v[i, 0]
-        out[i] = np.argmax(np.where(fits, score, -np.inf)) if fits.any() else np.argmax(residual[:, 0])
+        left = residual - v[i]
+        fits = (left >= -1e-12).all(axis=1)
+        out[i] = np.argmax(np.where(fits, score, -np.inf)) if fits.any() else np.argmax(left.min(axis=1))
         residual[out[i]] -= v[i]
     return out
 
 
-def pack(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cells: int = 8192, fine: int = 64, slot_rows: int = 10_000, with_key: bool = False) -> DataFrame:
+def pack(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cells: int = 8192, fine: int = 1024, whole: float = 1.0, slot_rows: int = 10_000, with_key: bool = False) -> DataFrame:
     """One row (id, size, tokens, text_crc32, shard, slot) per row of docs.
 
     size is the text's UTF-8 bytes plus 1. A null text counts as empty. Slots are gapless from 0 in
@@ -52,7 +57,7 @@ def pack(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     share = max(1.0, total / n_shards)
     big = (sized.groupBy("key").agg(F.sum("size").alias("b")).where(F.col("b") > share / fine)
-           .select("key", F.greatest(F.lit(1), F.ceil(F.col("b") / F.lit(share / 4))).cast("int").alias("pieces")))
+           .select("key", F.when(F.col("b") > F.lit(share * whole), F.ceil(F.col("b") / F.lit(share / 4))).otherwise(1).cast("int").alias("pieces")))
     item = F.when(F.col("pieces").isNull(), F.concat(F.lit("c"), F.pmod("key", F.lit(cells)))).otherwise(
         F.concat(F.lit("g"), F.col("key"), F.lit("."), F.pmod(F.xxhash64("id", F.lit("piece")), "pieces")))
     # at most n_shards * fine large groups, so this side is bounded
@@ -62,7 +67,7 @@ def pack(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     shards = place(np.array([[float(r[d]) for d in DIMS] for r in items]).reshape(-1, 3), n_shards)
     where = sized.sparkSession.createDataFrame([(r["item"], int(s)) for r, s in zip(items, shards)], "item string, shard int")
     parts = max(1, math.ceil(rows / n_shards / slot_rows))
-    placed = placed.join(F.broadcast(where), "item").withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    placed = placed.join(F.broadcast(where), "item").withColumn("cell", F.pmod(F.xxhash64("id", "key"), F.lit(parts)).cast("int"))
     before = (placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).drop("n"))
     rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("id", "key"))

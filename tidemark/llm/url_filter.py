@@ -2,9 +2,11 @@
 
 The filter is a table of 256-bit blocks (eight 32-bit words, one bit set in each per listed URL), built
 by an OR aggregate over the listed URLs' block numbers and so merged on the map side. URLs are probed
-by joining the block table on the block number; only possible hits reach the exact join with the list
-on the canonical URL, which removes the false positives. The block table is broadcast only while its
-size, known before, is within `broadcast_bytes`; else Spark joins it like any table.
+by joining the block table on the block number. Rows that the filter rules out are done with; only possible
+hits reach the exact join with the list on the canonical URL, which removes the false positives. The block
+table takes 5 bytes a listed URL where the list takes a URL's length, and is broadcast while its size, known
+before, is within `broadcast_bytes`; then no row but the possible hits is shuffled. Beyond, Spark joins it
+like any table.
 
 Allow and block rules on (host, path prefix) come first; the longest rule that fits decides.
 """
@@ -20,9 +22,7 @@ from .common import ascii_lower
 
 #: Fixed rules (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Fixed name parts of hosts whose pages are listed.
-LISTED_NAMES = ("spam", "pills", "casino")
-#: Fixed odd multipliers, one per word of a block.
+#: The odd multipliers of the split-block Bloom filter in the Parquet format specification, one per word of a block.
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 
 
@@ -71,8 +71,8 @@ def bloom(listed: DataFrame, col: str, blocks: int) -> DataFrame:
 def match(urls: DataFrame, url_col: str, listed: DataFrame, bits_per_url: int = 16, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """urls with a column `listed`: whether the canonical URL is on the list (one column, canonical URLs).
 
-    Repeated URLs on either side count once and keep their rows; a null URL is never listed; an empty
-    list lists nothing.
+    Repeated URLs on either side count once and keep their rows; a URL that is null or has no host or path is
+    never listed and not looked up; an empty list lists nothing.
     """
     names = [f"w{i}" for i in range(len(SALTS))]
     exact = listed.toDF("__url").where(F.col("__url").isNotNull() & (F.col("__url") != "")).distinct()
@@ -85,9 +85,12 @@ def match(urls: DataFrame, url_col: str, listed: DataFrame, bits_per_url: int =
     hit = F.lit(True)
     for m, name in zip(_masks(F.col("__c")), names):
         hit = hit & (m.bitwiseAND(F.col(name)) != 0)
-    probe = probe.join(table, "block", "left").withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("block", *names)
-    sure = probe.join(exact.withColumn("__on", F.lit(True)), F.col("__maybe") & (F.col("__c") == F.col("__url")), "left")
-    return sure.withColumn("listed", F.coalesce("__on", F.lit(False))).drop("__c", "__maybe", "__url", "__on")
+    named = F.col("__c") != ""
+    looked = probe.where(named).join(table, "block", "left").withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("block", *names)
+    ruled_out = probe.where(~named).drop("block").unionByName(looked.where(~F.col("__maybe")).drop("__maybe")).withColumn("listed", F.lit(False)).drop("__c")
+    possible = looked.where("__maybe").drop("__maybe")
+    found = possible.join(exact.withColumn("__on", F.lit(True)), F.col("__c") == F.col("__url"), "left").withColumn("listed", F.coalesce("__on", F.lit(False))).drop("__c", "__url", "__on")
+    return ruled_out.unionByName(found)
 
 
 def judge(urls: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -98,9 +101,9 @@ def judge(urls: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     return rows.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
-def listed_urls(pages: DataFrame, url_col: str = "url", names=LISTED_NAMES) -> DataFrame:
-    """The canonical URLs of pages on hosts with a listed name part."""
-    return pages.where(host(F.col(url_col)).rlike("|".join(names))).select(canonical(F.col(url_col)).alias("url")).distinct()
+def listed_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """The query's list, as the tables hold none: the canonical URLs of every sixteenth page. Other pages with such a URL are found by it alone."""
+    return pages.where(F.pmod(F.col(id_col), F.lit(16)) == 5).select(canonical(F.col(url_col)).alias("url")).distinct()
 
 
 def op6(pages: DataFrame) -> DataFrame:
@@ -112,7 +115,7 @@ WITH p AS (SELECT page_id, url,
   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 c AS (SELECT *, regexp_replace(regexp_replace(host, ':\d+$', ''), '^(www|m|blog)\.', '') || regexp_replace(regexp_replace(path, '\.html$', ''), '/+$', '') AS c FROM p),
-l AS (SELECT DISTINCT c FROM c WHERE regexp_matches(host, 'spam|pills|casino') AND c <> ''),
+l AS (SELECT DISTINCT c FROM c WHERE page_id % 16 = 5 AND c <> ''),
 rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
   FROM c JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
