@@ -245,3 +245,59 @@ def test_smearing_and_moving_average(spark):
 def test_conformal_level(spark):
     assert spark.range(1).select(X.conformal_level(F.lit(9), 0.1)).first()[0] == 1.0
     assert math.isclose(spark.range(1).select(X.conformal_level(F.lit(99), 0.1)).first()[0], 90 / 99)
+
+
+def test_drawn_gaps_lay_blocks_of_given_lengths(spark):
+    from tidemark.operators import gaps
+
+    df = spark.range(200).selectExpr("'a' AS k", "id AS t", "CASE WHEN id % 9 = 0 THEN NULL ELSE 1.0 END AS y")
+    lengths = spark.createDataFrame([("a", 5, 2), ("a", 7, 1)], "k string, steps long, n long")
+    got = sorted(x.t for x in gaps.drawn_gaps(df, ["k"], "y", lengths, 0, 0.4, chunk=50).collect())
+    assert got == sorted(x.t for x in gaps.drawn_gaps(df.repartition(7), ["k"], "y", lengths, 0, 0.4, chunk=50).collect())
+    order = lambda n: (n + 7919) * 2654435761 % 1000003
+    tiles = []
+    for chunk in range(4):
+        at = i = 0
+        while at < 50:
+            n = (5, 5, 7)[order(chunk * 50 + i) % 3]
+            tiles.append((chunk * 50 + at, min(chunk * 50 + at + n, chunk * 50 + 50)))
+            at, i = at + n, i + 1
+    valid = [t for t in range(200) if t % 9]
+    want, seen = [], 0
+    for a, b in sorted(tiles, key=lambda x: (order(x[0]), x[0])):
+        if seen < 0.4 * len(valid):
+            inside = [t for t in valid if a <= t < b]
+            want += inside
+            seen += len(inside)
+    assert got == sorted(want) and len(got) >= 0.4 * len(valid)
+
+
+def test_empirical_gaps_without_runs_or_rows(spark):
+    from tidemark.operators import gaps
+
+    full = spark.range(20).selectExpr("'a' AS k", "id AS t", "1.0 AS y")
+    assert gaps.empirical_gaps(full, ["k"], "y", 0).count() == 0
+    assert gaps.empirical_gaps(full.limit(0), ["k"], "y", 0).count() == 0
+
+
+def test_quantile_bins_in_two_levels(spark):
+    from tidemark.operators.grid import quantile_bins
+
+    df = spark.range(12).selectExpr("'a' AS k", "double(id) AS y").union(spark.sql("SELECT 'a', CAST(NULL AS DOUBLE)"))
+    out = quantile_bins(quantile_bins(df, ["k"], "y", 3, "cls"), ["k", "cls"], "y", 2, "bin")
+    got = {x.y: (x.cls, x.bin) for x in out.collect()}
+    assert got[None] == (None, None)  # a null is a class of its own
+    assert [got[float(i)] for i in range(12)] == [(i // 4, i % 4 // 2) for i in range(12)]
+
+
+def test_manifest_tells_missing_from_broken(spark, tmp_path):
+    import pytest
+    from tidemark.sources.io import manifest
+
+    spark.range(3).write.parquet(str(tmp_path / "ok"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    got = {x.name: (x.rows, x.columns, x.status) for x in manifest(spark, {"ok": str(tmp_path / "ok"), "gone": str(tmp_path / "gone")}).collect()}
+    assert got == {"ok": (3, 1, "OK"), "gone": (None, None, "MISSING")}
+    with pytest.raises(Exception):
+        manifest(spark, {"bad": str(tmp_path / "bad")})

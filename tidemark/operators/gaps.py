@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .grid import last_known, over_halo
 
+DRAW_CHUNK = 1 << 13  # steps laid out with drawn gaps by one task
+ORDERS = 1000003
+
 
 def islands(df: DataFrame, keys: list[str], flag: Column, t: str = "t") -> DataFrame:
     """(keys, start, stop, steps) of each run of consecutive steps with the flag.
@@ -68,17 +71,67 @@ def event_recency(df: DataFrame, keys: list[str], col: str, threshold: float, wi
     return over_halo(df, keys, new, max(windows), 0, t).drop("__s")
 
 
-def calendar_gaps(df: DataFrame, keys: list[str], col: str, length: int, rep: int, share: float = 0.25, t: str = "t") -> DataFrame:
+def _order(n: Column, rep: Column) -> Column:
+    """The seeded order of blocks: a multiplicative hash of number and repetition, the same for all methods that are compared."""
+    return F.pmod((n + 7919 * (rep + 1)) * 2654435761, F.lit(ORDERS))
+
+
+def _covering(blocks: DataFrame, keys: list[str], block: str, n: str, rep: Column, share: Column) -> DataFrame:
+    """The blocks, in their seeded order, until they hold `share` of a key's rows (n a block).
+
+    Sums run over a thousand bands of the order first and then within a band, so no window holds all blocks of a key.
+    """
+    blocks = blocks.withColumn("__r", _order(F.col(block), rep)).withColumn("__band", F.floor(F.col("__r") / 1000))
+    bands = blocks.groupBy(*keys, "__band").agg(F.sum(n).alias("__s"))
+    w = Window.partitionBy(*keys)  # a thousand bands at most
+    bands = bands.withColumn("__before", F.sum("__s").over(w.orderBy("__band")) - F.col("__s")).withColumn("__all", F.sum("__s").over(w)).drop("__s")
+    inside = F.sum(n).over(Window.partitionBy(*keys, "__band").orderBy("__r", block)) - F.col(n)
+    out = blocks.withColumn("__u", inside).join(bands, [*keys, "__band"]).where(F.col("__before") + F.col("__u") < F.col("__all") * share)
+    return out.select(*keys, block)
+
+
+def calendar_gaps(df: DataFrame, keys: list[str], col: str, length: int | Column, rep: int | Column, share: float = 0.25, t: str = "t") -> DataFrame:
     """(keys, t) masked rows: whole blocks of `length` steps in a seeded order until `share` of the valid rows is covered.
 
-    The order is a multiplicative hash of block and repetition, the same for all methods that are compared.
+    Length and repetition may be columns that the keys determine, so that one job masks many scenarios.
+    """
+    length, rep = (x if isinstance(x, Column) else F.lit(x) for x in (length, rep))
+    valid = df.where(F.col(col).isNotNull()).select(*keys, t, F.floor(F.col(t) / length).alias("__b"), rep.alias("__rep"))
+    blocks = valid.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"), F.first("__rep").alias("__rep"))
+    return valid.join(_covering(blocks, keys, "__b", "__n", F.col("__rep"), F.lit(share)), [*keys, "__b"], "left_semi").select(*keys, t)
+
+
+def drawn_gaps(df: DataFrame, keys: list[str], col: str, lengths: DataFrame, rep: int | Column, share: float, t: str = "t", chunk: int = DRAW_CHUNK) -> DataFrame:
+    """(keys, t) masked rows: blocks whose lengths are drawn from `lengths` (keys, steps, n: how often), until `share` of the valid rows is covered.
+
+    Every chunk of `chunk` steps is laid out with drawn lengths one behind the other, the last cut at its end; the
+    n-th draw and the order in which blocks are masked come from hashes of their numbers, so reruns agree. A key
+    without lengths gets no mask. The distinct lengths of a key, of which a series of T steps has at most sqrt(2 T),
+    are held in one array.
     """
-    valid = df.where(F.col(col).isNotNull()).withColumn("__b", F.floor(F.col(t) / length))
-    blocks = valid.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    rank = F.pmod((F.col("__b") + 7919 * (rep + 1)) * 2654435761, F.lit(1000003))
-    w = Window.partitionBy(*keys).orderBy("__r", "__b")
-    blocks = blocks.withColumn("__r", rank)
-    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__n").over(Window.partitionBy(*keys))
-    chosen = blocks.withColumn("__u", before).withColumn("__a", total).where(F.col("__u") < F.col("__a") * share).select(*keys, "__b")
-    return valid.join(chosen, [*keys, "__b"], "left_semi").select(*keys, t)
+    rep = rep if isinstance(rep, Column) else F.lit(rep)
+    w = Window.partitionBy(*keys).orderBy("steps")
+    table = lengths.withColumn("__to", F.sum("n").over(w)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__to", "steps"))).alias("__l"), F.max("__to").alias("__all"))
+    valid = df.where(F.col(col).isNotNull()).select(*keys, t, F.floor(F.col(t) / chunk).alias("__c"), rep.alias("__rep"))
+    draws = valid.groupBy(*keys, "__c").agg(F.first("__rep").alias("__rep")).join(table, keys).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(chunk - 1))))
+    number = F.pmod(_order(F.col("__c") * chunk + F.col("__i"), F.col("__rep")), F.col("__all"))
+    draws = draws.withColumn("__u", number).withColumn("__len", F.filter("__l", lambda x: x["__to"] > F.col("__u"))[0]["steps"]).drop("__l")
+    start = F.sum("__len").over(Window.partitionBy(*keys, "__c").orderBy("__i")) - F.col("__len")
+    tiles = draws.withColumn("__o", start).where(F.col("__o") < chunk)
+    first = F.col("__c") * chunk + F.col("__o")
+    steps = tiles.select(*keys, first.alias("__b"), F.explode(F.sequence(first, F.least(first + F.col("__len"), (F.col("__c") + 1) * chunk) - 1)).alias(t))
+    valid = valid.join(steps, [*keys, t])
+    blocks = valid.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"), F.first("__rep").alias("__rep"))
+    return valid.join(_covering(blocks, keys, "__b", "__n", F.col("__rep"), F.lit(share)), [*keys, "__b"], "left_semi").select(*keys, t)
+
+
+def mixed_gaps(df: DataFrame, keys: list[str], col: str, rep: int | Column, lengths: tuple[int, ...] = (1, 4, 32, 288), share: float = 0.25, t: str = "t") -> DataFrame:
+    """drawn_gaps() of lengths that are equally likely."""
+    each = df.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(x).cast("long") for x in lengths])).alias("steps"), F.lit(1).alias("n"))
+    return drawn_gaps(df, keys, col, each, rep, share, t)
+
+
+def empirical_gaps(df: DataFrame, keys: list[str], col: str, rep: int, share: float = 0.4, t: str = "t") -> DataFrame:
+    """drawn_gaps() of the lengths of the gaps that the column itself has."""
+    runs = gap_runs(df, keys, col, t).groupBy(*keys, "steps").agg(F.count(F.lit(1)).alias("n"))
+    return drawn_gaps(df, keys, col, runs, rep, share, t)

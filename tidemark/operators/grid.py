@@ -7,6 +7,8 @@ on (series, chunk of t) with a halo of neighbouring rows, unbounded ones carry o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,15 @@ def lookback_arrays(df: DataFrame, keys: list[str], col: str, length: int, horiz
     new = {"past": lambda w: F.collect_list(col).over(w.rowsBetween(-(length - 1), 0)), "future": lambda w: F.collect_list(col).over(w.rowsBetween(1, horizon))}
     out = over_halo(df, keys, new, length, horizon, t)
     return out.where((F.size("past") == length) & (F.size("future") == horizon) & (F.pmod(F.col(t), F.lit(stride)) == 0))
+
+
+def quantile_bins(df: DataFrame, keys: list[str], col: str, n: int, name: str) -> DataFrame:
+    """df with the number of the inner n-quantile edges of its key that lie below col, 0 to n - 1; null for null.
+
+    An edge that falls on a value differs from it by the rounding of its interpolation; up to a billionth it counts as equal.
+    """
+    edges = df.groupBy(*keys).agg(F.percentile(col, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("__e"))
+    edges = edges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__e")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    out = df.join(edges, on).drop(*[f"__k{i}" for i in range(len(keys))])
+    return out.withColumn(name, F.when(F.col(col).isNotNull(), F.size(F.filter("__e", lambda x: F.col(col) - x > 1e-9 * F.abs(x))).cast("long"))).drop("__e")

@@ -43,12 +43,19 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, "p")
 
 
+def trainable(df: DataFrame, keys: list[str], label: str = "label", least: int = 5) -> DataFrame:
+    """(keys, n, pos, trains): labelled rows, those of the positive class, and whether both classes have `least`."""
+    one = df.where(F.col(label).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) > 0.5).alias("pos"))
+    return one.withColumn("trains", F.least(F.col("pos"), F.col("n") - F.col("pos")) >= least)
+
+
 def fit_classifier(algo: str, train: DataFrame, features: list[str], label: str = "label", least: int = 5) -> PipelineModel | None:
     """A balanced classifier, or None under `least` rows of either class."""
     train = train.where(F.col(label).isNotNull())
-    pos, n = train.agg(F.count_if(F.col(label) > 0.5), F.count(F.lit(1))).first()
-    if min(pos, n - pos) < least:
+    guard = trainable(train, [], label, least).first()
+    if not guard.trains:
         return None
+    n, pos = guard.n, guard.pos
     train = train.withColumn("__w", F.when(F.col(label) > 0.5, F.lit(n / (2 * pos))).otherwise(F.lit(n / (2 * (n - pos)))))
     if algo == "rf":
         clf = RandomForestClassifier(numTrees=20, maxDepth=5, seed=1)

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..operators import metrics as M
+from ..operators.asof import asof, recency
+from ..operators.flux import mdc_fill
 from ..operators.gaps import interpolate
 from ..operators.grid import lags, lookback_arrays
 from ..operators.qc import confusion
+from ..sources.scratch import scratch
 from . import backtest as B
 from . import models as ML
-from .registry import daily, panel, query, r
+from .q_series import LENGTHS, REPS, cv_scores, scenarios
+from .registry import PANEL, daily, panel, query, r, readings
 
 c, lit = F.col, F.lit
 FEATURES = ["y_lag1", "y_lag2", "y_lag7", "n_lag1", "hs", "hc"]
@@ -56,7 +60,6 @@ def _algo(name, algo, **params):
 _algo("l2_random_forest", "rf")
 _algo("l3_boosted_trees", "gbt")
 _algo("l20_pca_forest", "rf", pca=4)
-_algo("g6_pooled_fill", "rf", numTrees=10)
 
 
 def labelled(spark, sf):
@@ -140,6 +143,31 @@ _ablation("l13_ablation", {"base": ["hs", "hc"], "base+lags": ["hs", "hc", "y_la
 _ablation("l14_lag_test", {"without": ["hs", "hc", "n_lag1"], "with": FEATURES})
 
 
+@query("l14_met_fill_test")
+def l14_met(spark, sf):
+    """Meteorology as observed, its holes left to the imputer, against filled by the diurnal course; the same rows in both."""
+    h, cut = tower_frame(spark, sf)
+    filled = mdc_fill(h.select("series", "t", "ta"), ["series"], "ta", "ta_f").select("series", "t", "ta_f")
+    path = scratch(spark, "met-fill")
+    h.join(filled, ["series", "t"]).write.parquet(path)
+    rows = spark.read.parquet(path)
+    ab = {"observed": CLOCK, "filled": ["ta_f", *CLOCK[1:]]}
+    return union([scored(ML.predict(ML.fit("lr", rows.where(c("t") < cut), cols), rows.where(c("t") >= cut)), ["series"], name) for name, cols in ab.items()])
+
+
+@query("l14_management_test")
+def l14_management(spark, sf):
+    """With and without the recency of the last event (a reading over 200), on fixed rows."""
+    h, cut = tower_frame(spark, sf)
+    events = readings(spark, sf).where(c("value") > 200).groupBy("series", "t").agg(F.max("value").alias("value"))
+    path = scratch(spark, "management")
+    known = asof(h, events, ["series"], "value")
+    known.withColumn("recent", recency((c("t") - c("event_t")) / 24.0, 14)).drop("event_t", "event_value").write.parquet(path)
+    rows = spark.read.parquet(path)
+    ab = {"without": CLOCK, "with": [*CLOCK, "recent"]}
+    return union([scored(ML.predict(ML.fit("lr", rows.where(c("t") < cut), cols), rows.where(c("t") >= cut)), ["series"], name) for name, cols in ab.items()])
+
+
 @query("l15_transformed_target")
 def l15(spark, sf):
     train, test = halves(spark, sf)
@@ -185,19 +213,75 @@ def l23(spark, sf):
     return out.groupBy(confusion(c("label") > 0.5, c("prob") > 0.5).alias("cell")).agg(F.count(lit(1)).alias("n"), r(F.avg("y_lag1")).alias("y_lag1"), r(F.avg("n_lag1")).alias("n_lag1"))
 
 
+def tower_frame(spark, sf):
+    """(series, t, y, ta, sw, hs, hc, ds, dc): the hourly panel, its target passed by flag and plausibility, with clock and calendar; cut: middle hour."""
+    h = panel(spark, sf)
+    hs, hc = X.cyclic(F.pmod("t", lit(24)), 24)
+    ds, dc = X.cyclic(F.dayofyear(F.date_add(lit("1970-01-01").cast("date"), F.floor(c("t") / 24).cast("int"))), 365)
+    h = h.withColumn("hs", hs).withColumn("hc", hc).withColumn("ds", ds).withColumn("dc", dc)
+    return h, h.agg(((F.min("t") + F.max("t")) / 2).cast("long")).first()[0]
+
+
+CLOCK = ["ta", "sw", "hs", "hc", "ds", "dc"]
+
+
+def reconstruct(h: DataFrame, cut: int, features: list[str], **params) -> DataFrame:
+    """(series, t, y, p): one model for each series, fitted before the cut, predicting all its hours."""
+    names = [x[0] for x in h.where(c("y").isNotNull() & (c("t") < cut)).select("series").distinct().orderBy("series").collect()]  # one per series
+    fits = [(n, ML.fit("rf", h.where((c("series") == n) & (c("t") < cut)), features, **params)) for n in names]
+    return union([ML.predict(m, h.where(c("series") == n)).select("series", "t", "y", "p") for n, m in fits])
+
+
 @query("g5_reconstruction")
 def g5(spark, sf):
-    h = panel(spark, sf).withColumn("hr", F.pmod("t", lit(24)).cast("double"))
-    cut = h.agg(((F.min("t") + F.max("t")) / 2).cast("long")).first()[0]
-    out = ML.predict(ML.fit("rf", h.where(c("t") < cut), ["ta", "sw", "hr"], numTrees=10), h)
-    filled = out.select("series", "t", F.coalesce("y", "p").alias("filled"), c("y").isNotNull().cast("int").alias("mask"))
-    return filled.select("series", "t", r("filled").alias("filled"), "mask")
+    """Per series: observed where it passed the gates, else the reconstruction; scores on the hours after the cut, null under 20."""
+    h, cut = tower_frame(spark, sf)
+    path = scratch(spark, "reconstruction")
+    reconstruct(h, cut, CLOCK, numTrees=10).write.parquet(path)
+    out = spark.read.parquet(path)
+    scores = M.point_metrics(out.where(c("t") >= cut), ["series"], least=20).select("series", r("R2").alias("test_r2"), r("RMSE").alias("test_rmse"), c("n_test").alias("test_n"))
+    return out.join(F.broadcast(scores), "series", "left").select("series", "t", r(F.coalesce("y", "p")).alias("filled"), c("y").isNotNull().cast("int").alias("mask"), "test_r2", "test_rmse", "test_n")
+
+
+@query("g5_reconstruction_mask", f"WITH {PANEL}, q AS (SELECT (min(t) + max(t)) // 2 AS cut FROM h) SELECT series, count(*) AS hours, count(*) FILTER (y IS NOT NULL) AS observed, round(sum(round(y, 4)), 4) AS total, CASE WHEN count(*) FILTER (y IS NOT NULL AND t >= cut) >= 20 THEN count(*) FILTER (y IS NOT NULL AND t >= cut) END AS test_n FROM h, q GROUP BY series, cut")
+def g5_mask(spark, sf):
+    """What of the reconstruction does not depend on the forest: every hour filled, observed values unchanged, the scored hours."""
+    out = g5(spark, sf).where("filled IS NOT NULL")
+    return out.groupBy("series").agg(F.count(lit(1)).alias("hours"), F.sum("mask").alias("observed"), r(F.sum(F.when(c("mask") == 1, c("filled")))).alias("total"), F.first("test_n").alias("test_n"))
+
+
+def pooled_fill(h: DataFrame, features: list[str], **params) -> DataFrame:
+    """(series, t, y, p): one forest on the observed rows of all series with a column that tells each series apart."""
+    names = [x[0] for x in h.select("series").distinct().orderBy("series").collect()]  # one per series
+    told = h.select("*", *[F.when(c("series") == n, 1.0).otherwise(0.0).alias(f"is{i}") for i, n in enumerate(names)])
+    model = ML.fit("rf", told, [*features, *[f"is{i}" for i in range(len(names))]], **params)
+    return ML.predict(model, told).select("series", "t", "y", "p")
+
+
+@query("g6_pooled_fill")
+def g6(spark, sf):
+    h, _ = tower_frame(spark, sf)
+    out = pooled_fill(h, CLOCK)
+    return out.select("series", "t", r(F.coalesce("y", "p")).alias("filled"), c("y").isNotNull().cast("int").alias("mask"))
+
+
+@query("g9_forest_cross_validation")
+def g9_forest(spark, sf):
+    """The pooled forest under the gap scenarios: for each, fitted on the rows that are not masked and scored on those that are."""
+    rows = scenarios(spark, sf)
+    hs, hc = X.cyclic(F.pmod("t", lit(24)), 24)
+    rows = rows.withColumn("hs", hs).withColumn("hc", hc)
+    parts = []
+    for g in (*LENGTHS, 0):
+        for i in range(REPS):
+            filled = pooled_fill(rows.where((c("gap") == g) & (c("rep") == i)), ["ta", "sw", "hs", "hc"], numTrees=10)
+            parts.append(filled.where("y IS NULL").select(lit(g).alias("gap"), lit(i).alias("rep"), "series", "t", c("p").alias("filled")))
+    return cv_scores(union(parts), rows).select(lit("RF").alias("method"), "gap", "rep", "series", r("RMSE").alias("RMSE"), "n_test")
 
 
 @query("streaming_hourly_means", "SELECT event_type AS series, count(*) AS hours FROM (SELECT event_type, date_trunc('hour', ts) AS h FROM events GROUP BY ALL) GROUP BY event_type")
 def stream(spark, sf):
     """The hourly mean as a stream over the events table, run to its end; counts of emitted hours."""
-    from ..sources.scratch import scratch
     from ..streaming.hourly import hourly_means
     src, out = scratch(spark, "stream-in"), scratch(spark, "stream-out")
     e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", c("ts").cast("timestamp").alias("ts"), "value")

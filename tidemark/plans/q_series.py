@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..operators import flux, gaps, metrics as M
 from ..operators.asof import mds
-from ..operators.grid import align, expand_daily, ffill_limit, lags, last_known, lookback_arrays, rolling
+from ..operators.grid import align, expand_daily, ffill_limit, lags, last_known, lookback_arrays, quantile_bins, rolling
 from ..operators.qc import confusion
+from ..sources.scratch import scratch
 from . import backtest as B
 from .registry import DAILY, PANEL, daily, panel, query, r, readings, table
 
@@ -103,11 +106,11 @@ def w13(spark, sf):
     return h.join(h.groupBy("series").agg(F.min("t").alias("a")), "series").select("series", "t", F.floor((c("t") - c("a")) / 168).alias("block"))
 
 
-@query("w14_quantile_bins", f"{HP}, e AS (SELECT series, quantile_cont(y, [i / 6.0 for i in range(1, 6)]) AS e FROM h GROUP BY series) SELECT h.series, t, len(list_filter(e, lambda x: y > x)) AS cls FROM h JOIN e ON e.series = h.series WHERE y IS NOT NULL")
+@query("w14_quantile_bins", f"""{HP}, e AS (SELECT series, quantile_cont(y, [i / 6.0 for i in range(1, 6)]) AS e FROM h GROUP BY series), k AS (SELECT h.series, t, y, len(list_filter(e, lambda x: y - x > 1e-9 * abs(x))) AS cls FROM h JOIN e ON e.series = h.series WHERE y IS NOT NULL),
+i AS (SELECT series, cls, quantile_cont(y, [i / 20.0 for i in range(1, 20)]) AS e FROM k GROUP BY ALL) SELECT k.series, t, k.cls, len(list_filter(e, lambda x: y - x > 1e-9 * abs(x))) AS bin FROM k JOIN i ON i.series = k.series AND i.cls = k.cls""")
 def w14(spark, sf):
-    h = panel(spark, sf).where("y IS NOT NULL")
-    e = h.groupBy("series").agg(F.percentile("y", F.array(*[lit(i / 6) for i in range(1, 6)])).alias("e"))
-    return h.join(e, "series").select("series", "t", F.size(F.filter("e", lambda x: c("y") > x)).cast("long").alias("cls"))
+    out = quantile_bins(panel(spark, sf).where("y IS NOT NULL"), K, "y", 6, "cls")
+    return quantile_bins(out, [*K, "cls"], "y", 20, "bin").select("series", "t", "cls", "bin")
 
 
 @query("w15_causality", f"{HP}, s AS (SELECT series, t, coalesce(t - max(CASE WHEN y > 100 THEN t END) OVER (PARTITION BY series ORDER BY t), 9999) AS since FROM h), d AS (SELECT series, since, lag(since) OVER (PARTITION BY series ORDER BY t) AS b FROM s) SELECT series, count(*) FILTER (since <> 0 AND since <> 9999 AND since <> b + 1) AS broken FROM d GROUP BY series")
@@ -248,67 +251,104 @@ def g7(spark, sf):
     return gaps.calendar_gaps(panel(spark, sf), K, "y", 32, 0)
 
 
-@query("g8_empirical_gaps", f"{HP}, {RUNS}, q AS (SELECT series, CAST(floor(quantile_cont(steps, 0.9)) AS BIGINT) AS n FROM rn GROUP BY series), bl AS (SELECT h.series, t // n AS b, count(*) AS n FROM h JOIN q ON q.series = h.series WHERE y IS NOT NULL GROUP BY ALL) SELECT series, count(*) AS blocks, max(n) AS most FROM bl GROUP BY series")
+DRAWN = """ck{x} AS (SELECT DISTINCT {k}, t // 8192 AS ch FROM {src} WHERE y IS NOT NULL),
+dr{x} AS (SELECT ck{x}.*, i, s[((ch * 8192 + i + 7919 * ({rep} + 1)) * 2654435761) % 1000003 % len(s) + 1] AS n FROM ck{x} JOIN ls{x} USING ({k}), (SELECT unnest(generate_series(0, 8191)) AS i)),
+ti{x} AS (SELECT *, ch * 8192 + o AS b FROM (SELECT *, sum(n) OVER (PARTITION BY {k}, ch ORDER BY i) - n AS o FROM dr{x}) WHERE o < 8192),
+bv{x} AS (SELECT {src}.*, b FROM {src} ASOF JOIN ti{x} ON {on} AND {src}.t >= ti{x}.b WHERE y IS NOT NULL)"""
+EMPIRICAL = f"""{HP}, {RUNS}, ls AS (SELECT series, list_sort(list(steps)) AS s FROM rn GROUP BY series), {DRAWN.format(x='', k='series', src='h', rep=0, on='h.series = ti.series')},
+bl AS (SELECT series, b, count(*) AS n, ((b + 7919) * 2654435761) % 1000003 AS k FROM bv GROUP BY ALL),
+bu AS (SELECT series, b, sum(n) OVER (PARTITION BY series ORDER BY k, b) - n AS u, sum(n) OVER (PARTITION BY series) AS a FROM bl)
+SELECT bv.series, bv.t FROM bv JOIN bu ON bu.series = bv.series AND bu.b = bv.b AND u < a * 0.4"""
+
+
+@query("g8_empirical_gaps", EMPIRICAL)
 def g8(spark, sf):
+    return gaps.empirical_gaps(panel(spark, sf), K, "y", 0)
+
+
+LENGTHS, REPS = (1, 4, 32, 288), 5  # gap 0 is the mix of all lengths
+SK = ["gap", "rep", "series"]
+
+
+def scenarios(spark, sf, ext: bool = False):
+    """(gap, rep, series, t, obs, y, ta, sw): the valid rows once per scenario, y null where masked; TA of the site instead of the series' own if `ext`."""
     h = panel(spark, sf)
-    q = gaps.gap_runs(h, K, "y").groupBy("series").agg(F.floor(F.percentile("steps", lit(0.9))).alias("n"))
-    b = h.where("y IS NOT NULL").join(q, "series").groupBy("series", F.floor(c("t") / c("n")).alias("b")).agg(F.count(lit(1)).alias("m"))
-    return b.groupBy("series").agg(F.count(lit(1)).alias("blocks"), F.max("m").alias("most"))
-
-
-def gap_cv(spark, sf):
-    """Scores of the hour's mean as a fill, by gap length and repetition."""
-    h = panel(spark, sf).withColumn("hr", F.pmod("t", lit(24)))
-    out = None
-    for n in (1, 32):
-        for rep in (0, 1):
-            mask = gaps.calendar_gaps(h, K, "y", n, rep)
-            rest = h.join(mask, ["series", "t"], "left_anti").groupBy("series", "hr").agg(F.avg("y").alias("p"))
-            test = h.join(mask, ["series", "t"]).join(rest, ["series", "hr"])
-            s = M.point_metrics(test, ["series"]).select("series", lit(n).alias("gap"), lit(rep).alias("rep"), "RMSE")
-            out = s if out is None else out.unionByName(s)
-    return out
-
-
-def _cv_sql() -> str:
-    ctes, parts = [PANEL], []
-    for n in (1, 32):
-        for rep in (0, 1):
-            x = f"_{n}_{rep}"
-            g = GAPS.format(n=n, rep=rep + 1)
-            for name in ("bl", "br", "bu", "mk"):
-                g = g.replace(f"{name} AS", f"{name}{x} AS").replace(f"FROM {name})", f"FROM {name}{x})").replace(f"JOIN {name} ON", f"JOIN {name}{x} {name} ON")
-            ctes.append(g)
-            ctes.append(f"cm{x} AS (SELECT series, t % 24 AS hr, avg(y) AS p FROM h WHERE NOT EXISTS (SELECT 1 FROM mk{x} m WHERE m.series = h.series AND m.t = h.t) GROUP BY ALL)")
-            parts.append(f"SELECT h.series, {n} AS gap, {rep} AS rep, sqrt(avg((p - y) ** 2)) AS rmse FROM h JOIN mk{x} m ON m.series = h.series AND m.t = h.t JOIN cm{x} q ON q.series = h.series AND q.hr = h.t % 24 WHERE p IS NOT NULL GROUP BY h.series")
-    return "WITH " + ",\n".join(ctes) + ",\ncv AS (" + " UNION ALL ".join(parts) + ")"
-
-
-CV_SQL = _cv_sql()
-
-
-@query("g9_gap_cross_validation", f"{CV_SQL} SELECT series, gap, rep, round(rmse, 4) AS rmse FROM cv")
+    if ext:
+        h = h.drop("ta").join(h.groupBy("t").agg(F.avg("ta").alias("ta")), "t")
+    every = F.array(*[F.struct(lit(g).alias("gap"), lit(i).alias("rep")) for g in (*LENGTHS, 0) for i in range(REPS)])
+    rows = h.where("y IS NOT NULL").withColumn("z", F.explode(every)).select("z.*", "series", "t", "y", "ta", "sw")
+    mask = gaps.calendar_gaps(rows.where("gap > 0"), SK, "y", c("gap"), c("rep")).unionByName(gaps.mixed_gaps(rows.where("gap = 0"), SK, "y", c("rep"), LENGTHS))
+    rows = rows.withColumnRenamed("y", "obs").join(mask.withColumn("m", lit(1)), [*SK, "t"], "left")
+    path = scratch(spark, "scenarios")  # read by every method, on both sides of its joins
+    rows.withColumn("y", F.when(c("m").isNull(), c("obs"))).drop("m").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def cv_scores(filled, rows):
+    """Scores of the masked rows that were filled, at least 5 a scenario."""
+    test = rows.where("y IS NULL").join(filled, [*SK, "t"])
+    return M.point_metrics(test.select(*SK, c("obs").alias("y"), c("filled").alias("p")), SK, least=5)
+
+
+def hour_mean(rows):
+    hr = F.pmod("t", lit(24)).alias("hr")
+    means = rows.where("y IS NOT NULL").groupBy(*SK, hr).agg(F.avg("y").alias("filled"))
+    return rows.where("y IS NULL").select(*SK, "t", hr).join(means, [*SK, "hr"]).drop("hr")
+
+
+def gap_cv(spark, sf, ext: bool = False):
+    """(method, gap, rep, series, RMSE, R2) of the hour's mean and of the similarity fill; drivers of the site if `ext`."""
+    rows = scenarios(spark, sf, ext)
+    parts = [("MDS", mds(rows, SK, "y", "ta", "sw"))] + ([] if ext else [("mean", hour_mean(rows))])
+    out = [cv_scores(f, rows).select(lit(name).alias("method"), *SK, "RMSE", "R2", "n_test") for name, f in parts]
+    return out[0] if ext else out[0].unionByName(out[1])
+
+
+CV_SQL = f"""{HP}, sc AS (SELECT g AS gap, i AS rep FROM (VALUES (1), (4), (32), (288), (0)) a(g), (VALUES (0), (1), (2), (3), (4)) b(i)),
+rw AS (SELECT gap, rep, h.* FROM h, sc WHERE y IS NOT NULL), mx AS (SELECT * FROM rw WHERE gap = 0),
+ls_m AS (SELECT DISTINCT rep, series, [1, 4, 32, 288] AS s FROM mx), {DRAWN.format(x='_m', k='rep, series', src='mx', rep='rep', on='mx.series = ti_m.series AND mx.rep = ti_m.rep')},
+bx AS (SELECT *, t // gap AS b FROM rw WHERE gap > 0 UNION ALL SELECT * FROM bv_m),
+bl AS (SELECT gap, rep, series, b, count(*) AS n, ((b + 7919 * (rep + 1)) * 2654435761) % 1000003 AS k FROM bx GROUP BY ALL),
+bu AS (SELECT *, sum(n) OVER (PARTITION BY gap, rep, series ORDER BY k, b) - n AS u, sum(n) OVER (PARTITION BY gap, rep, series) AS a FROM bl),
+si AS (SELECT t, avg(ta) AS sta FROM h GROUP BY t),
+cv0 AS (SELECT gap, rep, series AS own, series || '|' || gap || '|' || rep AS series, t, y AS obs, CASE WHEN u < a * 0.25 THEN NULL ELSE y END AS y, ta, sta, sw FROM bx JOIN bu USING (gap, rep, series, b) JOIN si USING (t)),
+cve AS (SELECT * REPLACE (sta AS ta) FROM cv0),
+hm AS (SELECT series, t % 24 AS hr, avg(y) AS filled FROM cv0 WHERE y IS NOT NULL GROUP BY ALL),
+{MDS_SQL.format(src='cv0')},
+{{more}}
+fa AS (SELECT 'MDS' AS method, series, gt AS t, filled FROM fl UNION ALL SELECT 'mean', cv0.series, t, filled FROM cv0 JOIN hm ON hm.series = cv0.series AND hm.hr = t % 24 WHERE y IS NULL),
+cv AS (SELECT method, gap, rep, own AS series, sqrt(avg((filled - obs) ** 2)) AS rmse FROM fa JOIN cv0 USING (series, t) WHERE y IS NULL GROUP BY ALL HAVING count(*) >= 5)"""
+CV_EXT = MDS_SQL.format(src="cve")
+for _n in ("gp", "cd", "pr", "bk", "f1", "dd", "f2", "fl"):
+    CV_EXT = re.sub(rf"\b{_n}\b", f"{_n}_e", CV_EXT)
+CV_EXT += ",\nex AS (SELECT gap, rep, own AS series, sqrt(avg((filled - obs) ** 2)) AS rmse FROM (SELECT series, gt AS t, filled FROM fl_e) JOIN cv0 USING (series, t) WHERE y IS NULL GROUP BY ALL HAVING count(*) >= 5),"
+CV_SQL, CV_BOTH = CV_SQL.replace("{more}", ""), CV_SQL.replace("{more}", CV_EXT)
+
+
+@query("g9_gap_cross_validation", f"{CV_SQL} SELECT method, gap, rep, series, round(rmse, 4) AS rmse FROM cv")
 def g9(spark, sf):
-    return gap_cv(spark, sf).select("series", "gap", "rep", r("RMSE").alias("rmse"))
+    return gap_cv(spark, sf).select("method", *SK, r("RMSE").alias("rmse"))
 
 
-@query("a23_median_over_reps", f"{CV_SQL} SELECT series, gap, round(median(rmse), 4) AS rmse FROM cv GROUP BY ALL")
+@query("a23_median_over_reps", f"{CV_SQL} SELECT method, series, gap, round(median(rmse), 4) AS rmse FROM cv GROUP BY ALL")
 def a23(spark, sf):
-    return B.median_over_reps(gap_cv(spark, sf), ["series", "gap"], "RMSE").select("series", "gap", r("RMSE").alias("rmse"))
+    return B.median_over_reps(gap_cv(spark, sf), ["method", "series", "gap"], "RMSE").select("method", "series", "gap", r("RMSE").alias("rmse"))
 
 
-@query("g10_improvement", f"{CV_SQL} SELECT a.series, a.rep, round(b.rmse - a.rmse, 4) AS delta FROM cv a JOIN cv b ON a.series = b.series AND a.rep = b.rep AND a.gap = 1 AND b.gap = 32")
+@query("g10_improvement", f"{CV_SQL}, md AS (SELECT method, series, gap, median(rmse) AS rmse FROM cv GROUP BY ALL) SELECT a.series, a.gap, round(b.rmse - a.rmse, 4) + 0.0 AS delta FROM md a JOIN md b ON a.series = b.series AND a.gap = b.gap AND a.method = 'MDS' AND b.method = 'mean'")
 def g10(spark, sf):
-    s = gap_cv(spark, sf)
-    a, b = (s.where(c("gap") == g).select("series", "rep", c("RMSE").alias(f"r{g}")) for g in (1, 32))
-    return a.join(b, ["series", "rep"]).select("series", "rep", r(c("r32") - c("r1")).alias("delta"))
+    """What the similarity fill gains over the hour's mean, by series and gap length."""
+    s = B.median_over_reps(gap_cv(spark, sf), ["method", "series", "gap"], "RMSE")
+    a, b = (s.where(c("method") == m).select("series", "gap", c("RMSE").alias(m)) for m in ("MDS", "mean"))
+    return a.join(b, ["series", "gap"]).select("series", "gap", (r(c("mean") - c("MDS")) + 0.0).alias("delta"))
 
 
-@query("g11_source_ab", f"{HP} SELECT series, round(corr(y, ta), 4) AS own, round(corr(y, s), 4) AS site FROM (SELECT series, y, ta, avg(ta) OVER (PARTITION BY t) AS s FROM h) WHERE y IS NOT NULL AND ta IS NOT NULL GROUP BY series")
+@query("g11_source_ab", f"{CV_BOTH}, ma AS (SELECT series, gap, median(rmse) AS own FROM cv WHERE method = 'MDS' GROUP BY ALL), mb AS (SELECT series, gap, median(rmse) AS site FROM ex GROUP BY ALL) SELECT series, gap, round(own, 4) AS own, round(site, 4) AS site, round(site - own, 4) + 0.0 AS delta FROM ma JOIN mb USING (series, gap)")
 def g11(spark, sf):
-    h = panel(spark, sf)
-    h = h.join(h.groupBy("t").agg(F.avg("ta").alias("s")), "t").na.drop(subset=["y", "ta"])
-    return h.groupBy("series").agg(r(F.corr("y", "ta")).alias("own"), r(F.corr("y", "s")).alias("site"))
+    """The similarity fill under one harness with a series' own drivers and with the site's."""
+    med = lambda ext, name: B.median_over_reps(gap_cv(spark, sf, ext).where("method = 'MDS'"), ["series", "gap"], "RMSE").select("series", "gap", c("RMSE").alias(name))
+    both = med(False, "own").join(med(True, "site"), ["series", "gap"])
+    return both.select("series", "gap", r("own").alias("own"), r("site").alias("site"), (r(c("site") - c("own")) + 0.0).alias("delta"))
 
 
 # --- forecasts: persistence and climatology of the daily panel
@@ -379,13 +419,26 @@ for _name in ("l9_climatology", "a21_climatology", "j11_climatology_lookup"):
         return forecasts(spark, sf)[0].select("series", "tt", r("clim").alias("p"))
 
 
-@query("l11_expanding_folds", f"{FC}, k AS (SELECT * FROM (VALUES (0, 10957, 11107), (1, 11107, 11257)) v(fold, a, b)), mm AS (SELECT fold, series, avg(y) AS p FROM f JOIN k ON tt < a GROUP BY ALL) SELECT f.series, count(*) AS n, round(sqrt(avg((p - y) ** 2)), 4) AS rmse FROM f JOIN k ON tt >= a AND tt < b JOIN mm ON mm.fold = k.fold AND mm.series = f.series GROUP BY f.series HAVING count(*) >= 5")
+CUTS = [(10957, 11107), (11107, 11257)]
+
+
+@query("l11_expanding_folds", f"""{FC}, k AS (SELECT * FROM (VALUES (0, 10957, 11107), (1, 11107, 11257)) v(fold, a, b)),
+mm AS (SELECT fold, series, m, avg(y) AS own FROM f JOIN k ON tt < a GROUP BY ALL), dn AS (SELECT fold, m, sum(y) AS s, count(*) AS n FROM f JOIN k ON tt < a GROUP BY ALL),
+ds AS (SELECT fold, series, m, sum(y) AS s, count(*) AS n FROM f JOIN k ON tt < a GROUP BY ALL),
+z AS (SELECT f.series, f.y, mm.own, (dn.s - coalesce(ds.s, 0)) / nullif(dn.n - coalesce(ds.n, 0), 0) AS donors FROM f JOIN k ON tt >= a AND tt < b LEFT JOIN mm ON mm.fold = k.fold AND mm.series = f.series AND mm.m = f.m LEFT JOIN dn ON dn.fold = k.fold AND dn.m = f.m LEFT JOIN ds ON ds.fold = k.fold AND ds.m = f.m AND ds.series = f.series),
+w AS (SELECT series, y, (coalesce(own, donors) + coalesce(donors, own)) / 2 AS p FROM z)
+SELECT series, count(*) AS n, round(sqrt(avg((p - y) ** 2)), 4) AS rmse FROM w WHERE p IS NOT NULL GROUP BY series HAVING count(*) >= 5""")
 def l11(spark, sf):
+    """Means of the month in each fold's past, half from the series and half from its donors, all folds scored at once."""
     test, train = forecasts(spark, sf)
-    every = train.select("series", "tt", "y").unionByName(test.select("series", "tt", "y"))
-    rows = B.folds(every, [(10957, 11107), (11107, 11257)], "tt")
-    fit = rows.where("role = 'train'").groupBy("fold", "series").agg(F.avg("y").alias("p"))
-    s = M.point_metrics(rows.where("role = 'test'").join(fit, ["fold", "series"]), K, least=5)
+    every = train.select("series", "tt", "y", "m").unionByName(test.select("series", "tt", "y", "m"))
+    rows = B.folds(every, CUTS, "tt")
+    own = rows.where("role = 'train'").groupBy("fold", "series", "m").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    pool = own.groupBy("fold", "m").agg(F.sum("s").alias("ps"), F.sum("n").alias("pn"))
+    both = rows.where("role = 'test'").join(own, ["fold", "series", "m"], "left").join(pool, ["fold", "m"], "left")
+    mine, n = c("s") / c("n"), c("pn") - F.coalesce("n", lit(0))
+    donors = F.when(n > 0, (c("ps") - F.coalesce("s", lit(0.0))) / n)
+    s = M.point_metrics(both.withColumn("p", (F.coalesce(mine, donors) + F.coalesce(donors, mine)) / 2), K, least=5)
     return s.select("series", c("n_test").alias("n"), r("RMSE").alias("rmse"))
 
 
@@ -469,6 +522,12 @@ def a27(spark, sf):
     return events_(spark, sf).groupBy(confusion(c("label") > 0.5, c("prob") > 0.5).alias("cell")).agg(F.count(lit(1)).alias("n"), r(F.avg("persist")).alias("persist"))
 
 
+@query("a27_fp_by_month", f"{EV} SELECT month(DATE '1970-01-01' + CAST(tt AS INT)) AS m, count(*) AS n, round(avg(CAST(prob > 0.5 AND label <= 0.5 AS INT)), 4) AS fp_rate FROM (SELECT fc.tt, CAST(fc.y > thr AS DOUBLE) AS label, round(persist / (persist + thr), 3) AS prob FROM fc JOIN th ON th.series = fc.series) GROUP BY ALL")
+def a27b(spark, sf):
+    cell = confusion(c("label") > 0.5, c("prob") > 0.5)
+    return events_(spark, sf).groupBy("m").agg(F.count(lit(1)).alias("n"), r(F.avg((cell == "FP").cast("int"))).alias("fp_rate"))
+
+
 @query("a24_mean_delta", f"{FC}, s AS (SELECT series, {SQ} AS a, sqrt(avg((clim - y) ** 2)) AS b FROM fc GROUP BY series) SELECT round(avg(a - b), 4) AS delta FROM s")
 def a24(spark, sf):
     s = forecasts(spark, sf)[0].groupBy("series").agg(M.rmse(c("y"), c("persist")).alias("a"), M.rmse(c("y"), c("clim")).alias("b"))
@@ -483,11 +542,35 @@ def l22(spark, sf):
     return s.select("series", r("persistence").alias("persistence"), r("climatology").alias("climatology"))
 
 
-@query("a36_hourly_to_daily", f"{HP}, f AS (SELECT b.series, b.t // 24 AS d, b.y, a.y AS p FROM h a JOIN h b ON b.series = a.series AND b.t = a.t + 24), z AS (SELECT series, d, avg(y) AS y, avg(p) AS p FROM f WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY ALL) SELECT series, round(sqrt(avg((p - y) ** 2)), 4) AS rmse FROM z GROUP BY series")
+DECAY = f"""WITH {DAILY}, f AS (SELECT b.series, x.n AS hz, b.d AS tt, b.y, a.y AS persist, month(DATE '1970-01-01' + CAST(b.d AS INT)) AS m FROM o a, (VALUES (1), (3), (7), (14)) x(n), o b WHERE b.series = a.series AND b.d = a.d + x.n),
+tr AS (SELECT DISTINCT series, tt, y, m FROM f WHERE tt < 10957 AND hz = 1), te AS (SELECT * FROM f WHERE tt >= 10957),
+tn AS (SELECT series, count(*) AS n, avg(y) AS own_mean FROM tr GROUP BY series), ow AS (SELECT series, m, avg(y) AS own FROM tr GROUP BY ALL), pl AS (SELECT m, avg(y) AS pooled FROM tr GROUP BY m),
+fc AS (SELECT te.*, CASE WHEN coalesce(n, 0) >= 24 THEN coalesce(own, own_mean) ELSE coalesce(pooled, (SELECT avg(y) FROM tr)) END AS clim
+  FROM te LEFT JOIN tn ON tn.series = te.series LEFT JOIN ow ON ow.series = te.series AND ow.m = te.m LEFT JOIN pl ON pl.m = te.m),
+sk AS (SELECT series, hz, 1 - sqrt(avg((clim - y) ** 2)) / sqrt(avg((persist - y) ** 2)) AS skill FROM fc GROUP BY ALL HAVING count(*) >= 10)"""
+
+
+@query("l22_skill_decay", f"{DECAY} SELECT series, round(max(skill) FILTER (hz = 1), 4) AS h1, round(max(skill) FILTER (hz = 3), 4) AS h3, round(max(skill) FILTER (hz = 7), 4) AS h7, round(max(skill) FILTER (hz = 14), 4) AS h14 FROM sk GROUP BY series")
+def l22b(spark, sf):
+    """Skill of the climatology over persistence by horizon in days."""
+    horizons = (1, 3, 7, 14)
+    o = daily(spark, sf)
+    ahead = o.select("series", F.explode(F.array(*[lit(h) for h in horizons])).alias("hz"), "d", c("y").alias("persist")).withColumn("tt", c("d") + c("hz"))
+    f = ahead.join(o.select("series", c("d").alias("tt"), "y"), ["series", "tt"]).withColumn("m", F.month(F.date_add(lit("1970-01-01").cast("date"), c("tt").cast("int"))))
+    test = B.climatology(f.where("tt < 10957 AND hz = 1"), f.where("tt >= 10957"), "series", ["m"])
+    s = M.point_metrics(test, ["series", "hz"], p="clim", naive="persist", least=10)
+    return s.groupBy("series").pivot("hz", list(horizons)).agg(F.first("skill_persist")).select("series", *[r(c(str(h))).alias(f"h{h}") for h in horizons])
+
+
+@query("a36_hourly_to_daily", f"{HP}, f AS (SELECT b.series, b.t // 24 AS d, b.y, a.y AS p FROM h a JOIN h b ON b.series = a.series AND b.t = a.t + 24), z AS (SELECT series, d, avg(y) AS y, avg(p) AS p FROM f WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY ALL), dy AS (SELECT series, t // 24 AS d, avg(y) AS y FROM h GROUP BY ALL), w AS (SELECT z.series, z.y, z.p, dy.y AS q FROM z JOIN dy ON dy.series = z.series AND dy.d = z.d - 1 WHERE dy.y IS NOT NULL) SELECT series, count(*) AS n, round(sqrt(avg((p - y) ** 2)), 4) AS hourly, round(sqrt(avg((q - y) ** 2)), 4) AS daily FROM w GROUP BY series")
 def a36(spark, sf):
-    f = align(panel(spark, sf), K, ["y"], [], "y", [24]).select("series", F.floor(c("tt") / 24).alias("d"), c("y").alias("p"), c("target").alias("y")).na.drop()
+    """Hourly forecasts averaged to days, and the forecast from the day before's mean, scored on the same days."""
+    h = panel(spark, sf)
+    f = align(h, K, ["y"], [], "y", [24]).select("series", F.floor(c("tt") / 24).alias("d"), c("y").alias("p"), c("target").alias("y")).na.drop()
     z = f.groupBy("series", "d").agg(F.avg("y").alias("y"), F.avg("p").alias("p"))
-    return M.point_metrics(z, K).select("series", r("RMSE").alias("rmse"))
+    w = z.join(h.groupBy("series", (F.floor(c("t") / 24) + 1).alias("d")).agg(F.avg("y").alias("q")), ["series", "d"]).where("q IS NOT NULL")
+    a = M.point_metrics(w, K).select("series", c("n_test").alias("n"), r("RMSE").alias("hourly"))
+    return a.join(M.point_metrics(w, K, p="q").select("series", r("RMSE").alias("daily")), "series")
 
 
 @query("l1_mean_imputation", f"{HP} SELECT series, t, round(coalesce(y, (SELECT avg(y) FROM h)), 4) AS y FROM h")
@@ -499,5 +582,5 @@ def l1(spark, sf):
 
 @query("l6_class_guard", f"{EV} SELECT series, least(count(*) FILTER (label > 0.5), count(*) FILTER (label <= 0.5)) >= 5 AS trains FROM ev2 GROUP BY series")
 def l6(spark, sf):
-    true = F.count_if(c("label") > 0.5)
-    return events_(spark, sf).groupBy("series").agg((F.least(true, F.count(lit(1)) - true) >= 5).alias("trains"))
+    from .models import trainable
+    return trainable(events_(spark, sf), K).select("series", "trains")

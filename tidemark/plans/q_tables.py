@@ -80,9 +80,10 @@ def s8(spark, sf):
     return spark.read.parquet(p).select("replication", "k", "run")
 
 
-@query("s9_manifest", "SELECT 'absent' AS name, NULL::BIGINT AS rows, 'MISSING' AS status UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 'OK' UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), 'OK'")
+@query("s9_manifest", "SELECT 'absent' AS name, NULL::BIGINT AS rows, NULL::INT AS columns, false AS filled, 'MISSING' AS status UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), (SELECT count(*)::INT FROM information_schema.columns WHERE table_name = 'nation'), true, 'OK' UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*)::INT FROM information_schema.columns WHERE table_name = 'orders'), true, 'OK'")
 def s9(spark, sf):
-    return manifest(spark, {n: f"{sf}/{n}.parquet" for n in ("nation", "orders", "absent")}).select("name", "rows", "status")
+    m = manifest(spark, {n: f"{sf}/{n}.parquet" for n in ("nation", "orders", "absent")})
+    return m.select("name", "rows", "columns", F.coalesce(c("size") > 0, lit(False)).alias("filled"), "status")
 
 
 @query("s10_external_layers", "SELECT o_orderkey, c_mktsegment, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
@@ -150,6 +151,14 @@ def p8(spark, sf):
     return qc.swap_driver(h, h.groupBy("t").agg(F.avg("ta").alias("ta")), ["t"], "ta", 1 / 3.6).select("series", "t", r("ta").alias("ta"))
 
 
+@query("p8_coverage", f"WITH {PANEL}, {SITE} SELECT h.series, count(h.ta) AS before, count(s.ta) AS after FROM h LEFT JOIN s ON s.t = h.t GROUP BY h.series")
+def p8b(spark, sf):
+    """Valid rows of the driver before and after the swap."""
+    h = panel(spark, sf)
+    new = qc.swap_driver(h.withColumn("old", c("ta")), h.groupBy("t").agg(F.avg("ta").alias("ta")), ["t"], "ta", 1 / 3.6)
+    return new.groupBy("series").agg(F.count("old").alias("before"), F.count("ta").alias("after"))
+
+
 @query("p9_prefer_filled", f"WITH {PANEL}, {SITE} SELECT h.series, h.t, round(coalesce(h.ta, s.ta), 4) AS ta FROM h JOIN s ON s.t = h.t")
 def p9(spark, sf):
     h = panel(spark, sf)
@@ -414,11 +423,25 @@ def a10(spark, sf):
     return q.select("d", *[r(c("q")[i]).alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
 
 
-@query("a11_availability", f"{D24} SELECT d, round(100 * avg(CAST(y IS NOT NULL AS INT)) FILTER (series = 'click'), 4) AS click, round(100 * avg(CAST(y IS NOT NULL AS INT)) FILTER (series = 'error'), 4) AS error FROM z WHERE series IN ('click', 'error') GROUP BY ALL")
+MONTHS = list(range(1, 13))
+VALID = f"WITH {PANEL}, z AS (SELECT series, year(x) AS yr, month(x) AS mo, 100.0 * CAST(y IS NOT NULL AS INT) AS ok FROM (SELECT *, DATE '1970-01-01' + CAST(t // 24 AS INT) AS x FROM h))"
+
+
+def validity(spark, sf):
+    """(series, yr, mo, ok): 100 for hours with a value, else 0."""
+    day = F.date_add(lit("1970-01-01").cast("date"), F.floor(c("t") / 24).cast("int"))
+    return panel(spark, sf).select("series", F.year(day).alias("yr"), F.month(day).alias("mo"), (c("y").isNotNull().cast("int") * 100.0).alias("ok"))
+
+
+@query("a11_availability", f"{VALID} SELECT yr, " + ", ".join(f"round(avg(ok) FILTER (mo = {m}), 4) AS m{m}" for m in MONTHS) + " FROM z GROUP BY yr")
 def a11(spark, sf):
-    h = panel(spark, sf).withColumn("d", F.floor(c("t") / 24)).where(c("series").isin("click", "error"))
-    p = h.groupBy("d").pivot("series", ["click", "error"]).agg(F.avg(c("y").isNotNull().cast("int")) * 100)
-    return p.select("d", r("click").alias("click"), r("error").alias("error"))
+    p = validity(spark, sf).groupBy("yr").pivot("mo", MONTHS).agg(F.avg("ok"))
+    return p.select("yr", *[r(c(str(m))).alias(f"m{m}") for m in MONTHS])
+
+
+@query("a11_availability_by_station", f"{VALID} SELECT series, yr, round(avg(ok), 4) AS available FROM z GROUP BY ALL")
+def a11b(spark, sf):
+    return validity(spark, sf).groupBy("series", "yr").agg(r(F.avg("ok")).alias("available"))
 
 
 @query("a12_median_by_hour", f"WITH {PANEL} SELECT t % 24 AS hr, round(median(y), 4) AS y FROM h GROUP BY ALL")

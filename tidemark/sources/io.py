@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +34,20 @@ def write_ledger(df: DataFrame, path: str, tag: str = "replication") -> None:
 
 
 def manifest(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(name, rows, columns, status) of the expected tables."""
+    """(name, rows, columns, size, status) of the expected tables; size in bytes of their files.
+
+    Only a path that does not exist is MISSING; other faults, such as one of permission or format, are raised.
+    """
     out = []
     for name, path in sorted(paths.items()):
         try:
             df = spark.read.parquet(path)
-            out.append((name, df.count(), len(df.columns), "OK"))
-        except Exception:  # a table that cannot be read is what the manifest reports
-            out.append((name, None, None, "MISSING"))
-    return spark.createDataFrame(out, "name string, rows long, columns int, status string")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            out.append((name, None, None, None, "MISSING"))
+            continue
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+        size = files.agg(F.sum("length")).first()[0]
+        out.append((name, df.count(), len(df.columns), size, "OK"))
+    return spark.createDataFrame(out, "name string, rows long, columns int, size long, status string")
