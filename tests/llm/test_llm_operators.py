@@ -154,6 +154,32 @@ def test_decontamination(spark, docs, limit):
     assert cut[8] == "" and cut[0] == corpus()[0][1] and cut[3] is None and prose(50, 3) in cut[6]
 
 
+def test_gram_set_holds_each_window_once():
+    import pickle
+
+    texts = [("a", prose(40, 1)), ("b", prose(40, 1)), ("c", prose(25, 1)), ("d", "Two words"), ("e", "two WORDS"), ("f", "...")]
+    known = decontaminate.gram_set(texts, 10)
+    grams = []
+    for t in dict.fromkeys(t for _, t in texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        m = min(10, len(w))
+        grams.append({" ".join(w[i : i + m]) for i in range(len(w) - m + 1)} if w else set())
+    assert known.ids == [["a", "b"], ["c"], ["d"], ["e"], ["f"]] and sorted(known.windows) == [2, 10]
+    for m, win in known.windows.items():
+        seen = [known.base.join(int(i), int(i) + m) for i in win.first]
+        assert len(set(seen)) == len(seen) and (np.diff(win.hashes.astype(object)) > 0).all()
+        for k, w in enumerate(seen):
+            owners = set(win.owner[win.ptr[k] : win.ptr[k + 1]].tolist())
+            assert owners == {d for d, own in enumerate(grams) if w.decode() in own}
+    # two different windows of one hash stay apart
+    at = np.array([0, 10, 25])
+    win = decontaminate._windows(known.base, at, np.array([7, 7, 7], np.uint64), known.base.doc_of(), 10)
+    assert len(win.first) == len({known.base.join(int(i), int(i) + 10) for i in at})
+    rows = [(str(i), f"w{i} " * 5 + " ".join(f"x{i}y{k}" for k in range(200))) for i in range(500)]
+    built = len(pickle.dumps(decontaminate.gram_set(rows, 10)))
+    assert built <= sum(len(t) + decontaminate.WORD_BYTES * 205 + len(i) + decontaminate.ITEM_BYTES for i, t in rows)
+
+
 def test_decontamination_empty(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.op3(empty, none).count() == 0

@@ -2,13 +2,15 @@
 
 The benchmark's windows (n words; an item with fewer words is one window) are hashed and broadcast;
 each document's windows are looked up by hash, and each hit is verified word for word. The broadcast
-is bounded: a benchmark over `limit` bytes of text is taken in slices by a hash of the row, each slice
-against all documents, and the hits of the slices are merged per document.
+is bounded: `limit` counts the bytes of the built set, arrays of 28 bytes a word beside the text; equal rows count
+once. A larger benchmark is taken in slices by a hash of the row, each slice against all documents, and the
+hits of the slices are merged per document.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,71 +18,118 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ALNUM, chunks, gram_hashes, split_words
+from .common import ascii_lower
+from .tokens import ALNUM, Words, chunks, gram_hashes, split_words
 
 HITS = "id long, row long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
 _TABLE_BITS = 20
+WORD_CHARS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD_BYTES, ITEM_BYTES = 28, 200  # of the built set: arrays for each word, objects for each item
+
+
+@dataclass
+class Windows:
+    """The distinct windows of m words of the benchmark's texts, sorted by hash: that of number k starts at word
+    `first[k]` and belongs to the texts owner[ptr[k]:ptr[k + 1]]."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    ptr: np.ndarray
+    owner: np.ndarray
+
+
+@dataclass
+class GramSet:
+    """Arrays alone: the texts' folded bytes with their word ends, Windows by length, item ids by text."""
+
+    base: Words
+    windows: dict[int, Windows]
+    ids: list[list[str]]
+
+
+def _windows(base: Words, at: np.ndarray, g: np.ndarray, doc: np.ndarray, m: int) -> Windows:
+    order = np.argsort(g, kind="stable")
+    at, g = at[order], g[order]
+    fresh = np.ones(len(g), bool)
+    fresh[1:] = g[1:] != g[:-1]
+    # of one hash: the same words or, once in a great while, others; these get numbers of their own
+    starts = np.flatnonzero(fresh)
+    for a, b in zip(starts, np.append(starts[1:], len(g))):
+        if b - a > 1:
+            by: dict[bytes, list[int]] = {}
+            for i in at[a:b].tolist():
+                by.setdefault(base.join(i, i + m), []).append(i)
+            at[a:b] = [i for same in by.values() for i in same]
+            if len(by) > 1:
+                fresh[a + np.cumsum([len(same) for same in by.values()])[:-1]] = True
+    ptr = np.flatnonzero(fresh)
+    return Windows(g[ptr], at[ptr].astype(np.int32), np.append(ptr, len(g)).astype(np.int32), doc[at].astype(np.int32))
+
+
+def gram_set(items: list[tuple[str | None, str]], n: int) -> GramSet:
+    """The windows of (id, text) items: of n words, or of all words of a text that has fewer."""
+    ids: dict[str, set[str]] = {}
+    for item, text in items:
+        ids.setdefault(text, set()).add("" if item is None else item)
+    base = split_words(pa.array(list(ids), pa.string()), ALNUM, fold=True)
+    base = Words(base.data, base.start.astype(np.int32), base.end.astype(np.int32), base.bounds)
+    h, left, doc, counts = base.hashes(), base.left(), base.doc_of(), base.counts()
+    windows = {}
+    for m in sorted({min(n, int(c)) for c in np.unique(counts) if c}):
+        g = gram_hashes(h, m)
+        at = np.flatnonzero((left[: len(g)] >= m) & ((counts[doc[: len(g)]] >= n) if m == n else (counts[doc[: len(g)]] == m)))
+        windows[m] = _windows(base, at, g[at], doc, m)
+    return GramSet(base, windows, [sorted(v) for v in ids.values()])
 
 
-def gram_set(items: list[tuple], n: int) -> dict:
-    """{length: (sorted hashes, bit table)} and {words: item numbers} of the items' windows."""
-    grams: dict[bytes, set[int]] = {}
-    hashes: dict[int, set[int]] = {}
-    for k, (_, text) in enumerate(items):
-        words = split_words(pa.array([text], pa.string()), ALNUM, fold=True)
-        count = len(words.start)
-        if not count:
-            continue
-        m = min(n, count)
-        h = gram_hashes(words.hashes(), m)
-        hashes.setdefault(m, set()).update(h.tolist())
-        for i in range(count - m + 1):
-            grams.setdefault(words.join(i, i + m), set()).add(k)
-    tables = {}
-    for m, hs in hashes.items():
-        h = np.array(sorted(hs), np.uint64)
-        bits = np.zeros(1 << _TABLE_BITS, bool)
-        bits[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-        tables[m] = (h, np.packbits(bits))
-    return {"tables": tables, "grams": {g: sorted(v) for g, v in grams.items()}, "ids": ["" if i is None else str(i) for i, _ in items]}
-
-
-def find_hits(words, grams: dict, tables: dict) -> list[tuple[int, int, bytes]]:
-    """Verified (start, length, window) hits in a chunk."""
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(1 << _TABLE_BITS, bool)
+    bits[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+    return bits
+
+
+def find_hits(words: Words, known: GramSet, bits: dict[int, np.ndarray]) -> list[tuple[int, int, int]]:
+    """Verified (start, length, number of the window) hits in a chunk."""
     h, left, out = words.hashes(), words.left(), []
-    for m, (sorted_hashes, bits) in tables.items():
+    for m, win in known.windows.items():
         g = gram_hashes(h, m)
-        at = np.flatnonzero(bits[(g >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+        at = np.flatnonzero(bits[m][(g >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         at = at[left[at] >= m]
-        found = np.searchsorted(sorted_hashes, g[at])
-        at = at[sorted_hashes[np.minimum(found, len(sorted_hashes) - 1)] == g[at]]
-        for i in at.tolist():
-            if (w := words.join(i, i + m)) in grams:
-                out.append((i, m, w))
+        low, high = np.searchsorted(win.hashes, g[at], "left"), np.searchsorted(win.hashes, g[at], "right")
+        for i, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
+            for k in range(a, b):
+                f = int(win.first[k])
+                if words.join(i, i + m) == known.base.join(f, f + m):
+                    out.append((i, m, k))
     return out
 
 
 def _scan(shared):
     def scan(batches):
         known = shared.value
-        tables = {m: (h, np.unpackbits(b).astype(bool)) for m, (h, b) in known["tables"].items()}
+        bits = {m: _bits(win.hashes) for m, win in known.windows.items()}
         for batch in batches:
             for part in chunks(batch, "text"):
                 words = split_words(part.column("text"), ALNUM, fold=True)
-                hits = sorted(find_hits(words, known["grams"], tables))
-                spans, items = [[] for _ in range(words.n_docs)], [set() for _ in range(words.n_docs)]
-                for i, m, w in hits:
+                spans, hit, items = [[] for _ in range(words.n_docs)], [set() for _ in range(words.n_docs)], []
+                for i, m, k in sorted(find_hits(words, known, bits)):
                     d = int(np.searchsorted(words.bounds, i, "right")) - 1
                     a = i - int(words.bounds[d])
-                    items[d].update(known["ids"][k] for k in known["grams"][w])
+                    hit[d].add((m, k))
                     if spans[d] and a <= spans[d][-1]["stop"]:
                         spans[d][-1]["stop"] = max(spans[d][-1]["stop"], a + m)
                     else:
                         spans[d].append({"start": a, "stop": a + m})
+                for found in hit:
+                    owners: set[int] = set()
+                    for m, k in found:
+                        win = known.windows[m]
+                        owners.update(win.owner[win.ptr[k] : win.ptr[k + 1]].tolist())
+                    items.append(sorted({x for o in owners for x in known.ids[o]}))
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), part.column("row"), pa.array(words.counts(), pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    pa.array([sorted(s) for s in items], pa.list_(pa.string()))], names=["id", "row", "n_words", "spans", "items"])
+                    pa.array(items, pa.list_(pa.string()))], names=["id", "row", "n_words", "spans", "items"])
     return scan
 
 
@@ -98,7 +147,7 @@ def _merge(df: DataFrame, slices: int) -> DataFrame:
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 16 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = 64 << 20) -> DataFrame:
     """One row (id, n_words, spans, items) per row of docs; spans are united word ranges [start, stop).
 
     Words are runs of digits, a-z (A-Z is lower-cased) and bytes beyond ASCII. A null or empty text
@@ -107,8 +156,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_
     read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
+    n_words = F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD_CHARS))
+    built = F.octet_length("text") + WORD_BYTES * n_words + F.coalesce(F.octet_length("item"), F.lit(0)) + ITEM_BYTES
+    size = items.agg(F.coalesce(F.sum(built), F.lit(0))).first()[0]
     slices = max(1, math.ceil(size / limit))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     found = []
