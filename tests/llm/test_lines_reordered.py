@@ -1,5 +1,7 @@
 """Lines that share a SimHash with a line they are not similar to."""
 
+import random
+
 from test_llm_operators import DOCS, brute_lines, prose
 
 from tidemark.llm import line_dedup
@@ -20,3 +22,34 @@ def test_reordered_lines(spark):
     assert all(len(want[100 * k + 2]) == 1 for k in range(6))  # b goes for a, not for f
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()}
     assert got == {i: "\n".join(x) for i, x in want.items()}
+
+
+def test_distance_of_characters():
+    rng = random.Random(3)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for n in range(400):
+        letters = "abé語😀" if n % 2 else "abcdefgh "
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 150)))
+        b = "".join(c for c in a if rng.random() > 0.1)
+        b = "".join(rng.choice(letters) if rng.random() < 0.1 else c for c in b) + rng.choice(["", "x", "ab"])
+        d = distance(a, b)
+        assert [line_dedup.within(a, b, k) for k in (d - 1, d, d + 1)] == [False, True, True]
+
+
+def test_repeated_rows_do_not_add_up(spark):
+    """The words of equal rows' lines are not summed up, which would overflow the lanes of the SimHash."""
+    w = prose(100, 4)
+    near = w.split()
+    near[50] = "typo"
+    rows = [(1, w, "en", "a")] * 7 + [(2, " ".join(near), "en", "a")]
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(1, w), (2, "")}

@@ -567,7 +567,7 @@ def test_lines(spark, empty):
 def test_simhash_takes_the_majority_of_distinct_words(spark):
     lines = [prose(40, 77), prose(700, 81), "a", "a b", "| x | y | z |", *[" ".join(f"u{k}" for k in range(n)) for n in (126, 127, 128, 254, 255, 1000)], "é ü " * 200 + "z"]
     df = spark.createDataFrame([(i, 0, 0, x) for i, x in enumerate(lines)], "id long, line int, t long, norm string")
-    got = {r["id"]: r["h"] % (1 << 64) for r in line_dedup.simhash(df).collect()}
+    got = {r["id"]: r["h"] % (1 << 64) for r in line_dedup.simhash(df, line_dedup.SPOT).collect()}
     for i, x in enumerate(lines):
         words = set(x.split(" "))
         counts = [sum(xxhash.xxh64_intdigest(w.encode(), seed=42) >> k & 1 for w in words) for k in range(64)]

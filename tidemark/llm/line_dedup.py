@@ -1,4 +1,4 @@
-"""Fuzzy line dedup, in DataFrame functions alone.
+"""Fuzzy line dedup: DataFrame functions throughout, but for the edit distance.
 
 Lines are normalised (lower case, words one space apart). Equal normalised lines are one class. Each class
 gets a 64-bit SimHash of its distinct words, so that no word repeated in a line decides the hash alone.
@@ -14,9 +14,9 @@ Hubs: before all pairs are looked for, each class is compared with the least cla
 disjoint blocks. Classes of one component of over `crowd` classes are then not paired again, so that a crowd of
 near copies yields links in proportion to its size.
 
-The edit distance is costly character by character. First lines are compared word by word, each word as one
-character: edits of words, times the longest word and a space, bound the distance from above. Only pairs that this
-leaves open, and that no other link has joined by then, are compared by characters.
+The edit distance is the one step outside DataFrame functions: Spark's levenshtein() took two thirds of the operator's
+CPU time (README). Arrow batches of pairs go through a bit-parallel distance, which holds a column of the distance
+table as the bits of one integer and needs a dozen operations on it for each character.
 
 The SimHash's 64 counters are summed in 8 longs of eight 8-bit lanes each, over at most 127 words at a time;
 lines with more words add these sums up in 32 longs of two wide lanes. Majorities are read off all lanes of
@@ -25,8 +25,10 @@ a long at once, by adding what a lane lacks to carry into its highest bit.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,27 +71,30 @@ def _or(parts: list[Column]) -> Column:
     return out
 
 
-def simhash(lines: DataFrame) -> DataFrame:
-    """(id, line, t, h): the SimHash of the distinct words of `norm`: a bit is set where most words' hashes have it."""
+def simhash(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, h): the SimHash of the distinct words of `norm`: a bit is set where most words' hashes have it.
+
+    No two rows agree in all columns of `by`: their words would be added up.
+    """
     width = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     hashes = F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
     n = F.col("n")
-    short = lines.where(width <= LANE_WORDS).select(*SPOT, F.explode(hashes).alias("x")).groupBy(*SPOT).agg(F.count(F.lit(1)).alias("n"), *_lane_sums(F.col("x")))
+    short = lines.where(width <= LANE_WORDS).select(*by, F.explode(hashes).alias("x")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *_lane_sums(F.col("x")))
     lack = F.lit(127) - F.floor(n / 2)  # a lane that holds over half of n words reaches 128 with it
     bits = []
     for j in range(8):
         for odd in (0, 1):
             lanes = F.shiftrightunsigned(f"s{j}", 8 * odd).bitwiseAND(F.lit(EVEN)) + lack * F.lit(EVEN_ONES)
             bits.append(F.shiftleft(F.shiftrightunsigned(lanes, 7).bitwiseAND(F.lit(EVEN_ONES)), j + 8 * odd))
-    short = short.select(*SPOT, _or(bits).alias("h"))
-    words = lines.where(width > LANE_WORDS).select(*SPOT, F.posexplode(hashes).alias("p", "x")).withColumn("part", F.floor(F.col("p") / LANE_WORDS).cast("int"))
-    parts = words.groupBy(*SPOT, "part").agg(F.count(F.lit(1)).alias("n"), *_lane_sums(F.col("x")))
+    short = short.select(*by, _or(bits).alias("h"))
+    words = lines.where(width > LANE_WORDS).select(*by, F.posexplode(hashes).alias("p", "x")).withColumn("part", F.floor(F.col("p") / LANE_WORDS).cast("int"))
+    parts = words.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n"), *_lane_sums(F.col("x")))
     lane = lambda j, k: F.shiftrightunsigned(f"s{j}", 8 * k).bitwiseAND(F.lit(255))  # noqa: E731  counter of bit 8 k + j
     wide = [F.sum(lane(j, k).bitwiseOR(F.shiftleft(lane(j, k + 4), 32))).alias(f"t{j}{k}") for j in range(8) for k in range(4)]
-    long = parts.groupBy(*SPOT).agg(F.sum("n").alias("n"), *wide)
+    long = parts.groupBy(*by).agg(F.sum("n").alias("n"), *wide)
     lack = F.lit((1 << 30) - 1) - F.floor(n / 2)
     bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"t{j}{k}") + lack * F.lit(WIDE_ONES), 30).bitwiseAND(F.lit(WIDE_ONES)), 8 * k + j) for j in range(8) for k in range(4)]
-    return short.unionByName(long.select(*SPOT, _or(bits).alias("h")))
+    return short.unionByName(long.select(*by, _or(bits).alias("h")))
 
 
 def block_key(h: Column, k: Column, blocks: int, choices: list[tuple[int, ...]]) -> Column:
@@ -144,26 +149,61 @@ def candidates(kinds: DataFrame, bits: int, blocks: int) -> DataFrame:
     return every.distinct()
 
 
-def word_codes(norm: Column) -> Column:
-    """One character for each word: 15 bits of its hash, so that two words agree wrongly once in 32768 times."""
-    code = lambda w: F.hex(F.lit(0x1000) + F.xxhash64(w).bitwiseAND(F.lit(0x7FFF)))  # noqa: E731  no surrogates
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-16BE")
-
-
-def longest_word(norm: Column) -> Column:
-    return F.array_max(F.transform(F.split(norm, " "), lambda w: F.char_length(w)))
-
+def within(a: str, b: str, allowed: int) -> bool:
+    """Whether at most `allowed` insertions, deletions and substitutions of code points turn a into b.
 
-def edit_similar(a: Column, b: Column, percent: int) -> Column:
-    """100 * (1 - edit distance / longer length) >= percent.
-
-    The distance is bounded, first by a few edits, which most near copies keep to and which is quickly found out.
+    `up` and `down` hold, a bit for each character of a, where a column of the distance table rises or falls by one from
+    row to row; `score` is the column's last entry. Time is the product of the lengths over the bits of a machine word.
     """
-    longest = F.greatest(F.char_length(a), F.char_length(b))
-    allowed = F.floor(longest * (100 - percent) / 100).cast("int")
-    few = F.least(allowed, F.floor(longest / 24).cast("int") + 4)
-    within = lambda n: F.call_function("levenshtein", a, b, n) >= 0
-    return (F.least(F.char_length(a), F.char_length(b)) * 100 >= longest * percent) & (within(few) | within(allowed))
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    start, stop = 0, min(len(a), len(b))
+    while start < stop and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < stop - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if max(len(a), len(b)) <= allowed:
+        return True
+    spots: dict[str, int] = {}
+    for i, c in enumerate(a):
+        spots.setdefault(c, []).append(i)
+    size = (len(a) + 7) // 8
+    for c, at in spots.items():
+        bits = bytearray(size)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        spots[c] = int.from_bytes(bits, "little")
+    full = (1 << len(a)) - 1
+    last = len(a) - 1
+    up, down, score, left = full, 0, len(a), len(b)
+    for c in b:
+        same = spots.get(c, 0)
+        level = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(level | up)), up & level
+        score += (rise >> last & 1) - (fall >> last & 1)
+        left -= 1
+        if score - left > allowed:
+            return False
+        if score + left <= allowed:
+            return True
+        rise, fall, same = rise << 1 | 1, fall << 1, same | down
+        up, down = (fall | ~(same | rise)) & full, rise & same & full
+    return score <= allowed
+
+
+def similar_in(percent: int, cols: list[str]):
+    """For mapInArrow: of pairs with texts ta, tb those of 100 * (1 - edit distance / longer length) >= percent."""
+
+    def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ta, tb = part.column("ta"), part.column("tb")
+            ends = ((ta[i].as_py(), tb[i].as_py()) for i in range(part.num_rows))
+            kept = pa.array([within(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in ends], pa.bool_())
+            yield part.select(cols).filter(kept)
+
+    return batches
 
 
 def only_of(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
@@ -179,28 +219,15 @@ def only_of(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     return passed.join(wanted, by)
 
 
-def texts_of(pairs: DataFrame, kinds: DataFrame, lines: DataFrame) -> DataFrame:
-    """(c, norm, size, codes, most) of the classes in pairs (a, b)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    ends = materialise(kinds.select("c", *SPOT).join(ends, "c"))
+def similar(pairs: DataFrame, kinds: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) of classes whose lines pass the edit similarity. Lengths are compared before texts are joined."""
+    ends = materialise(kinds.select("c", *SPOT).join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c"))
     texts = only_of(lines.select(*SPOT, "norm"), ends, SPOT).select("c", "norm").dropDuplicates(["c"])
-    return written(texts.select("c", "norm", F.char_length("norm").alias("size"), word_codes(F.col("norm")).alias("codes"), longest_word(F.col("norm")).alias("most")), "texts")
-
-
-def by_words(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b, ...) whose lengths allow the edit similarity, with `linked`: whether their words show it."""
-    side = lambda x: texts.select(F.col("c").alias(x), *[F.col(n).alias(n + x) for n in ("size", "codes", "most")])
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    longest = F.greatest("sizea", "sizeb")
-    edits = F.floor(F.floor(longest * (100 - percent) / 100) / (F.greatest("mosta", "mostb") + 1)).cast("int")
-    full = full.where(F.least("sizea", "sizeb") * 100 >= longest * percent)
-    return written(full.select(*pairs.columns, (F.call_function("levenshtein", F.col("codesa"), F.col("codesb"), edits) >= 0).alias("linked")), "judged")
-
-
-def by_characters(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose lines pass the edit similarity."""
-    full = pairs.join(texts.select(F.col("c").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("norm").alias("tb")), "b")
-    return written(full.where(edit_similar(F.col("ta"), F.col("tb"), percent)).select(*pairs.columns), "similar")
+    texts = written(texts.withColumn("size", F.char_length("norm")), "texts")
+    side = lambda x: texts.select(F.col("c").alias(x), F.col("size").alias("size" + x))
+    fit = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("sizea", "sizeb") * 100 >= F.greatest("sizea", "sizeb") * percent).select(*pairs.columns)
+    full = fit.join(texts.select(F.col("c").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("norm").alias("tb")), "b")
+    return written(full.select(*pairs.columns, "ta", "tb").mapInArrow(similar_in(percent, pairs.columns), pairs.schema), "similar")
 
 
 def relabelled(df: DataFrame, links: DataFrame, cols: list[str]) -> DataFrame:
@@ -223,24 +250,16 @@ def removed(docs: DataFrame, percent: int = 80, bits: int = 10, blocks: int = 6,
     lines = exploded(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumn("norm", normal(F.col("raw"))).where(F.col("norm") != "")
     lines.select(*SPOT, "norm", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit("line"), F.col("norm")).alias("k2")).write.option("compression", "zstd").parquet(path)
     lines = spark.read.parquet(path)
-    heads = lines.groupBy("k1", "k2").agg(F.min(F.struct(*SPOT)).alias("s")).select("s.*")
-    # numbers in the order of occurrence, so that the least of a component is its first line
-    kinds = materialise(heads.join(simhash(lines), SPOT).dropDuplicates(SPOT).orderBy(*SPOT).withColumn("c", F.monotonically_increasing_id()))
-    stars = materialise(hub_pairs(kinds, bits, blocks))
-    linked = by_words(stars, texts_of(stars, kinds, lines), percent).where("linked")
+    hashes = simhash(lines.withColumn("row", F.monotonically_increasing_id()), [*SPOT, "k1", "k2", "row"])
+    heads = hashes.groupBy("k1", "k2").agg(F.min(F.struct(*SPOT, "h")).alias("s")).select("s.*")
+    kinds = materialise(heads.withColumn("c", F.monotonically_increasing_id()))
+    linked = similar(materialise(hub_pairs(kinds, bits, blocks)), kinds, lines, percent)
     known = written(relabelled(kinds.withColumn("root", F.col("c")), linked, ["root"]), "known")
     large = known.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("root", F.col("root").alias("p"))
-    known = known.join(large, "root", "left").withColumn("p", F.coalesce("p", F.lit(-1).cast("long")))
-    more = written(candidates(known, bits, blocks), "pairs")
-    texts = texts_of(more, kinds, lines)
-    judged = by_words(more, texts, percent)
+    more = written(candidates(known.join(large, "root", "left").withColumn("p", F.coalesce("p", F.lit(-1).cast("long"))), bits, blocks), "pairs")
     # from here on the nodes are the roots found so far
-    sure = judged.where("linked").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    still = relabelled(judged.where(~F.col("linked")).drop("linked"), sure, ["ra", "rb"]).where(F.col("ra") != F.col("rb"))
-    last = by_characters(still, texts, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    roots = relabelled(known.select("c", "root"), sure.unionByName(last), ["root"]).select(F.col("c").alias("id"), F.col("root").alias("label"))
-    lost = roots.where(F.col("id") != F.col("label")).select(F.col("id").alias("c"))
-    stay = kinds.join(lost, "c", "left_anti").select(*SPOT)
+    links = similar(more, kinds, lines, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    stay = relabelled(known.select("root", *SPOT), links, ["root"]).groupBy("root").agg(F.min(F.struct(*SPOT)).alias("s")).select("s.*")
     both = lines.select(*SPOT, F.lit(False).alias("stays")).unionByName(stay.withColumn("stays", F.lit(True)))
     number = lambda on: F.collect_set(F.when(F.col("stays") == on, F.col("line")))
     return both.groupBy("id", "t").agg(F.array_except(number(False), number(True)).alias("gone")).where(F.size("gone") > 0)
