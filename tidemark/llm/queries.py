@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, line_dedup, merkle, mixing, near_dedup, quality, shard, substring_dedup, url_filter, warc
+from . import bpe, chat, decontaminate, line_dedup, merkle, mixing, near_dedup, quality, shard, substring_dedup, trie, url_filter, warc
 from .common import read
 
 
@@ -52,9 +52,13 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op11(read(spark, sf_dir, "documents"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.op12(read(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op13(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_preference, op3_decontaminate, op4_warc, op5_quality, op6_url_filter, op7_shard, op8_near_dedup, op9_mix, op10_line_dedup, op11_bpe, op13_merkle)}
-SQL = {"op1_substring": substring_dedup.OP1_SQL, "op2_preference": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op8_near_dedup": near_dedup.OP8_SQL, "op9_mix": mixing.OP9_SQL, "op13_merkle": merkle.OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_preference, op3_decontaminate, op4_warc, op5_quality, op6_url_filter, op7_shard, op8_near_dedup, op9_mix, op10_line_dedup, op11_bpe, op12_trie, op13_merkle)}
+SQL = {"op1_substring": substring_dedup.OP1_SQL, "op2_preference": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op8_near_dedup": near_dedup.OP8_SQL, "op9_mix": mixing.OP9_SQL, "op12_trie": trie.OP12_SQL, "op13_merkle": merkle.OP13_SQL}
