@@ -19,6 +19,11 @@ def climatology(train: DataFrame, test: DataFrame, key: str, by: list[str], y: s
     return out.withColumn(name, best).drop("__n", "__m", "__o", "__p", "__g")
 
 
+def quantiles(df: DataFrame, by: list[str], col: str, qs: list[float]) -> DataFrame:
+    """(by, q): exact quantiles, interpolated."""
+    return df.groupBy(*by).agg(F.percentile(col, F.array(*[F.lit(q) for q in qs])).alias("q"))
+
+
 def thresholds(df: DataFrame, key: str, y: str = "y", q: float = 0.9, min_rows: int = 20) -> DataFrame:
     """(key, thr): the exact quantile of a key's rows, null under min_rows."""
     return df.groupBy(key).agg(F.when(F.count(y) >= min_rows, F.percentile(y, F.lit(q))).alias("thr"))

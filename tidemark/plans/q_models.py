@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..operators import metrics as M
-from ..operators.asof import asof, recency
-from ..operators.flux import mdc_fill
-from ..operators.gaps import interpolate
-from ..operators.grid import lags, lookback_arrays
+from ..operators.grid import lags
 from ..operators.qc import confusion
 from ..sources.scratch import scratch
 from . import backtest as B
 from . import models as ML
 from .q_series import LENGTHS, REPS, cv_scores, scenarios
-from .registry import PANEL, daily, panel, query, r, readings
+from .registry import PANEL, daily, panel, query, r
 
 c, lit = F.col, F.lit
 FEATURES = ["y_lag1", "y_lag2", "y_lag7", "n_lag1", "hs", "hc"]
@@ -131,54 +128,6 @@ def l12(spark, sf):
     return union([scored(union(solo), ["series"], "solo"), scored(full, ["series"], "full"), scored(part, ["series"], "partial")])
 
 
-def _ablation(name, groups):
-    @query(name)
-    def run(spark, sf):
-        train, test = halves(spark, sf)
-        return union([scored(ML.predict(ML.fit("lr", train, cols), test), ["series"], label) for label, cols in groups.items()])
-    return run
-
-
-_ablation("l13_ablation", {"base": ["hs", "hc"], "base+lags": ["hs", "hc", "y_lag1", "y_lag2", "y_lag7"], "base+counts": ["hs", "hc", "n_lag1"]})
-_ablation("l14_lag_test", {"without": ["hs", "hc", "n_lag1"], "with": FEATURES})
-
-
-@query("l14_met_fill_test")
-def l14_met(spark, sf):
-    """Meteorology as observed, its holes left to the imputer, against filled by the diurnal course; the same rows in both."""
-    h, cut = tower_frame(spark, sf)
-    filled = mdc_fill(h.select("series", "t", "ta"), ["series"], "ta", "ta_f").select("series", "t", "ta_f")
-    path = scratch(spark, "met-fill")
-    h.join(filled, ["series", "t"]).write.parquet(path)
-    rows = spark.read.parquet(path)
-    ab = {"observed": CLOCK, "filled": ["ta_f", *CLOCK[1:]]}
-    return union([scored(ML.predict(ML.fit("lr", rows.where(c("t") < cut), cols), rows.where(c("t") >= cut)), ["series"], name) for name, cols in ab.items()])
-
-
-@query("l14_management_test")
-def l14_management(spark, sf):
-    """With and without the recency of the last event (a reading over 200), on fixed rows."""
-    h, cut = tower_frame(spark, sf)
-    events = readings(spark, sf).where(c("value") > 200).groupBy("series", "t").agg(F.max("value").alias("value"))
-    path = scratch(spark, "management")
-    known = asof(h, events, ["series"], "value")
-    known.withColumn("recent", recency((c("t") - c("event_t")) / 24.0, 14)).drop("event_t", "event_value").write.parquet(path)
-    rows = spark.read.parquet(path)
-    ab = {"without": CLOCK, "with": [*CLOCK, "recent"]}
-    return union([scored(ML.predict(ML.fit("lr", rows.where(c("t") < cut), cols), rows.where(c("t") >= cut)), ["series"], name) for name, cols in ab.items()])
-
-
-@query("l15_transformed_target")
-def l15(spark, sf):
-    train, test = halves(spark, sf)
-    z = lambda d: d.withColumn("z", F.asinh("y"))
-    model = ML.fit("lr", z(train), FEATURES, label="z")
-    fitted = ML.predict(model, z(train))
-    q = fitted.agg(F.percentile(c("z") - c("p"), F.array(*[lit(0.01 + 0.98 * i / 255) for i in range(256)])).alias("q"))  # one row
-    out = ML.predict(model, z(test)).join(F.broadcast(q)).withColumn("p", X.smear(c("p"), c("q"))).drop("q")
-    return scored(out, ["series"], "asinh")
-
-
 @query("l18_permutation")
 def l18(spark, sf):
     train, test = halves(spark, sf)
@@ -195,17 +144,6 @@ for _n in ("l19_importance", "o3_top_importances"):
         return spark.createDataFrame(ranked, "feature string, importance double").orderBy(c("importance").desc()).limit(5)
 
 
-@query("l21_decomposition_linear")
-def l21(spark, sf):
-    h = interpolate(panel(spark, sf), ["series"], "y", "f").select("series", "t", c("f").alias("y"))
-    a = lookback_arrays(h, ["series"], "y", 12, 1).withColumn("tr", X.moving_average(c("past"), 5))
-    cols = [f"trend{i}" for i in range(12)] + [f"rest{i}" for i in range(12)]
-    a = a.select("series", "t", c("future")[0].alias("y"), *[c("tr")[i].alias(f"trend{i}") for i in range(12)], *[(c("past")[i] - c("tr")[i]).alias(f"rest{i}") for i in range(12)])
-    cut = a.agg(((F.min("t") + F.max("t")) / 2).cast("long")).first()[0]
-    model = ML.fit("lr", a.where(c("t") < cut), cols, scale=True)
-    return scored(ML.predict(model, a.where(c("t") >= cut)), ["series"], "decomposition")
-
-
 @query("l23_spike_diagnostics")
 def l23(spark, sf):
     train, test = labelled(spark, sf)
