@@ -94,6 +94,22 @@ def test_partition_without_a_full_week_takes_the_base_of_all_nights(spark):
     assert out.where("reco IS NULL").count() == 0 and out.agg(F.max(F.abs(F.col("reco") - F.col("fc")))).first()[0] < 1e-6
 
 
+def test_base_respiration_runs_straight_through_a_week_without_one(spark):
+    # three weeks of hours, all dark; bases 2 and 6 around a week with too few fluxes
+    rows = [("a", h, 5.0 + h % 20, 0.0, 2.0 if h < 168 else 6.0 if h >= 336 else None) for h in range(504)]
+    df = spark.createDataFrame(rows, "s string, t long, ta double, rg double, base double").withColumn("fc", X.lloyd_taylor(F.col("base"), 200.0, F.col("ta")))
+    out = {r["t"]: r["reco"] / r["g"] for r in flux.partition_nee(df, K, "fc", "ta", "rg").withColumn("g", X.lloyd_taylor(F.lit(1.0), 200.0, F.col("ta"))).collect()}
+    for h in (0, 167, 168, 200, 251, 335, 336, 503):
+        assert out[h] == pytest.approx(2 + 4 * min(max(h - 167, 0), 169) / 169, rel=2e-3)
+
+
+def test_e0_is_found_to_a_fraction_of_a_step(spark):
+    rows = [(k, 1.0 + (i * 7) % 29, e0) for k, e0 in (("a", 187.53), ("b", 12.0), ("c", 900.0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "s string, ta double, e0 double").withColumn("fc", F.lit(3.0) * F.exp(F.col("e0") * (1 / 56.02 - 1 / (F.col("ta") + 46.02))))
+    got = {r["s"]: r["e0"] for r in flux.fit_e0(df, K, "fc", "ta", refine=True).collect()}
+    assert got["a"] == pytest.approx(187.53, abs=1e-3) and got["b"] == 30 and got["c"] == 450
+
+
 def test_friction_threshold_against_loops(spark):
     import numpy as np
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, lloyd_taylor
-from .gaps import fill_both, interpolate
+from ..sources.scratch import kept
+from .gaps import interpolate
 
 TREF, T0 = 10.0, -46.02
 
@@ -57,34 +58,66 @@ def _g(temp: Column, e0: Column) -> Column:
     return lloyd_taylor(F.lit(1.0), e0, temp, TREF, T0)
 
 
-def fit_e0(night: DataFrame, keys: list[str], fc: str, ta: str, grid: Column) -> DataFrame:
-    """(keys, e0) of least squared error on a grid of E0; for a fixed E0 the best Rref has a closed form."""
-    e = night.withColumn("e0", F.explode(grid)).withColumn("g", _g(F.col(ta), F.col("e0")))
-    sums = e.groupBy(*keys, "e0").agg(F.sum(F.col(fc) * F.col("g")).alias("fg"), F.sum(F.col("g") * F.col("g")).alias("gg"), F.sum(F.col(fc) * F.col(fc)).alias("ff"))
-    r = clip(F.col("fg") / F.col("gg"), 0.0, 60.0)
-    sums = sums.withColumn("sse", F.col("ff") - 2 * r * F.col("fg") + r * r * F.col("gg"))
-    return sums.groupBy(*keys).agg(F.min_by("e0", F.struct("sse", "e0")).alias("e0"))
+E0_LOW, E0_HIGH = 30.0, 450.0
+
+
+def _errors(night: DataFrame, keys: list[str], points: list[str]) -> DataFrame:
+    """(keys, errors): the squared error at each E0 in turn, with the best Rref for it, which has a closed form.
+
+    night: (keys, f, u), flux and exponent for an E0 of 1; points: E0 as SQL. Sums only, no row is copied.
+    """
+    sums = [F.expr(x) for i, e in enumerate(points) for x in (f"sum(f * exp(({e}) * u)) AS fg{i}", f"sum(exp(2 * ({e}) * u)) AS gg{i}")]
+    found = night.groupBy(*keys).agg(F.expr("sum(f * f) AS ff"), *sums).selectExpr("*", *[f"greatest(0D, least(60D, fg{i} / gg{i})) AS r{i}" for i in range(len(points))])
+    return found.selectExpr(*[f"`{k}`" for k in keys], "array(" + ", ".join(f"ff - 2 * r{i} * fg{i} + r{i} * r{i} * gg{i}" for i in range(len(points))) + ") AS errors")
+
+
+def fit_e0(night: DataFrame, keys: list[str], fc: str, ta: str, refine: bool = False) -> DataFrame:
+    """(keys, e0): the whole number between 30 and 450 with the least squared error, the lowest of equals.
+
+    The error has one minimum: 21 points bracket it, 15 points the bracket of these, 7 the last one. refine: from there
+    to the vertex of the parabola through the neighbours at a distance of 1, then of 0.1; an end of the range stays.
+    """
+    night = night.select(*keys, F.col(fc).cast("double").alias("f"), (F.lit(1 / (TREF - T0)) - 1 / (F.col(ta) - F.lit(T0))).alias("u"))
+    low, best = str(E0_LOW), None
+    for n, step in ((21, 21.0), (15, 3.0), (7, 1.0)):
+        start = f"{low}D" if best is None else f"least(greatest(e0 - {(n - 1) / 2 * step}D, {low}D), {E0_HIGH - (n - 1) * step}D)"
+        rows = night if best is None else night.join(best, keys)
+        errors = _errors(rows, keys, [f"{start} + {i * step}D" for i in range(n)])
+        found = errors if best is None else errors.join(best, keys)
+        best = kept(found.select(*keys, F.expr(f"{start} + (array_position(errors, array_min(errors)) - 1) * {step}D AS e0")), "e0")  # a row a key
+    for step in (1.0, 0.1) if refine else ():
+        errors = _errors(night.join(best, keys), keys, [f"e0 + {d}D" for d in (-step, 0.0, step)]).join(best, keys)
+        a, b, c = (F.get("errors", F.lit(i)) for i in range(3))
+        bend = a - 2 * b + c
+        vertex = F.col("e0") + F.when(bend > 0, F.greatest(F.lit(-step), F.least(F.lit(step), (a - c) / bend / 2 * step))).otherwise(0.0)
+        inside = (F.col("e0") > E0_LOW) & (F.col("e0") < E0_HIGH)
+        best = kept(errors.select(*keys, F.when(inside, F.greatest(F.lit(E0_LOW), F.least(F.lit(E0_HIGH), vertex))).otherwise(F.col("e0")).alias("e0")), "e0")
+    return best
 
 
 def partition_nee(df: DataFrame, keys: list[str], fc: str, ta: str, rg: str, t: str = "t", refine: bool = True) -> DataFrame:
-    """Adds reco and gpp: E0 over all nights, base respiration by weeks of at least 8 night rows, interpolated, that of all nights if there is no such week; null under 300 night rows."""
+    """Adds reco and gpp: E0 over all nights, base respiration by weeks of at least 8 night rows; null under 300 night rows.
+
+    A week's base holds in all its hours. Across weeks without one it runs in a straight line from the last hour that has
+    a base to the next one; before the first and after the last it stays. Without any, that of all nights counts.
+    """
     night = df.where((F.col(rg) < 20) & F.col(fc).isNotNull() & (F.col(ta) > -43.15))
     enough = night.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 300").select(*keys)
-    night = night.join(enough, keys, "left_semi")
-    e0 = fit_e0(night, keys, fc, ta, F.sequence(F.lit(30), F.lit(450)))
-    if refine:
-        near = night.join(e0.withColumnRenamed("e0", "__e"), keys)
-        grid = F.transform(F.sequence(F.lit(-100), F.lit(100)), lambda i: F.greatest(F.lit(30.0), F.least(F.lit(450.0), F.col("__e") + i / 100)))
-        e0 = fit_e0(near, keys, fc, ta, F.array_distinct(grid))
+    night = night.join(kept(enough, "enough"), keys, "left_semi")
     first = df.groupBy(*keys).agg(F.min(t).alias("__t0"))
+    e0 = fit_e0(night.select(*keys, fc, ta), keys, fc, ta, refine).join(first, keys)
     block = F.floor((F.col(t) - F.col("__t0")) / (7 * 24))
-    df = df.join(first, keys).withColumn("blk", block)
     g = _g(F.col(ta), F.col("e0"))
-    week = night.join(first, keys).join(e0, keys).groupBy(*keys, block.alias("blk")).agg(F.when(F.count(F.lit(1)) >= 8, clip(F.sum(F.col(fc) * g) / F.sum(g * g), 0.0, 60.0)).alias("rref"))
-    weeks = df.select(*keys, "blk").distinct().join(week, [*keys, "blk"], "left")
-    weeks = fill_both(interpolate(weeks, keys, "rref", "__i", t="blk"), keys, "__i", "rref_f", t="blk").select(*keys, "blk", F.col("rref_f").alias("rref"))
-    whole = night.join(e0, keys).groupBy(*keys).agg(clip(F.sum(F.col(fc) * g) / F.sum(g * g), 0.0, 60.0).alias("__all"))
-    out = df.join(weeks, [*keys, "blk"], "left").join(e0.join(whole, keys), keys, "left")
-    out = out.withColumn("reco", F.coalesce("rref", "__all") * _g(F.col(ta), F.col("e0")))
-    gpp = F.when(F.col("reco").isNotNull() | F.col("e0").isNotNull(), F.when(F.col(rg) < 20, 0.0).otherwise(F.when(F.col(fc).isNotNull() & F.col("reco").isNotNull(), F.greatest(F.col("reco") - F.col(fc), F.lit(0.0)))))
-    return out.withColumn("gpp", gpp).drop("__t0", "blk", "rref", "e0", "__all")
+    week = night.join(e0, keys).groupBy(*keys, block.alias("blk")).agg(F.sum(F.col(fc) * g).alias("fg"), F.sum(g * g).alias("gg"), F.count(F.lit(1)).alias("n"))
+    week = kept(week, "weeks")
+    whole = week.groupBy(*keys).agg(clip(F.sum("fg") / F.sum("gg"), 0.0, 60.0).alias("__all"))
+    base = week.where("n >= 8").select(*keys, "blk", clip(F.col("fg") / F.col("gg"), 0.0, 60.0).alias("__r"))
+    spans = df.join(first, keys).groupBy(*keys, block.alias("blk")).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).join(base, [*keys, "blk"], "left")
+    order = Window.partitionBy(*keys).orderBy("blk")  # a row a week
+    have = lambda at: F.when(F.col("__r").isNotNull(), F.struct(F.col(at).alias("t"), F.col("__r").alias("r")))
+    spans = spans.select(*keys, "blk", "__r", F.last(have("hi"), True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__p"), F.first(have("lo"), True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("__n"))
+    out = df.join(e0.join(whole, keys), keys, "left").withColumn("blk", block).join(spans, [*keys, "blk"], "left")
+    line = F.col("__p.r") + (F.col("__n.r") - F.col("__p.r")) * (F.col(t) - F.col("__p.t")) / (F.col("__n.t") - F.col("__p.t"))
+    out = out.withColumn("reco", F.coalesce("__r", line, "__p.r", "__n.r", "__all") * _g(F.col(ta), F.col("e0")))
+    day = F.when(F.col(fc).isNotNull() & F.col("reco").isNotNull(), F.greatest(F.col("reco") - F.col(fc), F.lit(0.0)))
+    return out.withColumn("gpp", F.when(F.col("e0").isNotNull(), F.when(F.col(rg) < 20, 0.0).otherwise(day))).drop("__t0", "blk", "e0", "__all", "__r", "__p", "__n")

@@ -232,10 +232,25 @@ SELECT series, arg_min(e0, ff - 2 * rr * fg + rr * rr * gg) AS e0 FROM s GROUP B
 @query("g4_e0_fit", E0_SQL)
 def g4a(spark, sf):
     night = towers(spark, sf).where("rg < 20")
-    return flux.fit_e0(night, K, "fc", "ta", F.sequence(lit(30), lit(450))).select("series", c("e0").cast("long").alias("e0"))
+    return flux.fit_e0(night, K, "fc", "ta").select("series", c("e0").cast("long").alias("e0"))
 
 
-@query("g4_partition")
+_LT = "exp({e} * (1 / (10.0 + 46.02) - 1 / (ta + 46.02)))"
+_SSE = "(SELECT series, e0, sse[1] AS a, sse[2] AS b, sse[3] AS c FROM (SELECT series, e0, list(ff - 2 * rr * fg + rr * rr * gg ORDER BY i) AS sse FROM (SELECT *, greatest(0.0, least(60.0, fg / gg)) AS rr FROM (SELECT nt.series, e0, i, sum(fc * g) AS fg, sum(g * g) AS gg, sum(fc * fc) AS ff FROM (SELECT nt.*, e0, i, " + _LT.format(e="(e0 + i * {h})") + " AS g FROM nt JOIN {src} ON {src}.series = nt.series, (SELECT unnest([-1, 0, 1]) AS i)) nt GROUP BY ALL)) GROUP BY ALL))"
+_VERTEX = "SELECT series, CASE WHEN e0 > 30 AND e0 < 450 THEN greatest(30.0, least(450.0, e0 + CASE WHEN a - 2 * b + c > 0 THEN greatest(-{h}, least({h}, (a - c) / (a - 2 * b + c) / 2 * {h})) ELSE 0 END)) ELSE e0 END AS e0 FROM "
+NEE_SQL = f"""{E0_SQL.replace(chr(10) + 'SELECT series, arg_min', ',' + chr(10) + 'z0 AS (SELECT series, arg_min').replace(' FROM s GROUP BY series', ' FROM s GROUP BY series)')},
+z1 AS ({(_VERTEX + _SSE).format(h='1.0', src='z0')}), z2 AS ({(_VERTEX + _SSE).format(h='0.1', src='z1')}),
+f0 AS (SELECT series, min(t) AS t0 FROM tw GROUP BY series),
+kw AS (SELECT nt.series, (t - t0) // 168 AS blk, sum(fc * {_LT.format(e='e0')}) AS fg, sum({_LT.format(e='e0')} ** 2) AS gg, count(*) AS n FROM nt JOIN z2 ON z2.series = nt.series JOIN f0 ON f0.series = nt.series GROUP BY ALL),
+al AS (SELECT series, greatest(0.0, least(60.0, sum(fg) / sum(gg))) AS every FROM kw GROUP BY series),
+h AS (SELECT tw.series, t, ta, fc, rg, e0, CASE WHEN n >= 8 THEN greatest(0.0, least(60.0, fg / gg)) END AS y FROM tw LEFT JOIN z2 ON z2.series = tw.series JOIN f0 ON f0.series = tw.series LEFT JOIN kw ON kw.series = tw.series AND kw.blk = (t - t0) // 168),
+nb AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN t END IGNORE NULLS) OVER up AS pt, last_value(y IGNORE NULLS) OVER up AS pv, first_value(CASE WHEN y IS NOT NULL THEN t END IGNORE NULLS) OVER dn AS nt, first_value(y IGNORE NULLS) OVER dn AS nv
+  FROM h WINDOW up AS (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), dn AS (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+rc AS (SELECT nb.series, t, fc, rg, e0, coalesce(y, pv + (nv - pv) * (t - pt) / (nt - pt), pv, nv, every) * {_LT.format(e='e0')} AS reco FROM nb LEFT JOIN al ON al.series = nb.series)
+SELECT series, t, round(reco, 4) AS reco, round(CASE WHEN e0 IS NULL THEN NULL WHEN rg < 20 THEN 0.0 WHEN fc IS NOT NULL AND reco IS NOT NULL THEN greatest(reco - fc, 0.0) END, 4) AS gpp FROM rc"""
+
+
+@query("g4_partition", NEE_SQL)
 def g4(spark, sf):
     return flux.partition_nee(towers(spark, sf), K, "fc", "ta", "rg").select("series", "t", r("reco").alias("reco"), r("gpp").alias("gpp"))
 
