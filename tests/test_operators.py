@@ -96,7 +96,7 @@ def test_partition_without_a_full_week_takes_the_base_of_all_nights(spark):
 
 def test_base_respiration_runs_straight_through_a_week_without_one(spark):
     # three weeks of hours, all dark; bases 2 and 6 around a week with too few fluxes
-    rows = [("a", h, 5.0 + h % 20, 0.0, 2.0 if h < 168 else 6.0 if h >= 336 else None) for h in range(504)]
+    rows = [("a", h, 5.0 + h % 24, 0.0, 2.0 if h < 168 else 6.0 if h >= 336 else None) for h in range(504)]
     df = spark.createDataFrame(rows, "s string, t long, ta double, rg double, base double").withColumn("fc", X.lloyd_taylor(F.col("base"), 200.0, F.col("ta")))
     out = {r["t"]: r["reco"] / r["g"] for r in flux.partition_nee(df, K, "fc", "ta", "rg").withColumn("g", X.lloyd_taylor(F.lit(1.0), 200.0, F.col("ta"))).collect()}
     for h in (0, 167, 168, 200, 251, 335, 336, 503):
