@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, lloyd_taylor
 from ..sources.scratch import kept
 from .gaps import interpolate
+from .select import quantiles
 
 TREF, T0 = 10.0, -46.02
 
@@ -39,10 +40,13 @@ def ustar_threshold(df: DataFrame, keys: list[str], ta: str, ustar: str, fc: str
     """
     night = df.where((F.col(rg) < 20) & (F.col(ustar) > 0) & F.col(fc).isNotNull() & F.col(ta).isNotNull()).select(*keys, F.col(ta).alias("ta"), F.col(ustar).alias("us"), F.col(fc).alias("fc"))
     count = df.select(*keys).distinct().join(night.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "left")
-    edges = night.groupBy(*keys).agg(F.percentile("ta", F.array(*[F.lit(i / 6) for i in range(1, 6)])).alias("te"))
+    night = kept(night, "night")
+    edges = quantiles(night, keys, "ta", [i / 6 for i in range(1, 6)], "te")
     bin_of = lambda x, e: F.aggregate(e, F.lit(0), lambda a, v: a + (x > v).cast("int"))
     rows = night.join(edges, keys).withColumn("cls", bin_of(F.col("ta"), F.col("te")))
-    inner = rows.groupBy(*keys, "cls").agg(F.percentile("us", F.array(*[F.lit(i / 20) for i in range(21)])).alias("ue"), F.count(F.lit(1)).alias("m"))
+    rows = kept(rows, "classes")
+    sizes = rows.groupBy(*keys, "cls").agg(F.count(F.lit(1)).alias("m"))
+    inner = quantiles(rows, [*keys, "cls"], "us", [i / 20 for i in range(21)], "ue").join(sizes, [*keys, "cls"])
     inner = inner.where((F.col("m") >= 50) & (F.size(F.array_distinct("ue")) >= 6))
     bins = rows.join(inner, [*keys, "cls"]).withColumn("bin", F.greatest(bin_of(F.col("us"), F.array_distinct("ue")) - 1, F.lit(0))).groupBy(*keys, "cls", "bin").agg(F.avg("us").alias("us"), F.avg("fc").alias("fc"))
     whole = Window.partitionBy(*keys, "cls")  # at most 20 bins

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import quantiles
+
 CHUNK = 1 << 12  # steps of a series that one task windows over
 
 
@@ -112,8 +114,8 @@ def quantile_bins(df: DataFrame, keys: list[str], col: str, n: int, name: str) -
 
     An edge that falls on a value differs from it by the rounding of its interpolation; up to a billionth it counts as equal.
     """
-    edges = df.groupBy(*keys).agg(F.percentile(col, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("__e"))
+    edges = quantiles(df, keys, col, [i / n for i in range(1, n)], "__e")
     edges = edges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__e")
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-    out = df.join(edges, on).drop(*[f"__k{i}" for i in range(len(keys))])
+    out = df.join(edges, on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
     return out.withColumn(name, F.when(F.col(col).isNotNull(), F.size(F.filter("__e", lambda x: F.col(col) - x > 1e-9 * F.abs(x))).cast("long"))).drop("__e")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import conformal_level
+from ..operators.select import quantiles
 
 
 def climatology(train: DataFrame, test: DataFrame, key: str, by: list[str], y: str = "y", min_rows: int = 24, name: str = "clim") -> DataFrame:
@@ -19,14 +20,10 @@ def climatology(train: DataFrame, test: DataFrame, key: str, by: list[str], y: s
     return out.withColumn(name, best).drop("__n", "__m", "__o", "__p", "__g")
 
 
-def quantiles(df: DataFrame, by: list[str], col: str, qs: list[float]) -> DataFrame:
-    """(by, q): exact quantiles, interpolated."""
-    return df.groupBy(*by).agg(F.percentile(col, F.array(*[F.lit(q) for q in qs])).alias("q"))
-
-
 def thresholds(df: DataFrame, key: str, y: str = "y", q: float = 0.9, min_rows: int = 20) -> DataFrame:
     """(key, thr): the exact quantile of a key's rows, null under min_rows."""
-    return df.groupBy(key).agg(F.when(F.count(y) >= min_rows, F.percentile(y, F.lit(q))).alias("thr"))
+    n = df.groupBy(key).agg(F.count(y).alias("__n"))
+    return n.join(quantiles(df, [key], y, [q]), key, "left").select(key, F.when(F.col("__n") >= min_rows, F.get("q", F.lit(0))).alias("thr"))
 
 
 def folds(df: DataFrame, cuts: list[tuple[int, int]], t: str = "t") -> DataFrame:
@@ -50,10 +47,10 @@ def conformal(calibration: DataFrame, test: DataFrame, by: list[str], y: str = "
 
 def quantile_bands(calibration: DataFrame, test: DataFrame, by: list[str], qs: tuple[float, ...] = (0.05, 0.5, 0.95), y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
     """test with q0, q1, ... = p + residual quantiles of its prediction bin, sorted so that they do not cross."""
-    edges = calibration.groupBy(*by).agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("__e"))
+    edges = quantiles(calibration, by, p, [i / bins for i in range(1, bins)], "__e")
     bin_ = F.aggregate("__e", F.lit(0), lambda a, e: a + (F.col(p) > e).cast("int"))
     cal = calibration.join(edges, by).withColumn("__b", bin_)
-    resid = cal.groupBy(*by, "__b").agg(F.percentile(F.col(y) - F.col(p), F.array(*[F.lit(q) for q in qs])).alias("__q"))
+    resid = quantiles(cal, [*by, "__b"], F.col(y) - F.col(p), list(qs), "__q")
     out = test.join(edges, by).withColumn("__b", bin_).join(resid, [*by, "__b"])
     ordered = F.array_sort(F.transform("__q", lambda q: F.col(p) + q))
     return out.select(*test.columns, *[F.get(ordered, i).alias(f"q{i}") for i in range(len(qs))])
@@ -80,4 +77,5 @@ def hashed(row: Column, seed: int) -> Column:
 
 
 def median_over_reps(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The exact median of each group; a group holds one row a repetition."""
     return df.groupBy(*by).agg(F.median(value).alias(value))

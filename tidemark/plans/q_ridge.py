@@ -15,6 +15,7 @@ from ..operators.asof import asof, recency
 from ..operators.flux import mdc_fill
 from ..operators.gaps import interpolate
 from ..operators.grid import complete_grid, lags, lookback_arrays
+from ..operators.select import quantiles
 from . import backtest as B
 from .q_series import CUTS, LINE, MDC
 from .registry import DAILY, PANEL, daily, panel, query, r, readings
@@ -143,7 +144,7 @@ def l15(spark, sf):
     cols = [*_PLAIN, "z"]
     model = ridge.fit(ridge.moments(rows.where(c("d") < CUT), [], cols), [], cols, {"asinh": (_PLAIN, "z")}, PENALTY)
     out = ridge.predicted(rows, cols, model, [])
-    q = B.quantiles(out.where(c("d") < CUT).withColumn("e", c("z") - c("p")), [], "e", [0.01 + 0.98 * i / 255 for i in range(256)])
+    q = quantiles(out.where(c("d") < CUT).withColumn("e", c("z") - c("p")), [], "e", [0.01 + 0.98 * i / 255 for i in range(256)])
     out = out.where(c("d") >= CUT).join(F.broadcast(q.select(c("q").alias("e")))).withColumn("p", X.smear(c("p"), c("e")))  # one row
     err = F.avg((c("y") - c("p")) ** 2)
     return out.groupBy("series", "model").agg(r(F.sqrt(err)).alias("RMSE"), r(1 - err / F.nullif(F.var_pop("y"), lit(0.0))).alias("R2"), F.count(lit(1)).alias("n_test"))

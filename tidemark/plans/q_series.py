@@ -12,6 +12,7 @@ from ..operators import flux, gaps, metrics as M
 from ..operators.asof import mds
 from ..operators.grid import align, expand_daily, ffill_limit, lags, last_known, lookback_arrays, quantile_bins, rolling
 from ..operators.qc import confusion
+from ..operators.select import medians
 from ..sources.scratch import scratch
 from . import backtest as B
 from .registry import DAILY, PANEL, daily, panel, query, r, readings, table
@@ -145,7 +146,9 @@ def x19(spark, sf):
 @query("a33_gap_buckets", f"{HP}, {RUNS} SELECT series, count(*) FILTER (steps = 1) AS one, count(*) FILTER (steps BETWEEN 2 AND 288) AS days12, count(*) FILTER (steps BETWEEN 289 AND 720) AS days30, count(*) FILTER (steps > 720) AS longer, max(steps) AS longest, median(steps) AS med FROM rn GROUP BY series")
 def a33(spark, sf):
     n = c("steps")
-    return gaps.gap_runs(panel(spark, sf), K, "y").groupBy("series").agg(F.count_if(n == 1).alias("one"), F.count_if(n.between(2, 288)).alias("days12"), F.count_if(n.between(289, 720)).alias("days30"), F.count_if(n > 720).alias("longer"), F.max(n).alias("longest"), F.median(n).alias("med"))
+    runs = gaps.gap_runs(panel(spark, sf), K, "y")
+    counts = runs.groupBy("series").agg(F.count_if(n == 1).alias("one"), F.count_if(n.between(2, 288)).alias("days12"), F.count_if(n.between(289, 720)).alias("days30"), F.count_if(n > 720).alias("longer"), F.max(n).alias("longest"))
+    return counts.join(medians(runs, K, "steps"), "series")
 
 
 @query("o2_top_gaps", f"{HP}, {RUNS} SELECT series, start, steps FROM rn ORDER BY steps DESC, series, start LIMIT 10")

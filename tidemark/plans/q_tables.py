@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..operators import qc
 from ..operators.grid import complete_grid, days, expand_daily, hours, resample_mean
+from ..operators.select import medians, quantiles
 from ..sources.io import manifest, scan_csv, write_layer, write_ledger
 from ..sources.scratch import scratch
 from .registry import DAILY, PANEL, daily, panel, query, r, readings, table
@@ -419,7 +420,8 @@ def a9(spark, sf):
 
 @query("a10_ribbon", f"{D24} SELECT d, round(quantile_cont(y, 0.05), 4) AS q05, round(quantile_cont(y, 0.5), 4) AS q50, round(quantile_cont(y, 0.95), 4) AS q95 FROM z GROUP BY ALL")
 def a10(spark, sf):
-    q = panel(spark, sf).groupBy(F.floor(c("t") / 24).alias("d")).agg(F.percentile("y", F.array(lit(0.05), lit(0.5), lit(0.95))).alias("q"))
+    p = panel(spark, sf).select(F.floor(c("t") / 24).alias("d"), "y")
+    q = p.select("d").distinct().join(quantiles(p, ["d"], "y", [0.05, 0.5, 0.95]), "d", "left")
     return q.select("d", *[r(c("q")[i]).alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
 
 
@@ -446,13 +448,15 @@ def a11b(spark, sf):
 
 @query("a12_median_by_hour", f"WITH {PANEL} SELECT t % 24 AS hr, round(median(y), 4) AS y FROM h GROUP BY ALL")
 def a12(spark, sf):
-    return panel(spark, sf).groupBy(F.pmod("t", lit(24)).alias("hr")).agg(r(F.median("y")).alias("y"))
+    return medians(panel(spark, sf).withColumn("hr", F.pmod("t", lit(24))), ["hr"], "y", "y").select("hr", r("y").alias("y"))
 
 
 @query("a13_annual", "SELECT year(o_orderdate) AS yr, round(median(o_totalprice), 2) AS med, round(stddev_samp(o_totalprice), 2) AS sd, count(*) AS n, round(stddev_samp(o_totalprice) / sqrt(count(*)), 4) AS se FROM orders GROUP BY ALL")
 def a13(spark, sf):
     v = F.stddev_samp("o_totalprice")
-    return table(spark, sf, "orders").groupBy(F.year("o_orderdate").cast("long").alias("yr")).agg(r(F.median("o_totalprice"), 2).alias("med"), r(v, 2).alias("sd"), F.count(lit(1)).alias("n"), r(v / F.sqrt(F.count(lit(1)))).alias("se"))
+    o = table(spark, sf, "orders").withColumn("yr", F.year("o_orderdate").cast("long"))
+    med = medians(o, ["yr"], "o_totalprice").select("yr", r("med", 2).alias("med"))
+    return med.join(o.groupBy("yr").agg(r(v, 2).alias("sd"), F.count(lit(1)).alias("n"), r(v / F.sqrt(F.count(lit(1)))).alias("se")), "yr")
 
 
 @query("a14_correlation", f"WITH {PANEL} SELECT series, round(corr(y, ta), 4) AS y_ta, round(corr(y, sw), 4) AS y_sw, round(corr(ta, sw), 4) AS ta_sw FROM h WHERE y IS NOT NULL AND ta IS NOT NULL GROUP BY ALL")
@@ -467,8 +471,9 @@ def a15(spark, sf):
 
 @query("a16_describe", f"WITH {PANEL} SELECT series, count(y) AS n, round(avg(y), 4) AS mean, round(stddev_samp(y), 4) AS sd, round(min(y), 4) AS lo, round(quantile_cont(y, 0.25), 4) AS q25, round(quantile_cont(y, 0.5), 4) AS q50, round(quantile_cont(y, 0.75), 4) AS q75, round(max(y), 4) AS hi FROM h GROUP BY ALL")
 def a16(spark, sf):
-    q = lambda p, n: r(F.percentile("y", lit(p))).alias(n)
-    return panel(spark, sf).groupBy("series").agg(F.count("y").alias("n"), r(F.avg("y")).alias("mean"), r(F.stddev_samp("y")).alias("sd"), r(F.min("y")).alias("lo"), q(0.25, "q25"), q(0.5, "q50"), q(0.75, "q75"), r(F.max("y")).alias("hi"))
+    h = panel(spark, sf)
+    q = quantiles(h, ["series"], "y", [0.25, 0.5, 0.75]).select("series", *[r(c("q")[i]).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    return h.groupBy("series").agg(F.count("y").alias("n"), r(F.avg("y")).alias("mean"), r(F.stddev_samp("y")).alias("sd"), r(F.min("y")).alias("lo"), r(F.max("y")).alias("hi")).join(q, "series", "left")
 
 
 @query("a17_coverage", f"WITH {PANEL} SELECT series, count(y) AS n_y, round(100.0 * count(y) / count(*), 4) AS pct_y, count(ta) AS n_ta FROM h GROUP BY ALL")
@@ -485,7 +490,9 @@ def a18(spark, sf):
 @query("a19_out_of_range", "SELECT event_type AS series, round(quantile_cont(value, 0.01), 4) AS q01, round(quantile_cont(value, 0.99), 4) AS q99, count(*) FILTER (value > 300 OR value < 1) AS n_out FROM events GROUP BY ALL")
 def a19(spark, sf):
     v = c("value")
-    return table(spark, sf, "events").groupBy(c("event_type").alias("series")).agg(r(F.percentile(v, lit(0.01))).alias("q01"), r(F.percentile(v, lit(0.99))).alias("q99"), F.count_if((v > 300) | (v < 1)).alias("n_out"))
+    e = table(spark, sf, "events").select(c("event_type").alias("series"), "value")
+    q = quantiles(e, ["series"], "value", [0.01, 0.99]).select("series", r(c("q")[0]).alias("q01"), r(c("q")[1]).alias("q99"))
+    return e.groupBy("series").agg(F.count_if((v > 300) | (v < 1)).alias("n_out")).join(q, "series", "left")
 
 
 @query("a20_split_counts", f"WITH {DAILY} SELECT series, CASE WHEN d < 10957 THEN 'train' ELSE 'test' END AS split, count(y) AS valid, count(*) AS n FROM o GROUP BY ALL")
@@ -669,7 +676,7 @@ def x6(spark, sf):
 def x7(spark, sf):
     h = panel(spark, sf).withColumn("a", F.asinh("y"))
     h = h.join(h.groupBy("series").agg(F.avg("a").alias("z")), "series")
-    q = h.groupBy("series").agg(F.any_value("z").alias("z"), F.percentile(c("a") - c("z"), F.array(*[lit(0.01 + 0.98 * i / 20) for i in range(21)])).alias("q"))
+    q = quantiles(h, ["series", "z"], c("a") - c("z"), [0.01 + 0.98 * i / 20 for i in range(21)])
     return q.select("series", r(X.smear(c("z"), c("q"))).alias("p"))
 
 
@@ -701,7 +708,7 @@ def x12(spark, sf):
 @query("x13_clip", "WITH q AS (SELECT quantile_cont(value, 0.05) AS a, quantile_cont(value, 0.95) AS b FROM events) SELECT event_id, round(greatest(a, least(b, value)), 4) AS v, greatest(10.0, least(100.0, value)) AS w FROM events, q")
 def x13(spark, sf):
     e = table(spark, sf, "events")
-    q = e.agg(F.percentile("value", lit(0.05)).alias("a"), F.percentile("value", lit(0.95)).alias("b"))
+    q = quantiles(e, [], "value", [0.05, 0.95]).select(c("q")[0].alias("a"), c("q")[1].alias("b"))  # one row
     return e.join(F.broadcast(q)).select("event_id", r(F.greatest("a", F.least("b", "value"))).alias("v"), X.clip(c("value"), 10.0, 100.0).alias("w"))
 
 
