@@ -28,13 +28,13 @@ def parts(rows: DataFrame, keys: list[str], sums: dict[str, Column] | None = Non
     sums: for each name, also the sum over the key's rows in parts before. As many rows as keys and parts together, at most.
     """
     sums = sums or {}
-    cells = rows.groupBy(*[F.col(f"`{k}`") for k in keys], PART).agg(F.min(AT).alias("first__"), F.count(F.lit(1)).alias("n__"), *[F.sum(c).alias(s) for s, c in sums.items()])
+    cells = rows.groupBy(*[F.col(f"`{k}`") for k in keys], PART).agg(F.min(AT).alias("first__"), F.count(F.lit(1)).alias("rows__"), *[F.sum(c).alias(s) for s, c in sums.items()])
     of_key = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
     before = of_key.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before__", F.coalesce(F.sum("n__").over(before), F.lit(0))).withColumn("total__", F.sum("n__").over(of_key))
+    cells = cells.withColumn("before__", F.coalesce(F.sum("rows__").over(before), F.lit(0))).withColumn("total__", F.sum("rows__").over(of_key))
     for s in sums:
         cells = cells.withColumn(s, F.coalesce(F.sum(s).over(before), F.lit(0)))
-    return cells.drop("n__")
+    return cells.drop("rows__")
 
 
 def with_parts(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,3 +60,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "n"
     rows = with_parts(rows, parts(rows, keys), keys).withColumn(out, place())
     rows = rows.withColumn(total, F.col("total__")) if total else rows
     return rows.drop(AT, PART, "first__", "before__", "total__")
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum over the rows of the key up to and with the row, in `order`. A window spans one part of one key."""
+    rows = ranged(df, keys, order)
+    cells = parts(rows, keys, {f"{s}__": c for s, c in sums.items()})
+    inside = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], PART).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
+    rows = with_parts(rows, cells, keys).select("*", *[F.sum(c).over(inside).alias(f"{s}_in__") for s, c in sums.items()])
+    rows = rows.withColumns({s: F.col(f"{s}__") + F.col(f"{s}_in__") for s in sums})
+    return rows.drop(AT, PART, "first__", "before__", "total__", *[f"{s}__" for s in sums], *[f"{s}_in__" for s in sums])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import conformal_level
+from ..operators.order import numbered, running
 from ..operators.select import quantiles
 
 
@@ -36,9 +37,8 @@ def folds(df: DataFrame, cuts: list[tuple[int, int]], t: str = "t") -> DataFrame
 def conformal(calibration: DataFrame, test: DataFrame, by: list[str], y: str = "y", p: str = "p", alpha: float = 0.1) -> DataFrame:
     """test with lo and hi = p -+ the quantile of the absolute calibration residuals, at the split-conformal level."""
     resid = calibration.select(*by, F.abs(F.col(y) - F.col(p)).alias("__r")).where(F.col("__r").isNotNull())
-    n = resid.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__at", (F.col("__n") - 1) * conformal_level(F.col("__n"), alpha))
-    # the two order statistics around the level, from ranks; nothing is gathered
-    ranked = resid.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("__r")) - 1).join(n, by)
+    # the two order statistics around the level, from ranks over a range partition; nothing is gathered
+    ranked = numbered(resid, by, [F.col("__r")], "__k", "__n").withColumn("__at", (F.col("__n") - 1) * conformal_level(F.col("__n"), alpha))
     low = F.floor("__at")
     ends = ranked.groupBy(*by).agg(F.max("__at").alias("__at"), F.max(F.when(F.col("__k") == low, F.col("__r"))).alias("__a"), F.max(F.when(F.col("__k") == low + 1, F.col("__r"))).alias("__b"))
     half = ends.select(*by, (F.col("__a") + (F.coalesce("__b", "__a") - F.col("__a")) * (F.col("__at") - F.floor("__at"))).alias("__q"))
@@ -59,9 +59,8 @@ def quantile_bands(calibration: DataFrame, test: DataFrame, by: list[str], qs: t
 def pr_curve(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """(by, threshold, precision, recall) at each distinct score, from sums per score."""
     at = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(label) > 0.5).alias("tp"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     total = df.groupBy(*by).agg(F.count_if(F.col(label) > 0.5).alias("pos"))
-    at = at.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down)).join(total, by)
+    at = running(at, by, [F.col("threshold").desc()], {"ctp": F.col("tp"), "cn": F.col("n")}).join(total, by)
     return at.select(*by, "threshold", (F.col("ctp") / F.col("cn")).alias("precision"), (F.col("ctp") / F.nullif(F.col("pos"), F.lit(0))).alias("recall"))
 
 
