@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 from test_llm_operators import DOCS, prose
 
-from tidemark.llm import mixing, near_dedup, quality
+from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality, shard
 
 
 def table(spark, rows):
@@ -45,3 +45,21 @@ def test_mix_takes_rows(spark):
         want[r["doc_id"], r["text"], "en", r["source"]] += r["copies"]
     got = tally(mixing.emit(df))
     assert got == +want and sum(got.values()) == mixing.mix(df).agg(F.sum("copies")).first()[0]
+
+
+def test_dotted_and_map_columns(spark):
+    rows = [(i, prose(60 + i, i) if i != 4 else prose(63, 3), "en", "a") for i in range(6)] + [(3, prose(70, 9), "en", "a"), (None, prose(80, 10), "en", None)]
+    df = table(spark, rows).withColumn("a.b", F.lit("x")).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    leak = spark.createDataFrame([(0, prose(70, 9))], "item_id long, text string")
+    for out in (quality.keep(df), near_dedup.keep(df), near_dedup.keep(df.where("doc_id != 3")), decontaminate.remove(df, leak), decontaminate.remove(df, leak, mode="span"), mixing.emit(df)):
+        assert out.columns == df.columns and out.where("`a.b` = 'x'").count() == out.count() > 0
+    assert shard.assign(df).columns == [*df.columns, "shard", "slot"] and line_dedup.dedup(df).where("`a.b` = 'x'").count() == len(rows)
+
+
+def test_mix_of_hashed_ids_and_empty_texts(spark):
+    """Most rows of a source share one size, under ids far apart and of any type."""
+    df = spark.range(4000).select(F.xxhash64("id").cast("string").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.lit("one two three")).otherwise("").alias("text"), F.lit("a").alias("source"))
+    out = mixing.mix(df.repartition(7))
+    assert out.count() == 4000 and out.where("size = 0 AND copies > 2").count() == 0
+    taken, aim = out.agg(F.sum("taken"), F.max("target")).first()
+    assert abs(taken - aim) <= 3

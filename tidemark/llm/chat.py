@@ -59,7 +59,7 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
 
 
 def turn_arrays(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turns): turns in order of number, then role and text; repeated rows count once, null roles and texts are empty."""
+    """(conv_id, turns): turns in order of number, then role and text; repeated rows count once, null roles and texts are empty. Rows with a null conversation id are dropped."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     turns = F.transform(F.array_sort(F.collect_set(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return conversations.where(F.col(conv_col).isNotNull()).groupBy(F.col(conv_col).alias("conv_id")).agg(turns.alias("turns"))

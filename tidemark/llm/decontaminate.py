@@ -191,7 +191,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", id_col
         return docs.join(hits, same, "left_anti")
     joined = docs.join(hits, same, "left")
     text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_cut, "string")(F.col(text_col), F.col("__spans")))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

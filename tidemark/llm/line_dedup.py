@@ -278,7 +278,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rul
     out = F.col("__gone")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
     text = F.when(out.isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[c for c in docs.columns if c != text_col], text.alias(text_col), F.size(lines).cast("long").alias("__n_lines"), F.coalesce(F.size(out), F.lit(0)).cast("long").alias("__n_removed"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], text.alias(text_col), F.size(lines).cast("long").alias("__n_lines"), F.coalesce(F.size(out), F.lit(0)).cast("long").alias("__n_removed"))
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ order of (size, id); the prefix sum of expected copies plus one random offset of
 at the integers, and a document is emitted once for each integer boundary that it crosses. Order by
 size stratifies the sample, so that the words taken come near the target.
 
-The prefix sum has three levels, so that no source, size or run of ids is gathered in one task:
-counts by (source, size, id block) are summed within (source, size) and then within source, and
-only rows of one block are ranked. A block spans `block` consecutive ids.
+Places come from a range partition by (source, size, id): what lies in the parts before is one number for each source
+and part, so no source, size, or run of ids, hashed or not, is gathered in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import parts, place, ranged, with_parts
 from .common import materialise, n_words
 
 WEIGHTS = (5, 2, 1)
@@ -48,34 +48,22 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(source, F.lit("\u0000")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block: int = 65536, with_key: bool = False, **rule) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", with_key: bool = False, **rule) -> DataFrame:
     """One row (id, source, size, source_size, target, copies, taken) per row of docs; with_key: also text_key() as `key`.
 
     A null text has size 0. Null is a source of its own, the last. A source without words takes
-    none. Repeated rows each take their own place. An empty table gives no rows. Other columns are
-    not read. Ids must be integers; they need not be unique.
+    none. Repeated rows each take their own place; rows of one source, size and id stand by the hash of their text. An empty
+    table gives no rows. Other columns are not read. Ids of any type that can be ordered will do; they need not be unique.
     """
-    key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit(""))  # noqa: E731  null-safe join key
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key(F.col(source_col)).alias("k"), n_words(F.col(text_col)).alias("size"))
-    own_key = ["key"] * with_key
-    sized = sized if not with_key else docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key(F.col(source_col)).alias("k"), n_words(F.col(text_col)).alias("size"), text_key(text_col).alias("key"))
-    sized = sized.withColumn("block", F.floor(F.coalesce(F.col("id"), F.lit(0)) / F.lit(block)))
-    cells = sized.groupBy("k", "size", "block").agg(F.count(F.lit(1)).alias("n"))
-    by_size = cells.groupBy("k", "size").agg(F.sum("n").alias("n"))
-    in_size = Window.partitionBy("k", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    in_source = Window.partitionBy("k").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    base = cells.withColumn("before", F.coalesce(F.sum("n").over(in_size), F.lit(0))).drop("n").join(
-        by_size.withColumn("smaller", F.coalesce(F.sum("n").over(in_source), F.lit(0))).drop("n"), ["k", "size"]
-    ).select("k", "size", "block", (F.col("before") + F.col("smaller")).alias("base"))
-    totals = by_size.groupBy("k").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    aims = targets(totals.withColumn("source", F.when(F.col("k") != "", F.expr("substring(k, 2)"))), "source", **rule).drop("source")
-    rank = F.row_number().over(Window.partitionBy("k", "size", "block").orderBy("id", *own_key))
-    rows = sized.withColumn("rank", rank).join(base, ["k", "size", "block"]).join(aims, "k")
+    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), text_key(f"`{text_col}`").alias("key"))
+    rows = ranged(sized, ["source"], [F.col("size"), F.col("id").asc_nulls_first(), F.col("key")])
+    aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source", **rule).withColumnRenamed("source", "of__")
+    cells = parts(rows, ["source"]).join(aims, F.col("source").eqNullSafe(F.col("of__"))).drop("of__")
+    rows = with_parts(rows, materialise(cells), ["source"]).withColumn("place", place() + 1)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    place = F.col("base") + F.col("rank")
     cut = lambda n: F.floor(offset(F.col("source"), seed) + expected * n)
-    return rows.withColumn("copies", (cut(place) - cut(place - 1)).cast("long")).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *own_key)
+    return rows.withColumn("copies", (cut(F.col("place")) - cut(F.col("place") - 1)).cast("long")).select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *["key"] * with_key)
 
 
 def text_key(text_col: str) -> Column:
@@ -90,15 +78,15 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     numbers of copies one each.
     """
     names = {id_col: "__id", source_col: "__source", "key": "__key"}
-    groups = mix(docs, id_col, text_col, source_col, with_key=True, **rule).groupBy(*[F.col(c).alias(n) for c, n in names.items()])
+    groups = mix(docs, id_col, text_col, source_col, with_key=True, **rule).groupBy(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     groups = materialise(groups.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__c")))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (text_key(text_col) == F.col("__key"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (text_key(f"`{text_col}`") == F.col("__key"))
     once, often = groups.where("size(__c) = 1"), groups.where("size(__c) > 1")
     joined = docs.join(once, same).withColumn("__t", F.get("__c", F.lit(0)))
     if not often.isEmpty():
         turn = F.row_number().over(Window.partitionBy(*names.values()).orderBy(F.lit(1))) - 1
         joined = joined.unionByName(docs.join(often, same).withColumn("__t", turn).withColumn("__t", F.get("__c", F.col("__t"))))
-    return joined.where("__t > 0").withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("__t").cast("int")))).select(*docs.columns)
+    return joined.where("__t > 0").withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("__t").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -268,7 +268,8 @@ def keep(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
         found = near_duplicates(part, percent, "__n", text_col, **rule).where(F.col("__n") == F.col("component_id")).select("__n")
         heads = found if heads is None else heads.unionByName(found)
     kept = rows.join(heads.distinct(), "__n", "left_semi")
-    return kept.groupBy("__n").agg(F.min(F.struct(*docs.columns)).alias("__m")).select("__m.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # of rows that differ in other columns alone, the least by its JSON text, since maps have no order
+    return kept.groupBy("__n").agg(F.min_by(row, F.to_json(row)).alias("__m")).select("__m.*")
 
 
 def op8(docs: DataFrame) -> DataFrame:
