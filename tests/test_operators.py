@@ -263,29 +263,35 @@ def test_conformal_level(spark):
     assert math.isclose(spark.range(1).select(X.conformal_level(F.lit(99), 0.1)).first()[0], 90 / 99)
 
 
-def test_drawn_gaps_lay_blocks_of_given_lengths(spark):
-    from tidemark.operators import gaps
-
-    df = spark.range(200).selectExpr("'a' AS k", "id AS t", "CASE WHEN id % 9 = 0 THEN NULL ELSE 1.0 END AS y")
-    lengths = spark.createDataFrame([("a", 5, 2), ("a", 7, 1)], "k string, steps long, n long")
-    got = sorted(x.t for x in gaps.drawn_gaps(df, ["k"], "y", lengths, 0, 0.4, chunk=50).collect())
-    assert got == sorted(x.t for x in gaps.drawn_gaps(df.repartition(7), ["k"], "y", lengths, 0, 0.4, chunk=50).collect())
-    order = lambda n: (n + 7919) * 2654435761 % 1000003
-    tiles = []
-    for chunk in range(4):
-        at = i = 0
-        while at < 50:
-            n = (5, 5, 7)[order(chunk * 50 + i) % 3]
-            tiles.append((chunk * 50 + at, min(chunk * 50 + at + n, chunk * 50 + 50)))
-            at, i = at + n, i + 1
-    valid = [t for t in range(200) if t % 9]
-    want, seen = [], 0
-    for a, b in sorted(tiles, key=lambda x: (order(x[0]), x[0])):
-        if seen < 0.4 * len(valid):
-            inside = [t for t in valid if a <= t < b]
-            want += inside
-            seen += len(inside)
-    assert got == sorted(want) and len(got) >= 0.4 * len(valid)
+def thrown(domain, valid, lengths, rep, share):
+    """Blocks one after another, as they are thrown: (masked steps, blocks)."""
+    import hashlib
+
+    bits = {t: hashlib.md5(f"{t}|{rep}".encode()).hexdigest() for t in domain}
+    taken, blocks, got, aim = set(), [], 0, max(1, int(len(valid) * share))
+    for t in sorted(domain, key=lambda t: (int(bits[t][:8], 16), t)):
+        if got >= aim:
+            break
+        block = range(t, min(t + lengths[int(bits[t][8:16], 16) % len(lengths)], domain[-1] + 1))
+        if taken.isdisjoint(block):
+            taken |= set(block)
+            blocks.append(block)
+            got += len(valid & set(block))
+    return taken & valid, blocks
+
+
+@pytest.mark.parametrize("share,lengths", [(0.25, [32]), (0.25, [1]), (0.4, [5, 5, 7, 300]), (0.95, [11]), (0.3, [20_000])])
+def test_thrown_gaps_against_loops(spark, share, lengths):
+    """Also shares that blocks cannot reach, so that all starts are thrown, and blocks longer than a chunk."""
+    df = spark.range(9000).selectExpr("'a' AS k", "id + 77 AS t", "CASE WHEN id % 9 = 0 OR id BETWEEN 3000 AND 4000 THEN NULL ELSE 1.0 END AS y")
+    df = df.unionByName(spark.range(50).selectExpr("'b' AS k", "id AS t", "2.0 AS y")).unionByName(spark.range(5).selectExpr("'none' AS k", "id AS t", "CAST(NULL AS DOUBLE) AS y"))
+    drawn = df.select("k").distinct().select("k", F.explode(F.array(*[F.lit(n).cast("long") for n in sorted(set(lengths))])).alias("steps")).withColumn("n", F.lit(1))
+    drawn = drawn.withColumn("n", F.when(F.col("steps") == 5, 2).otherwise(1))
+    got = gaps.thrown_gaps(df.repartition(5), ["k"], "y", drawn, 3, share).collect()
+    for k, domain, valid in (("a", range(77, 9077), {i + 77 for i in range(9000) if i % 9 and not 3000 <= i <= 4000}), ("b", range(50), set(range(50)))):
+        want, blocks = thrown(domain, valid, sorted(lengths), 3, share)
+        assert {r["t"] for r in got if r["k"] == k} == want and sum(map(len, blocks)) == len(set().union(*blocks))
+    assert len(got) == len({(r["k"], r["t"]) for r in got}) and not any(r["k"] == "none" for r in got)
 
 
 def test_empirical_gaps_without_runs_or_rows(spark):

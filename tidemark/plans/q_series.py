@@ -258,25 +258,25 @@ def g4(spark, sf):
     return flux.partition_nee(towers(spark, sf), K, "fc", "ta", "rg").select("series", "t", r("reco").alias("reco"), r("gpp").alias("gpp"))
 
 
-GAPS = """bl AS (SELECT series, t // {n} AS b, count(*) AS n FROM h WHERE y IS NOT NULL GROUP BY ALL),
-br AS (SELECT *, ((b + 7919 * {rep}) * 2654435761) % 1000003 AS k FROM bl),
-bu AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY series ORDER BY k, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u, sum(n) OVER (PARTITION BY series) AS a FROM br),
-mk AS (SELECT h.series, h.t FROM h JOIN bu ON bu.series = h.series AND bu.b = h.t // {n} AND u < a * 0.25 WHERE y IS NOT NULL)"""
-
-
-@query("g7_calendar_gaps", f"{HP}, {GAPS.format(n=32, rep=1)} SELECT series, t FROM mk")
+#: Blocks thrown one after another, from dm (grp, rep, lo, hi, aim, lens) and vl (grp, t): lens is a list to draw from.
+THROWN = """cu AS (SELECT dm.grp, list(v ORDER BY i) AS cum FROM (SELECT grp, i, sum(ok) OVER (PARTITION BY grp ORDER BY i) AS v FROM (SELECT q.grp, q.i, CASE WHEN vl.t IS NULL THEN 0 ELSE 1 END AS ok
+  FROM (SELECT grp, unnest(range(lo, hi + 1)) AS i FROM dm) q LEFT JOIN vl ON vl.grp = q.grp AND vl.t = q.i)) w JOIN dm ON dm.grp = w.grp GROUP BY dm.grp),
+sx AS (SELECT grp, lo, hi, lens, s, md5(CAST(s AS VARCHAR) || '|' || CAST(rep AS VARCHAR)) AS z FROM (SELECT *, unnest(range(lo, hi + 1)) AS s FROM dm)),
+sg AS (SELECT grp, lo, s, CAST('0x' || substr(z, 1, 8) AS BIGINT) AS p, least(lens[CAST('0x' || substr(z, 9, 8) AS BIGINT) % len(lens) + 1], hi + 1 - s) AS g FROM sx),
+sl AS (SELECT sg.grp, list({{'p': p, 's': s, 'g': g, 'v': cum[s - lo + g] - coalesce(cum[s - lo], 0)}} ORDER BY p, s) AS rest FROM sg JOIN cu ON cu.grp = sg.grp GROUP BY sg.grp),
+th AS (SELECT sl.grp, aim, rest, CAST(0 AS HUGEINT) AS m, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS g FROM sl JOIN dm ON dm.grp = sl.grp
+  UNION ALL SELECT grp, aim, list_filter(rest[2:], lambda x: x.s >= rest[1].s + rest[1].g OR x.s + x.g <= rest[1].s), m + rest[1].v, rest[1].s, rest[1].g FROM th WHERE len(rest) > 0 AND m < aim),
+mk AS (SELECT vl.grp, vl.t FROM (SELECT grp, unnest(range(s, s + g)) AS t FROM th WHERE s IS NOT NULL) b JOIN vl ON vl.grp = b.grp AND vl.t = b.t)"""
+_REC = HP.replace("WITH", "WITH RECURSIVE", 1)
+_DOMAIN = "dm AS (SELECT h.series AS grp, 0 AS rep, min(t) AS lo, max(t) AS hi, greatest(1, floor(count(y) * {share})) AS aim, {lens} AS lens FROM h {join} GROUP BY ALL), vl AS (SELECT series AS grp, t FROM h WHERE y IS NOT NULL)"
+
+
+@query("g7_calendar_gaps", f"{_REC}, {_DOMAIN.format(share=0.25, lens='[32::BIGINT]', join='')}, {THROWN.format()} SELECT grp AS series, t FROM mk")
 def g7(spark, sf):
     return gaps.calendar_gaps(panel(spark, sf), K, "y", 32, 0)
 
 
-DRAWN = """ck{x} AS (SELECT DISTINCT {k}, t // 8192 AS ch FROM {src} WHERE y IS NOT NULL),
-dr{x} AS (SELECT ck{x}.*, i, s[((ch * 8192 + i + 7919 * ({rep} + 1)) * 2654435761) % 1000003 % len(s) + 1] AS n FROM ck{x} JOIN ls{x} USING ({k}), (SELECT unnest(generate_series(0, 8191)) AS i)),
-ti{x} AS (SELECT *, ch * 8192 + o AS b FROM (SELECT *, sum(n) OVER (PARTITION BY {k}, ch ORDER BY i) - n AS o FROM dr{x}) WHERE o < 8192),
-bv{x} AS (SELECT {src}.*, b FROM {src} ASOF JOIN ti{x} ON {on} AND {src}.t >= ti{x}.b WHERE y IS NOT NULL)"""
-EMPIRICAL = f"""{HP}, {RUNS}, ls AS (SELECT series, list_sort(list(steps)) AS s FROM rn GROUP BY series), {DRAWN.format(x='', k='series', src='h', rep=0, on='h.series = ti.series')},
-bl AS (SELECT series, b, count(*) AS n, ((b + 7919) * 2654435761) % 1000003 AS k FROM bv GROUP BY ALL),
-bu AS (SELECT series, b, sum(n) OVER (PARTITION BY series ORDER BY k, b) - n AS u, sum(n) OVER (PARTITION BY series) AS a FROM bl)
-SELECT bv.series, bv.t FROM bv JOIN bu ON bu.series = bv.series AND bu.b = bv.b AND u < a * 0.4"""
+EMPIRICAL = f"""{_REC}, {RUNS}, ls AS (SELECT series, list_sort(list(steps)) AS s FROM rn GROUP BY series), {_DOMAIN.format(share=0.4, lens='s', join='JOIN ls ON ls.series = h.series')}, {THROWN.format()} SELECT grp AS series, t FROM mk"""
 
 
 @query("g8_empirical_gaps", EMPIRICAL)
@@ -295,7 +295,9 @@ def scenarios(spark, sf, ext: bool = False):
         h = h.drop("ta").join(h.groupBy("t").agg(F.avg("ta").alias("ta")), "t")
     every = F.array(*[F.struct(lit(g).alias("gap"), lit(i).alias("rep")) for g in (*LENGTHS, 0) for i in range(REPS)])
     rows = h.where("y IS NOT NULL").withColumn("z", F.explode(every)).select("z.*", "series", "t", "y", "ta", "sw")
-    mask = gaps.calendar_gaps(rows.where("gap > 0"), SK, "y", c("gap"), c("rep")).unionByName(gaps.mixed_gaps(rows.where("gap = 0"), SK, "y", c("rep"), LENGTHS))
+    steps = F.when(c("gap") > 0, F.array(c("gap"))).otherwise(F.array(*[lit(g) for g in LENGTHS]))
+    lengths = rows.select(*SK).distinct().select(*SK, F.explode(steps.cast("array<bigint>")).alias("steps"), lit(1).alias("n"))
+    mask = gaps.thrown_gaps(rows, SK, "y", lengths, c("rep"))
     rows = rows.withColumnRenamed("y", "obs").join(mask.withColumn("m", lit(1)), [*SK, "t"], "left")
     path = scratch(spark, "scenarios")  # read by every method, on both sides of its joins
     rows.withColumn("y", F.when(c("m").isNull(), c("obs"))).drop("m").write.parquet(path)
@@ -322,14 +324,12 @@ def gap_cv(spark, sf, ext: bool = False):
     return out[0] if ext else out[0].unionByName(out[1])
 
 
-CV_SQL = f"""{HP}, sc AS (SELECT g AS gap, i AS rep FROM (VALUES (1), (4), (32), (288), (0)) a(g), (VALUES (0), (1), (2), (3), (4)) b(i)),
-rw AS (SELECT gap, rep, h.* FROM h, sc WHERE y IS NOT NULL), mx AS (SELECT * FROM rw WHERE gap = 0),
-ls_m AS (SELECT DISTINCT rep, series, [1, 4, 32, 288] AS s FROM mx), {DRAWN.format(x='_m', k='rep, series', src='mx', rep='rep', on='mx.series = ti_m.series AND mx.rep = ti_m.rep')},
-bx AS (SELECT *, t // gap AS b FROM rw WHERE gap > 0 UNION ALL SELECT * FROM bv_m),
-bl AS (SELECT gap, rep, series, b, count(*) AS n, ((b + 7919 * (rep + 1)) * 2654435761) % 1000003 AS k FROM bx GROUP BY ALL),
-bu AS (SELECT *, sum(n) OVER (PARTITION BY gap, rep, series ORDER BY k, b) - n AS u, sum(n) OVER (PARTITION BY gap, rep, series) AS a FROM bl),
+CV_SQL = f"""{_REC}, sc AS (SELECT g AS gap, i AS rep FROM (VALUES (1), (4), (32), (288), (0)) a(g), (VALUES (0), (1), (2), (3), (4)) b(i)),
+rw AS (SELECT gap, rep, series || '|' || gap || '|' || rep AS grp, h.* FROM h, sc WHERE y IS NOT NULL),
+dm AS (SELECT grp, rep, min(t) AS lo, max(t) AS hi, greatest(1, floor(count(y) * 0.25)) AS aim, CASE WHEN gap > 0 THEN [gap::BIGINT] ELSE [1, 4, 32, 288]::BIGINT[] END AS lens FROM rw GROUP BY ALL),
+vl AS (SELECT grp, t FROM rw), {THROWN.format()},
 si AS (SELECT t, avg(ta) AS sta FROM h GROUP BY t),
-cv0 AS (SELECT gap, rep, series AS own, series || '|' || gap || '|' || rep AS series, t, y AS obs, CASE WHEN u < a * 0.25 THEN NULL ELSE y END AS y, ta, sta, sw FROM bx JOIN bu USING (gap, rep, series, b) JOIN si USING (t)),
+cv0 AS MATERIALIZED (SELECT gap, rep, rw.series AS own, rw.grp AS series, rw.t, y AS obs, CASE WHEN mk.t IS NOT NULL THEN NULL ELSE y END AS y, ta, sta, sw FROM rw LEFT JOIN mk ON mk.grp = rw.grp AND mk.t = rw.t JOIN si ON si.t = rw.t),
 cve AS (SELECT * REPLACE (sta AS ta) FROM cv0),
 hm AS (SELECT series, t % 24 AS hr, avg(y) AS filled FROM cv0 WHERE y IS NOT NULL GROUP BY ALL),
 {MDS_SQL.format(src='cv0')},
