@@ -491,7 +491,7 @@ def test_mix(spark, docs, empty):
     again = mixing.mix(docs.repartition(5)).toPandas()
     cols = ["doc_id", "source", "size", "copies"]
     assert sorted(map(str, out[cols].itertuples(index=False))) == sorted(map(str, again[cols].itertuples(index=False)))
-    small = mixing.mix(docs, block=2).toPandas()
+    small = mixing.mix(docs.repartition(11)).toPandas()
     assert small.taken.sum() == out.taken.sum()
     assert mixing.mix(empty).count() == 0
     assert mixing.emit(docs).columns == docs.columns
