@@ -10,6 +10,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
+from ..sources.scratch import kept
+
 
 def _inputs(features: list[str]) -> list:
     filled = [f"__i_{f}" for f in features]
@@ -79,24 +82,22 @@ def hurdle(clf: PipelineModel | None, spike: PipelineModel, base: PipelineModel,
     return out.withColumn("p", F.col("prob") * F.col("__s") + (1 - F.col("prob")) * F.col("p")).drop("__s")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, groups: dict[str, list[str]], reps: int = 3, y: str = "y", row: str = "row") -> DataFrame:
-    """(family, rep, delta): rise of the RMSE when a family's columns are taken from another row.
+def permuted(df: DataFrame, cols: list[str], seed: int, row: str = "row") -> DataFrame:
+    """df with `cols` of another row each: a permutation of the whole table, by two numberings, of ids and of their seeded hashes. Ids must be unique."""
+    own = numbered(df.drop(*cols), [], [F.col(row)], "__n")
+    other = numbered(df.select(*cols, F.xxhash64(row, F.lit(seed)).alias("__h"), F.col(row).alias("__row")), [], [F.col("__h"), F.col("__row")], "__n")
+    return own.join(other.drop("__h", "__row"), "__n").select(*df.columns)
 
-    Rows are permuted by a seeded hash within blocks of 4096 ids, by a join on block and rank.
-    """
-    from pyspark.sql import Window
 
-    rmse = lambda d: F.sqrt(F.avg((F.col("p") - F.col(y)) * (F.col("p") - F.col(y))))
-    df = df.where(F.col(y).isNotNull()).withColumn("__b", F.floor(F.col(row) / 4096))
-    base = predict(model, df).agg(rmse(df).alias("base"))
+def permutation_importance(model: PipelineModel, df: DataFrame, groups: dict[str, list[str]], reps: int = 3, y: str = "y", row: str = "row") -> DataFrame:
+    """(family, rep, delta): rise of the RMSE when a family's columns are taken from other rows, of the whole table."""
+    rmse = F.sqrt(F.avg((F.col("p") - F.col(y)) * (F.col("p") - F.col(y))))
+    df = kept(df.where(F.col(y).isNotNull()), "rows")
+    base = predict(model, df).agg(rmse.alias("base"))
     out = None
     for name, cols in groups.items():
         for rep in range(reps):
-            own = Window.partitionBy("__b").orderBy(row)
-            other = Window.partitionBy("__b").orderBy(F.xxhash64(row, F.lit(rep)), row)
-            left = df.drop(*cols).withColumn("__r", F.row_number().over(own))
-            right = df.select("__b", row, *cols).withColumn("__r", F.row_number().over(other)).drop(row)
-            score = predict(model, left.join(right, ["__b", "__r"]).select(*df.columns)).agg(rmse(df).alias("rmse"))
+            score = predict(model, permuted(df, cols, rep, row)).agg(rmse.alias("rmse"))
             part = score.join(F.broadcast(base)).select(F.lit(name).alias("family"), F.lit(rep).alias("rep"), (F.col("rmse") - F.col("base")).alias("delta"))
             out = part if out is None else out.unionByName(part)
     return out

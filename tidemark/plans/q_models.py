@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from ..functions import scalar as X
 from ..operators import metrics as M
 from ..operators.grid import lags
 from ..operators.qc import confusion
-from ..sources.scratch import scratch
+from ..sources.scratch import kept, scratch
 from . import backtest as B
 from . import models as ML
 from .q_series import LENGTHS, REPS, cv_scores, scenarios
@@ -34,7 +35,7 @@ def matrix(spark, sf) -> DataFrame:
 
 
 def halves(spark, sf):
-    m = matrix(spark, sf).cache()
+    m = kept(matrix(spark, sf), "matrix")
     return m.where(c("d") < CUT), m.where(c("d") >= CUT)
 
 
@@ -111,7 +112,7 @@ def direct(m: DataFrame, t: str, cut: int, features: list[str], track: str, hori
 @query("l10_direct_backtest")
 def l10(spark, sf):
     """Track A in hours, track B in days."""
-    hours = hourly(spark, sf).cache()
+    hours = kept(hourly(spark, sf), "hours")
     cut = hours.agg(((F.min("t") + F.max("t")) / 2).cast("long")).first()[0]
     parts = direct(hours, "t", cut, ["y_lag1", "y_lag2", "y_lag24", "hs", "hc"], "A", (1, 6, 12, 24, 48))
     return union(parts + direct(matrix(spark, sf), "d", CUT, FEATURES, "B", (1, 3, 7, 14)))
@@ -130,10 +131,15 @@ def l12(spark, sf):
 
 @query("l18_permutation")
 def l18(spark, sf):
-    train, test = halves(spark, sf)
-    model = ML.fit("rf", train, FEATURES, numTrees=10)
-    out = ML.permutation_importance(model, test, {"history": ["y_lag1", "y_lag2", "y_lag7"], "season": ["hs", "hc"]}, 2)
-    return out.select("family", "rep", r("delta").alias("delta"))
+    """Families by horizon in days, three repetitions each."""
+    m, parts = kept(matrix(spark, sf), "matrix"), []
+    for h in (1, 7):
+        target = m.select("series", (c("d") - h).alias("d"), c("y").alias("target"))
+        a = m.withColumnRenamed("y", "y_now").join(target, ["series", "d"]).withColumnRenamed("target", "y")
+        model = ML.fit("rf", a.where(c("d") + h < CUT), ["y_now", *FEATURES], numTrees=10)
+        out = ML.permutation_importance(model, a.where(c("d") + h >= CUT), {"history": ["y_now", "y_lag1", "y_lag2", "y_lag7"], "season": ["hs", "hc"]})
+        parts.append(out.select("family", lit(h).alias("h"), "rep", r("delta").alias("delta")))
+    return union(parts)
 
 
 for _n in ("l19_importance", "o3_top_importances"):
@@ -188,9 +194,12 @@ def g5_mask(spark, sf):
     return out.groupBy("series").agg(F.count(lit(1)).alias("hours"), F.sum("mask").alias("observed"), r(F.sum(F.when(c("mask") == 1, c("filled")))).alias("total"), F.first("test_n").alias("test_n"))
 
 
-def pooled_fill(h: DataFrame, features: list[str], **params) -> DataFrame:
+def series_of(h: DataFrame) -> list[str]:
+    return [x[0] for x in h.select("series").distinct().orderBy("series").collect()]  # one per series
+
+
+def pooled_fill(h: DataFrame, features: list[str], names: list[str], **params) -> DataFrame:
     """(series, t, y, p): one forest on the observed rows of all series with a column that tells each series apart."""
-    names = [x[0] for x in h.select("series").distinct().orderBy("series").collect()]  # one per series
     told = h.select("*", *[F.when(c("series") == n, 1.0).otherwise(0.0).alias(f"is{i}") for i, n in enumerate(names)])
     model = ML.fit("rf", told, [*features, *[f"is{i}" for i in range(len(names))]], **params)
     return ML.predict(model, told).select("series", "t", "y", "p")
@@ -199,7 +208,7 @@ def pooled_fill(h: DataFrame, features: list[str], **params) -> DataFrame:
 @query("g6_pooled_fill")
 def g6(spark, sf):
     h, _ = tower_frame(spark, sf)
-    out = pooled_fill(h, CLOCK)
+    out = pooled_fill(h, CLOCK, series_of(h))
     return out.select("series", "t", r(F.coalesce("y", "p")).alias("filled"), c("y").isNotNull().cast("int").alias("mask"))
 
 
@@ -208,12 +217,16 @@ def g9_forest(spark, sf):
     """The pooled forest under the gap scenarios: for each, fitted on the rows that are not masked and scored on those that are."""
     rows = scenarios(spark, sf)
     hs, hc = X.cyclic(F.pmod("t", lit(24)), 24)
-    rows = rows.withColumn("hs", hs).withColumn("hc", hc)
-    parts = []
-    for g in (*LENGTHS, 0):
-        for i in range(REPS):
-            filled = pooled_fill(rows.where((c("gap") == g) & (c("rep") == i)), ["ta", "sw", "hs", "hc"], numTrees=10)
-            parts.append(filled.where("y IS NULL").select(lit(g).alias("gap"), lit(i).alias("rep"), "series", "t", c("p").alias("filled")))
+    rows = kept(rows.withColumn("hs", hs).withColumn("hc", hc), "forest-rows")
+    names = series_of(rows)
+    every = [(g, i) for g in (*LENGTHS, 0) for i in range(REPS)]
+
+    def filled(scenario):
+        g, i = scenario
+        out = pooled_fill(rows.where((c("gap") == g) & (c("rep") == i)), ["ta", "sw", "hs", "hc"], names, numTrees=10)
+        return out.where("y IS NULL").select(lit(g).alias("gap"), lit(i).alias("rep"), "series", "t", c("p").alias("filled"))
+    with ThreadPoolExecutor(4) as pool:  # the fits are small jobs that leave cores idle
+        parts = list(pool.map(filled, every))
     return cv_scores(union(parts), rows).select(lit("RF").alias("method"), "gap", "rep", "series", r("RMSE").alias("RMSE"), "n_test")
 
 

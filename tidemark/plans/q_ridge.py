@@ -86,6 +86,29 @@ def l13(spark, sf):
     return pooled(grid_days(spark, sf), c("d") >= CUT, ABLATION)
 
 
+_POOL_ROWS = f"""r0 AS (SELECT series, d >= {CUT} AS test, y, [l1, l2, l7, nl, sin(u), cos(u), sin(v), cos(v)] AS f FROM dm WHERE y IS NOT NULL),
+sm AS (SELECT series, avg(y) AS sy, {_vector([f'avg(f[{i}])' for i in range(1, 9)])} AS sf FROM r0 WHERE NOT test GROUP BY series),
+rw AS (SELECT 'full' AS grp, 'full' AS kind, series, test, y, f, 0.0 AS back FROM r0 UNION ALL SELECT 'solo ' || series, 'solo', series, test, y, f, 0.0 FROM r0
+  UNION ALL SELECT 'partial', 'partial', series, test, y - sy, [f[i] - sf[i] for i in range(1, 9)], sy FROM r0 JOIN sm USING (series))"""
+
+
+@query("l12_ridge_pooling", f"WITH RECURSIVE {DAYS}, {_POOL_ROWS}, {ridge_sql(8, {'ridge': list(range(8))})} SELECT series, kind AS model, {SCORES} FROM pd WHERE test GROUP BY ALL")
+def l12(spark, sf):
+    """A model of each series, one of all, and one with common slopes and a level of each series; no loop over series."""
+    rows = grid_days(spark, sf).where("y IS NOT NULL").withColumn("test", c("d") >= CUT)
+    own = rows.where("NOT test").groupBy("series").agg(*[F.avg(x).alias(f"m_{x}") for x in (*FEATURES, "y")])
+    cols, sets = [*FEATURES, "y"], {"ridge": (FEATURES, "y")}
+    mom = ridge.moments(rows, ["series", "test"], cols)
+    train, test = mom.where("NOT test").drop("test"), mom.where("test").drop("test")
+    solo = ridge.scored(test, ["series"], len(cols), ridge.fit(train, ["series"], cols, sets, PENALTY), ["series"])
+    full = ridge.scored(test, ["series"], len(cols), ridge.fit(ridge.merged(train, []), [], cols, sets, PENALTY), [])
+    level = rows.join(own, "series").select("series", "test", *[(c(x) - c(f"m_{x}")).alias(x) for x in cols])
+    about = ridge.moments(level, ["series", "test"], cols)
+    part = ridge.scored(about.where("test").drop("test"), ["series"], len(cols), ridge.fit(ridge.merged(about.where("NOT test"), []), [], cols, sets, PENALTY), [])
+    out = solo.withColumn("model", lit("solo")).unionByName(full.withColumn("model", lit("full"))).unionByName(part.withColumn("model", lit("partial")))
+    return out.select("series", "model", r("RMSE").alias("RMSE"), r("R2").alias("R2"), "n_test")
+
+
 LAG_TEST = {"without": [*COUNTS, *SEASON], "with": [*LAGS, *COUNTS, *SEASON]}
 
 

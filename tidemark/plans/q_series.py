@@ -288,20 +288,32 @@ LENGTHS, REPS = (1, 4, 32, 288), 5  # gap 0 is the mix of all lengths
 SK = ["gap", "rep", "series"]
 
 
-def scenarios(spark, sf, ext: bool = False):
-    """(gap, rep, series, t, obs, y, ta, sw): the valid rows once per scenario, y null where masked; TA of the site instead of the series' own if `ext`."""
-    h = panel(spark, sf)
-    if ext:
-        h = h.drop("ta").join(h.groupBy("t").agg(F.avg("ta").alias("ta")), "t")
-    every = F.array(*[F.struct(lit(g).alias("gap"), lit(i).alias("rep")) for g in (*LENGTHS, 0) for i in range(REPS)])
-    rows = h.where("y IS NOT NULL").withColumn("z", F.explode(every)).select("z.*", "series", "t", "y", "ta", "sw")
-    steps = F.when(c("gap") > 0, F.array(c("gap"))).otherwise(F.array(*[lit(g) for g in LENGTHS]))
-    lengths = rows.select(*SK).distinct().select(*SK, F.explode(steps.cast("array<bigint>")).alias("steps"), lit(1).alias("n"))
-    mask = gaps.thrown_gaps(rows, SK, "y", lengths, c("rep"))
-    rows = rows.withColumnRenamed("y", "obs").join(mask.withColumn("m", lit(1)), [*SK, "t"], "left")
-    path = scratch(spark, "scenarios")  # read by every method, on both sides of its joins
-    rows.withColumn("y", F.when(c("m").isNull(), c("obs"))).drop("m").write.parquet(path)
-    return spark.read.parquet(path)
+_MADE: dict[tuple, str] = {}  # tables of this session that several queries share, by application, input and name
+
+
+def shared(spark, sf, name: str, make):
+    """make() as a table of the shared folder, made once a session and input."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MADE:
+        path = scratch(spark, name)
+        make().write.parquet(path)
+        _MADE[key] = path
+    return spark.read.parquet(_MADE[key])
+
+
+def scenarios(spark, sf):
+    """(gap, rep, series, t, obs, y, ta, sta, sw): the valid rows once per scenario, y null where masked; sta is the site's TA."""
+    def make():
+        h = panel(spark, sf)
+        h = h.join(h.groupBy("t").agg(F.avg("ta").alias("sta")), "t")
+        every = F.array(*[F.struct(lit(g).alias("gap"), lit(i).alias("rep")) for g in (*LENGTHS, 0) for i in range(REPS)])
+        rows = h.where("y IS NOT NULL").withColumn("z", F.explode(every)).select("z.*", "series", "t", "y", "ta", "sta", "sw")
+        steps = F.when(c("gap") > 0, F.array(c("gap"))).otherwise(F.array(*[lit(g) for g in LENGTHS]))
+        lengths = rows.select(*SK).distinct().select(*SK, F.explode(steps.cast("array<bigint>")).alias("steps"), lit(1).alias("n"))
+        mask = gaps.thrown_gaps(rows, SK, "y", lengths, c("rep"))
+        rows = rows.withColumnRenamed("y", "obs").join(mask.withColumn("m", lit(1)), [*SK, "t"], "left")
+        return rows.withColumn("y", F.when(c("m").isNull(), c("obs"))).drop("m")
+    return shared(spark, sf, "scenarios", make)
 
 
 def cv_scores(filled, rows):
@@ -318,10 +330,12 @@ def hour_mean(rows):
 
 def gap_cv(spark, sf, ext: bool = False):
     """(method, gap, rep, series, RMSE, R2) of the hour's mean and of the similarity fill; drivers of the site if `ext`."""
-    rows = scenarios(spark, sf, ext)
-    parts = [("MDS", mds(rows, SK, "y", "ta", "sw"))] + ([] if ext else [("mean", hour_mean(rows))])
-    out = [cv_scores(f, rows).select(lit(name).alias("method"), *SK, "RMSE", "R2", "n_test") for name, f in parts]
-    return out[0] if ext else out[0].unionByName(out[1])
+    def make():
+        rows = scenarios(spark, sf)
+        parts = [("MDS", mds(rows, SK, "y", "sta" if ext else "ta", "sw"))] + ([] if ext else [("mean", hour_mean(rows))])
+        out = [cv_scores(f, rows).select(lit(name).alias("method"), *SK, "RMSE", "R2", "n_test") for name, f in parts]
+        return out[0] if ext else out[0].unionByName(out[1])
+    return shared(spark, sf, "cv-site" if ext else "cv", make)
 
 
 CV_SQL = f"""{_REC}, sc AS (SELECT g AS gap, i AS rep FROM (VALUES (1), (4), (32), (288), (0)) a(g), (VALUES (0), (1), (2), (3), (4)) b(i)),
