@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, lloyd_taylor
 from ..sources.scratch import kept
 from .gaps import interpolate
+from .grid import CHUNK, centred
+from .order import numbered
 from .select import quantiles
 
 TREF, T0 = 10.0, -46.02
 
 
-def mdc_fill(df: DataFrame, keys: list[str], col: str, name: str, windows: tuple[int, ...] = (7, 14, 28, 60), t: str = "t") -> DataFrame:
+def mdc_fill(df: DataFrame, keys: list[str], col: str, name: str, windows: tuple[int, ...] = (7, 14, 28, 60), t: str = "t", chunk: int = CHUNK) -> DataFrame:
     """Interpolation over the first two steps of a gap, then the mean of the same hour over growing windows of days, the hour's mean, the mean.
 
     Each pass sees what the one before has filled. A window counts the key's days that have a value
@@ -21,11 +23,11 @@ def mdc_fill(df: DataFrame, keys: list[str], col: str, name: str, windows: tuple
     """
     df = interpolate(df, keys, col, "__x", 2, t).withColumn("__hr", F.pmod(F.col(t), F.lit(24))).withColumn("__day", F.floor(F.col(t) / 24))
     dense = df.where(F.col("__x").isNotNull()).select(*keys, "__day").distinct()
-    dense = dense.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__day")))  # one row per day
-    df = df.join(dense, [*keys, "__day"], "left")
+    df = kept(df.join(numbered(dense, keys, [F.col("__day")], "__n"), [*keys, "__day"], "left"), "diurnal")
+    on, off = df.where("__n IS NOT NULL"), df.where("__n IS NULL")
     for w in windows:
-        frame = Window.partitionBy(*keys, "__hr", F.col("__n").isNull()).orderBy("__n").rowsBetween(-w, w)
-        df = df.withColumn("__x", F.coalesce("__x", F.when(F.col("__n").isNotNull(), F.avg("__x").over(frame))))
+        on = centred(on, [*keys, "__hr"], "__x", "__w", w, "__n", chunk).withColumn("__x", F.coalesce("__x", "__w")).drop("__w")
+    df = kept(on.unionByName(off), "diurnal")
     hour = df.groupBy(*keys, "__hr").agg(F.avg("__x").alias("__h"))
     every = df.groupBy(*keys).agg(F.avg("__x").alias("__m"))
     df = df.join(hour, [*keys, "__hr"]).join(every, keys)

@@ -66,6 +66,11 @@ def rolling(df: DataFrame, keys: list[str], col: str, n: int, fns: dict, origin:
     return over_halo(df, keys, {name: (lambda w, f=f: f(F.col(col)).over(w.rowsBetween(lo, hi))) for name, f in fns.items()}, n, 0, t, chunk)
 
 
+def centred(df: DataFrame, keys: list[str], col: str, name: str, n: int, t: str = "t", chunk: int = CHUNK) -> DataFrame:
+    """Mean of n rows before to n rows after, nulls skipped, where t counts the key's rows without gaps."""
+    return over_halo(df, keys, {name: lambda w: F.avg(col).over(w.rowsBetween(-n, n))}, n, n, t, chunk)
+
+
 def last_known(df: DataFrame, keys: list[str], value: Column, name: str, order: list[str] | None = None, t: str = "t", chunk: int = CHUNK, forward: bool = False) -> DataFrame:
     """Adds the last (forward: the next) value that is not null, up to and with the row itself.
 

@@ -19,7 +19,7 @@ from .q_series import LENGTHS, REPS, cv_scores, scenarios
 from .registry import PANEL, daily, panel, query, r
 
 c, lit = F.col, F.lit
-FEATURES = ["y_lag1", "y_lag2", "y_lag7", "n_lag1", "hs", "hc"]
+FEATURES = ["y_lag1", "y_lag2", "y_lag7", "n_lag1", "hs", "hc", "ws", "wc"]
 CUT = 10957
 
 
@@ -29,8 +29,9 @@ def matrix(spark, sf) -> DataFrame:
     m = lags(lags(o, ["series"], "y", [1, 2, 7], t="d"), ["series"], "n", [1], t="d")
     doy = F.dayofyear(F.date_add(lit("1970-01-01").cast("date"), c("d").cast("int")))
     s, k = X.cyclic(doy, 365)
+    ws, wc = X.cyclic(F.pmod("d", lit(7)), 7)
     code = F.pmod(F.crc32("series"), lit(97)).cast("long")
-    m = m.withColumn("hs", s).withColumn("hc", k).withColumn("row", c("d") * 97 + code).withColumn("n_lag1", c("n_lag1").cast("double"))
+    m = m.withColumns({"hs": s, "hc": k, "ws": ws, "wc": wc}).withColumn("row", c("d") * 97 + code).withColumn("n_lag1", c("n_lag1").cast("double"))
     return m.select("series", "d", "row", "y", *FEATURES)
 
 
@@ -57,7 +58,7 @@ def _algo(name, algo, **params):
 
 _algo("l2_random_forest", "rf")
 _algo("l3_boosted_trees", "gbt")
-_algo("l20_pca_forest", "rf", pca=4)
+_algo("l20_pca_forest", "rf", pca=7)
 
 
 def labelled(spark, sf):
@@ -137,7 +138,7 @@ def l18(spark, sf):
         target = m.select("series", (c("d") - h).alias("d"), c("y").alias("target"))
         a = m.withColumnRenamed("y", "y_now").join(target, ["series", "d"]).withColumnRenamed("target", "y")
         model = ML.fit("rf", a.where(c("d") + h < CUT), ["y_now", *FEATURES], numTrees=10)
-        out = ML.permutation_importance(model, a.where(c("d") + h >= CUT), {"history": ["y_now", "y_lag1", "y_lag2", "y_lag7"], "season": ["hs", "hc"]})
+        out = ML.permutation_importance(model, a.where(c("d") + h >= CUT), {"history": ["y_now", "y_lag1", "y_lag2", "y_lag7"], "season": ["hs", "hc"], "week": ["ws", "wc"]})
         parts.append(out.select("family", lit(h).alias("h"), "rep", r("delta").alias("delta")))
     return union(parts)
 

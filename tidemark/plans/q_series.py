@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..operators import flux, gaps, metrics as M
 from ..operators.asof import mds
-from ..operators.grid import align, expand_daily, ffill_limit, lags, last_known, lookback_arrays, quantile_bins, rolling
+from ..operators.grid import align, centred, expand_daily, ffill_limit, lags, last_known, lookback_arrays, quantile_bins, rolling
 from ..operators.qc import confusion
 from ..operators.select import medians
 from ..sources.scratch import scratch
@@ -55,8 +55,8 @@ def w5(spark, sf):
 
 @query("w6_centred", f"{HP} SELECT series, t, round(avg(y) OVER (PARTITION BY series, t % 24 ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING), 4) AS m FROM h")
 def w6(spark, sf):
-    w = Window.partitionBy("series", F.pmod("t", lit(24))).orderBy("t").rowsBetween(-7, 7)
-    return panel(spark, sf).select("series", "t", r(F.avg("y").over(w)).alias("m"))
+    h = panel(spark, sf).withColumn("hr", F.pmod("t", lit(24))).withColumn("day", F.floor(c("t") / 24))
+    return centred(h, ["series", "hr"], "y", "m", 7, "day", chunk=10).select("series", "t", r("m").alias("m"))
 
 
 @query("w7_ffill_limit", f"{HP} SELECT series, t, round(last_value(y IGNORE NULLS) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS y FROM h")

@@ -208,6 +208,21 @@ def p16(spark, sf):
     return table(spark, sf, "part").select("p_partkey", qc.classify(rules, None).alias("channel"))
 
 
+_FIELD = """f AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Inorganic Fertiliser' WHEN 1 THEN 'Organic fertiliser' WHEN 2 THEN 'Liming' WHEN 3 THEN p_name END AS application,
+  CASE p_partkey % 8 WHEN 0 THEN ' Mow' WHEN 1 THEN 'Plough ' WHEN 2 THEN 'Drilling ' || p_brand WHEN 3 THEN 'Apply Fertiliser' WHEN 4 THEN 'Baling (silage)' WHEN 5 THEN 'Chain harrow' WHEN 6 THEN p_type END AS operation FROM part)"""
+
+
+@query("p16_event_channel", f"""WITH {_FIELD}, g AS (SELECT p_partkey, coalesce(lower(application), '') AS a, coalesce(trim(operation), '') AS o FROM f)
+SELECT p_partkey, CASE WHEN contains(a, 'inorganic fertiliser') THEN 'fertN' WHEN contains(a, 'organic fertiliser') THEN 'manure' WHEN contains(a, 'liming') THEN 'lime' WHEN o IN ('Mow', 'Baling (silage)') THEN 'cut'
+  WHEN o IN ('Plough', 'Chain harrow') OR starts_with(o, 'Drilling') THEN 'cultiv' WHEN o = 'Apply Fertiliser' THEN 'fertN' END AS channel FROM g""")
+def p16_events(spark, sf):
+    """Channels of field events, whose texts are made of the parts' columns."""
+    size, key = F.pmod("p_size", lit(6)), F.pmod("p_partkey", lit(8))
+    used = F.when(size == 0, "Inorganic Fertiliser").when(size == 1, "Organic fertiliser").when(size == 2, "Liming").when(size == 3, c("p_name"))
+    done = F.when(key == 0, " Mow").when(key == 1, "Plough ").when(key == 2, F.concat(lit("Drilling "), "p_brand")).when(key == 3, "Apply Fertiliser").when(key == 4, "Baling (silage)").when(key == 5, "Chain harrow").when(key == 6, c("p_type"))
+    return table(spark, sf, "part").select("p_partkey", qc.event_channel(used, done).alias("channel"))
+
+
 @query("p17_roles", f"WITH {PANEL} SELECT a.series, a.t, round(a.y, 4) AS ar_y, round(b.ta, 4) AS fx_ta FROM h a JOIN h b ON a.series = b.series AND b.t = a.t + 6")
 def p17(spark, sf):
     from ..operators.grid import align
