@@ -1,4 +1,4 @@
-"""Exact substring dedup with compressed FM-indexes.
+"""Exact substring dedup with FM-indexes of packed bit vectors; their suffixes and seed ranks are whole 64-bit numbers.
 
 A window is n consecutive words of a document. Words covered by a window that also starts in a document
 with a smaller id are removed. Each shard holds an FM-index of its texts: the Burrows-Wheeler transform
