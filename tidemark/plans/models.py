@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered
@@ -19,17 +19,29 @@ def _inputs(features: list[str]) -> list:
     return [Imputer(strategy="mean", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features")]
 
 
+HELD = "__v"
+#: Boosting of up to 500 rounds of depth 6 at 0.05, rows and features shared at 0.8; it stops where rounds no longer lower the held-out error by a ten-thousandth.
+BOOST = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "validationIndicatorCol": HELD, "validationTol": 1e-4, "minInstancesPerNode": 10, "seed": 1}
+
+
+def held_out(features: list[str], label: str) -> Column:
+    """A fifth of the rows, by a hash of what they hold."""
+    return F.pmod(F.xxhash64(*features, label), F.lit(5)) == 0
+
+
 def regressor(algo: str, **params):
     if algo == "rf":
         return RandomForestRegressor(**{"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 5, "seed": 1} | params)
     if algo == "gbt":
-        return GBTRegressor(**{"maxIter": 10, "maxDepth": 3, "stepSize": 0.1, "seed": 1} | params)
+        return GBTRegressor(**BOOST | params)
     return LinearRegression(**{"regParam": 0.1} | params)
 
 
 def fit(algo: str, train: DataFrame, features: list[str], label: str = "y", pca: int = 0, scale: bool = False, **params) -> PipelineModel:
     """A pipeline of imputer, optional scaler and PCA, and regressor, fitted on the rows with a label."""
     train = train.where(F.col(label).isNotNull())
+    if algo == "gbt":
+        train = train.withColumn(HELD, held_out(features, label))
     stages, col = _inputs(features), "features"
     if scale or pca:
         stages.append(StandardScaler(inputCol=col, outputCol="scaled", withMean=True, withStd=True))
@@ -63,7 +75,8 @@ def fit_classifier(algo: str, train: DataFrame, features: list[str], label: str
     if algo == "rf":
         clf = RandomForestClassifier(numTrees=20, maxDepth=5, seed=1)
     else:
-        clf = GBTClassifier(maxIter=10, maxDepth=3, seed=1)
+        train = train.withColumn(HELD, held_out(features, label))
+        clf = GBTClassifier(**BOOST)
     return Pipeline(stages=[*_inputs(features), clf.setFeaturesCol("features").setLabelCol(label).setWeightCol("__w")]).fit(train)
 
 
