@@ -15,7 +15,7 @@ from ..operators.qc import confusion
 from ..sources.scratch import kept, scratch
 from . import backtest as B
 from . import models as ML
-from .q_series import LENGTHS, REPS, cv_scores, scenarios
+from .q_series import LENGTHS, REPS, cv_scores, scenarios, shared
 from .registry import PANEL, daily, panel, query, r
 
 c, lit = F.col, F.lit
@@ -213,22 +213,33 @@ def g6(spark, sf):
     return out.select("series", "t", r(F.coalesce("y", "p")).alias("filled"), c("y").isNotNull().cast("int").alias("mask"))
 
 
+def forest_cv(spark, sf, ta: str) -> DataFrame:
+    """Scores of the pooled forest under the gap scenarios, with the temperature `ta`: for each, fitted on the rows that are not masked and scored on those that are."""
+    def make():
+        hs, hc = X.cyclic(F.pmod("t", lit(24)), 24)
+        rows = kept(scenarios(spark, sf).withColumn("hs", hs).withColumn("hc", hc), "forest-rows")
+        names = series_of(rows)
+
+        def filled(scenario):
+            g, i = scenario
+            out = pooled_fill(rows.where((c("gap") == g) & (c("rep") == i)), [ta, "sw", "hs", "hc"], names, numTrees=10)
+            return out.where("y IS NULL").select(lit(g).alias("gap"), lit(i).alias("rep"), "series", "t", c("p").alias("filled"))
+        with ThreadPoolExecutor(4) as pool:  # the fits are small jobs that leave cores idle
+            return cv_scores(union(list(pool.map(filled, [(g, i) for g in (*LENGTHS, 0) for i in range(REPS)]))), rows)
+    return shared(spark, sf, f"forest-cv-{ta}", make)
+
+
 @query("g9_forest_cross_validation")
 def g9_forest(spark, sf):
-    """The pooled forest under the gap scenarios: for each, fitted on the rows that are not masked and scored on those that are."""
-    rows = scenarios(spark, sf)
-    hs, hc = X.cyclic(F.pmod("t", lit(24)), 24)
-    rows = kept(rows.withColumn("hs", hs).withColumn("hc", hc), "forest-rows")
-    names = series_of(rows)
-    every = [(g, i) for g in (*LENGTHS, 0) for i in range(REPS)]
-
-    def filled(scenario):
-        g, i = scenario
-        out = pooled_fill(rows.where((c("gap") == g) & (c("rep") == i)), ["ta", "sw", "hs", "hc"], names, numTrees=10)
-        return out.where("y IS NULL").select(lit(g).alias("gap"), lit(i).alias("rep"), "series", "t", c("p").alias("filled"))
-    with ThreadPoolExecutor(4) as pool:  # the fits are small jobs that leave cores idle
-        parts = list(pool.map(filled, every))
-    return cv_scores(union(parts), rows).select(lit("RF").alias("method"), "gap", "rep", "series", r("RMSE").alias("RMSE"), "n_test")
+    return forest_cv(spark, sf, "ta").select(lit("RF").alias("method"), "gap", "rep", "series", r("RMSE").alias("RMSE"), "n_test")
+
+
+@query("g11_forest_source_ab")
+def g11_forest(spark, sf):
+    """Drivers of the series against drivers of the site under the forest, medians over repetitions."""
+    med = lambda ta, name: B.median_over_reps(forest_cv(spark, sf, ta), ["series", "gap"], "RMSE").select("series", "gap", c("RMSE").alias(name))
+    both = med("ta", "own").join(med("sta", "site"), ["series", "gap"])
+    return both.select("series", "gap", r("own").alias("own"), r("site").alias("site"), r(c("site") - c("own")).alias("delta"))
 
 
 @query("streaming_hourly_means", "SELECT event_type AS series, count(*) AS hours FROM (SELECT event_type, date_trunc('hour', ts) AS h FROM events GROUP BY ALL) GROUP BY event_type")

@@ -17,7 +17,7 @@ from ..operators.gaps import interpolate
 from ..operators.grid import complete_grid, lags, lookback_arrays
 from ..operators.select import quantiles
 from . import backtest as B
-from .q_series import CUTS, LINE, MDC
+from .q_series import CUTS, CV_SQL, LINE, MDC, SK, scenarios
 from .registry import DAILY, PANEL, daily, panel, query, r, readings
 
 c, lit = F.col, F.lit
@@ -270,3 +270,23 @@ def l11_folds(spark, sf):
     n = F.sum("n_test")
     out = own.unionByName(donors).groupBy("series", "kind").agg(r(F.sqrt(F.sum(c("n_test") * c("RMSE") ** 2) / n)).alias("RMSE"), n.alias("n_test"))
     return out.where("n_test >= 5")
+
+
+SOURCES = {"own": ["ta", "sw", "hs", "hc"], "site": ["sta", "sw", "hs", "hc"]}
+_SOURCE_ROWS = """rw AS (SELECT gap || '|' || rep AS grp, gap, rep, own AS series, y IS NULL AS test, obs AS y, [ta, sw, sin(2 * pi() * (t % 24) / 24), cos(2 * pi() * (t % 24) / 24), sta] AS f FROM cv0)"""
+
+
+@query("g11_ridge_source_ab", f"""{CV_SQL},
+e AS (SELECT gap, rep, series, model, sqrt(avg((y - p) ** 2)) AS rmse FROM (WITH RECURSIVE {_SOURCE_ROWS}, {ridge_sql(5, {'own': [0, 1, 2, 3], 'site': [4, 1, 2, 3]})} SELECT * FROM pd) WHERE test GROUP BY ALL HAVING count(*) >= 5),
+b AS (SELECT gap, series, median(rmse) FILTER (model = 'own') AS own, median(rmse) FILTER (model = 'site') AS site FROM e GROUP BY ALL)
+SELECT gap, series, round(own, 4) AS own, round(site, 4) AS site, round(site - own, 4) + 0.0 AS delta FROM b""")
+def g11_ridge(spark, sf):
+    """Drivers of the series against drivers of the site, under a pooled ridge model for each gap scenario."""
+    hs, hc = X.cyclic(F.pmod("t", lit(24)), 24)
+    rows = scenarios(spark, sf).withColumns({"hs": hs, "hc": hc, "test": c("y").isNull()})
+    cols = ["ta", "sw", "hs", "hc", "sta", "obs"]
+    mom = ridge.moments(rows, [*SK, "test"], cols)
+    models = ridge.fit(ridge.merged(mom.where("NOT test"), ["gap", "rep"]), ["gap", "rep"], cols, {n: (fs, "obs") for n, fs in SOURCES.items()}, PENALTY)
+    scores = ridge.scored(mom.where("test").drop("test"), SK, len(cols), models, ["gap", "rep"]).where("n_test >= 5")
+    own, site = (F.median(F.when(c("model") == n, c("RMSE"))) for n in SOURCES)  # of one row a repetition
+    return scores.groupBy("gap", "series").agg(r(own).alias("own"), r(site).alias("site"), r(site - own).alias("delta")).withColumn("delta", c("delta") + 0.0)
