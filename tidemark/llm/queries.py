@@ -60,5 +60,9 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op13(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_preference, op3_decontaminate, op4_warc, op5_quality, op6_url_filter, op7_shard, op8_near_dedup, op9_mix, op10_line_dedup, op11_bpe, op12_trie, op13_merkle)}
-SQL = {"op1_substring": substring_dedup.OP1_SQL, "op2_preference": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op8_near_dedup": near_dedup.OP8_SQL, "op9_mix": mixing.OP9_SQL, "op12_trie": trie.OP12_SQL, "op13_merkle": merkle.OP13_SQL}
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.base_columns(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring, op2_preference, op3_decontaminate, op4_warc, op5_quality, op6_url_filter, op7_shard, op8_near_dedup, op9_mix, op10_line_dedup, op11_bpe, op12_trie, op13_merkle, quality_base_columns)}
+SQL = {"op1_substring": substring_dedup.OP1_SQL, "op2_preference": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_url_filter": url_filter.OP6_SQL, "op3_decontaminate": decontaminate.OP3_SQL, "op8_near_dedup": near_dedup.OP8_SQL, "op9_mix": mixing.OP9_SQL, "quality_base_columns": quality.BASE_SQL, "op12_trie": trie.OP12_SQL, "op13_merkle": merkle.OP13_SQL}
