@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..operators import flux, gaps, metrics as M
 from ..operators.asof import mds
-from ..operators.grid import align, centred, expand_daily, ffill_limit, lags, last_known, lookback_arrays, quantile_bins, rolling
+from ..operators.grid import align, centred, ffill_limit, lags, lookback_arrays, quantile_bins, rolling
 from ..operators.qc import confusion
 from ..operators.select import medians
 from ..sources.scratch import scratch
 from . import backtest as B
-from .registry import DAILY, PANEL, daily, panel, query, r, readings, table
+from .registry import DAILY, PANEL, daily, panel, query, r, table
 
 c, lit = F.col, F.lit
 K = ["series"]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..operators import qc
-from ..operators.grid import complete_grid, days, expand_daily, hours, resample_mean
+from ..operators.grid import complete_grid, days, expand_daily, hours
 from ..operators.select import medians, quantiles
 from ..sources.io import manifest, scan_csv, write_layer, write_ledger
 from ..sources.scratch import scratch
