@@ -37,6 +37,7 @@ from .common import materialise, scratch
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 MANIFEST = "uri string, bytes long, records long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
+SMALL = 32 << 20  # bytes of marks of repeated payloads that are broadcast
 
 
 def target(url: str) -> str:
@@ -205,6 +206,11 @@ def _read(batches):
             yield pa.RecordBatch.from_pylist(rows, _RECORD_SCHEMA)
 
 
+def _sent(marks: DataFrame) -> DataFrame:
+    """A materialised table of digests, broadcast if it has SMALL bytes at most."""
+    return F.broadcast(marks) if marks.count() * 160 <= SMALL else marks
+
+
 def write_packages(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, archive_bytes: int = 32 << 20) -> DataFrame:
     """Writes the pages below root and returns the manifest (uri, bytes, records), materialised.
 
@@ -217,8 +223,9 @@ def write_packages(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     small = rows.where(F.length("payload") >= least).select("page_id", "digest")
     first = small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = materialise(small.join(first, "digest").where(F.col("page_id") != F.col("refers_to")).distinct())
-    rows = rows.join(again, ["page_id", "digest"], "left").withColumn("kind", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    # both sides grow with the repeated payloads alone, and are broadcast while small; then no payload is shuffled
+    again = materialise(small.join(_sent(materialise(first)), "digest").where(F.col("page_id") != F.col("refers_to")).distinct())
+    rows = rows.join(_sent(again), ["page_id", "digest"], "left").withColumn("kind", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     return materialise(rows.select("page_id", "url", "payload", "digest", "kind", "refers_to").mapInArrow(_writer(root, archive_bytes), MANIFEST))
 
 
