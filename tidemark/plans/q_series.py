@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
@@ -291,12 +292,15 @@ _MADE: dict[tuple, str] = {}  # tables of this session that several queries shar
 
 
 def shared(spark, sf, name: str, make):
-    """make() as a table of the shared folder, made once a session and input."""
+    """make() as a table of the shared folder, made once a session and input, and again if its folder has been cleared."""
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _MADE:
-        path = scratch(spark, name)
-        make().write.parquet(path)
-        _MADE[key] = path
+    if key in _MADE:
+        try:
+            return spark.read.parquet(_MADE[key])
+        except AnalysisException:
+            del _MADE[key]
+    _MADE[key] = scratch(spark, name)
+    make().write.parquet(_MADE[key])
     return spark.read.parquet(_MADE[key])
 
 
