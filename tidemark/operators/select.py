@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import kept
 
-GATHER = 4096  # values of a group, or of one interval of it, that a task may hold at once
+GATHER = 1 << 16  # values of a group, or of one interval of it, that a task may hold at once
 BINS = 1024
 SMALL = 8 << 20  # bytes of intervals that are broadcast
 
