@@ -103,6 +103,16 @@ def test_base_respiration_runs_straight_through_a_week_without_one(spark):
         assert out[h] == pytest.approx(2 + 4 * min(max(h - 167, 0), 169) / 169, rel=2e-3)
 
 
+def test_base_respiration_runs_straight_over_thousands_of_weeks(spark):
+    # two dark weeks of hours, one hour a week for 9000 weeks, two dark weeks; no frame may look ahead without bound
+    hours = spark.range(336).select("id", F.lit(2.0).alias("base")).union(spark.range(9000).select(F.col("id") * 168 + 336, F.lit(None).cast("double"))).union(spark.range(336).select(F.col("id") + 9002 * 168, F.lit(6.0)))
+    df = hours.select(F.lit("a").alias("s"), F.col("id").alias("t"), (5.0 + F.col("id") % 24).alias("ta"), F.lit(0.0).alias("rg"), "base").withColumn("fc", X.lloyd_taylor(F.col("base"), 200.0, F.col("ta")))
+    out = flux.partition_nee(df, K, "fc", "ta", "rg")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    wrong = F.abs(F.col("reco") / X.lloyd_taylor(F.lit(1.0), 200.0, F.col("ta")) / (2 + 4 * X.clip((F.col("t") - 335) / F.lit(9002 * 168 - 335.0), 0.0, 1.0)) - 1)
+    assert out.count() == 9672 and out.agg(F.max(wrong)).first()[0] < 2e-3
+
+
 def test_e0_is_found_to_a_fraction_of_a_step(spark):
     rows = [(k, 1.0 + (i * 7) % 29, e0) for k, e0 in (("a", 187.53), ("b", 12.0), ("c", 900.0)) for i in range(400)]
     df = spark.createDataFrame(rows, "s string, ta double, e0 double").withColumn("fc", F.lit(3.0) * F.exp(F.col("e0") * (1 / 56.02 - 1 / (F.col("ta") + 46.02))))

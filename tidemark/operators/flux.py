@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, lloyd_taylor
 from ..sources.scratch import kept
 from .gaps import interpolate
-from .grid import CHUNK, centred
+from .grid import CHUNK, centred, last_known
 from .order import numbered
 from .select import quantiles
 
@@ -110,19 +110,20 @@ def partition_nee(df: DataFrame, keys: list[str], fc: str, ta: str, rg: str, t:
     night = df.where((F.col(rg) < 20) & F.col(fc).isNotNull() & (F.col(ta) > -43.15))
     enough = night.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 300").select(*keys)
     night = night.join(kept(enough, "enough"), keys, "left_semi")
-    first = df.groupBy(*keys).agg(F.min(t).alias("__t0"))
+    first = kept(df.groupBy(*keys).agg(F.min(t).alias("__t0")), "first")  # a row a key
     e0 = fit_e0(night.select(*keys, fc, ta), keys, fc, ta, refine).join(first, keys)
     block = F.floor((F.col(t) - F.col("__t0")) / (7 * 24))
     g = _g(F.col(ta), F.col("e0"))
     week = night.join(e0, keys).groupBy(*keys, block.alias("blk")).agg(F.sum(F.col(fc) * g).alias("fg"), F.sum(g * g).alias("gg"), F.count(F.lit(1)).alias("n"))
     week = kept(week, "weeks")
     whole = week.groupBy(*keys).agg(clip(F.sum("fg") / F.sum("gg"), 0.0, 60.0).alias("__all"))
+    fitted = kept(e0.join(whole, keys), "fitted")  # a row a key
     base = week.where("n >= 8").select(*keys, "blk", clip(F.col("fg") / F.col("gg"), 0.0, 60.0).alias("__r"))
-    spans = df.join(first, keys).groupBy(*keys, block.alias("blk")).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).join(base, [*keys, "blk"], "left")
-    order = Window.partitionBy(*keys).orderBy("blk")  # a row a week
+    spans = kept(df.join(first, keys).groupBy(*keys, block.alias("blk")).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).join(base, [*keys, "blk"], "left"), "spans")
     have = lambda at: F.when(F.col("__r").isNotNull(), F.struct(F.col(at).alias("t"), F.col("__r").alias("r")))
-    spans = spans.select(*keys, "blk", "__r", F.last(have("hi"), True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__p"), F.first(have("lo"), True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("__n"))
-    out = df.join(e0.join(whole, keys), keys, "left").withColumn("blk", block).join(spans, [*keys, "blk"], "left")
+    spans = last_known(spans, keys, have("hi"), "__p", t="blk")
+    spans = last_known(spans, keys, have("lo"), "__n", t="blk", forward=True).select(*keys, "blk", "__r", "__p", "__n")
+    out = df.join(fitted, keys, "left").withColumn("blk", block).join(spans, [*keys, "blk"], "left")
     line = F.col("__p.r") + (F.col("__n.r") - F.col("__p.r")) * (F.col(t) - F.col("__p.t")) / (F.col("__n.t") - F.col("__p.t"))
     out = out.withColumn("reco", F.coalesce("__r", line, "__p.r", "__n.r", "__all") * _g(F.col(ta), F.col("e0")))
     day = F.when(F.col(fc).isNotNull() & F.col("reco").isNotNull(), F.greatest(F.col("reco") - F.col(fc), F.lit(0.0)))
