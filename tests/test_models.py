@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import gaps
 from tidemark.plans import models as ML
+from tidemark.plans import q_series
+from tidemark.sources.scratch import kept
 
 
 def test_permutation_of_the_whole_table(spark):
@@ -36,3 +39,22 @@ def test_hurdle_mixes_by_probability(spark):
     base, spike = ML.fit("lr", df, ["a"], regParam=0.0), ML.fit("lr", df.withColumn("y", F.col("y") + 1000), ["a"], regParam=0.0)
     row = ML.hurdle(None, spike, base, df).where("a = 10").first()
     assert row["p"] == pytest.approx(21, abs=1e-6) and row["prob"] == 0
+
+
+def test_a_scenario_is_read_without_the_others(spark):
+    rows = q_series.scenarios(spark, "/root/testdata/sf0.001").where("gap = 4 AND rep = 1")
+    assert "PartitionFilters: [isnotnull(gap" in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() and rows.where("y IS NULL").count()
+
+
+def test_starts_of_gaps_are_drawn_by_several_tasks(spark, monkeypatch):
+    tasks = {}
+
+    def watched(df, name):
+        tasks[name] = df.rdd.getNumPartitions()
+        return kept(df, name)
+
+    monkeypatch.setattr(gaps, "kept", watched)
+    df = spark.range(50_000).select(F.lit("a").alias("s"), F.col("id").alias("t"), F.rand(1).alias("y"))
+    assert gaps.calendar_gaps(df, ["s"], "y", 32, 0).count() >= 12_500
+    assert tasks["starts"] > 1

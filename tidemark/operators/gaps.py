@@ -119,9 +119,11 @@ def thrown_gaps(df: DataFrame, keys: list[str], col: str, lengths: DataFrame, re
     span = kept(span.where("__valid > 0").join(table, keys).withColumn("__aim", F.greatest(F.lit(1), F.floor(F.col("__valid") * share))), "spans")
     valid = df.where(F.col(col).isNotNull()).select(*keys, t)
     hours = lambda blocks: blocks.select("*", F.explode(F.sequence(F.col("__s"), F.col("__s") + F.col("__g") - 1)).alias(t))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     open_, blocks, low, high = span, None, 0.0, 4 * share
     while not open_.isEmpty():
         chunks = open_.withColumn("__ch", F.explode(F.sequence(F.floor(F.col("__lo") / CHUNK), F.floor(F.col("__end") / CHUNK))))
+        chunks = chunks.repartition(parts, *keys, "__ch")  # a few rows, each of thousands of starts
         starts = chunks.withColumn("__s", F.explode(F.sequence(F.greatest("__lo", F.col("__ch") * CHUNK), F.least("__end", (F.col("__ch") + 1) * CHUNK - 1))))
         starts = starts.withColumn("__p", _hash(F.col("__s"), F.col("__rep"), 0))
         starts = starts.where((F.col("__p") >= F.lit(low * 4294967296.0) / F.col("__mean")) & (F.col("__p") < F.lit(high * 4294967296.0) / F.col("__mean")))
@@ -133,7 +135,7 @@ def thrown_gaps(df: DataFrame, keys: list[str], col: str, lengths: DataFrame, re
             both = _highest(both, keys, "__s", F.when(F.col("__old"), F.col("__s") + F.col("__g")), own=True).withColumnRenamed("__hi", "__past")
             both = _highest(both.withColumn("__back", -F.col("__s")), keys, "__back", F.when(F.col("__old"), -F.col("__s")), own=True)
             starts = both.where(~F.col("__old") & F.coalesce(F.col("__past") <= F.col("__s"), F.lit(True)) & F.coalesce(-F.col("__hi") >= F.col("__s") + F.col("__g"), F.lit(True))).select(*keys, "__s", "__g", "__p")
-        new = kept(_placed(starts, keys), "blocks")
+        new = kept(_placed(kept(starts, "starts"), keys), "blocks")
         found = hours(new).join(valid, [*keys, t]).groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__v"))
         new = kept(new.join(found, [*keys, "__s"], "left").withColumn("__v", F.coalesce("__v", F.lit(0))), "blocks")
         blocks = new if blocks is None else blocks.unionByName(new)

@@ -13,7 +13,7 @@ from ..operators.asof import mds
 from ..operators.grid import align, centred, ffill_limit, lags, lookback_arrays, quantile_bins, rolling
 from ..operators.qc import confusion
 from ..operators.select import medians
-from ..sources.scratch import scratch
+from ..sources.scratch import kept, scratch
 from . import backtest as B
 from .registry import DAILY, PANEL, daily, panel, query, r, table
 
@@ -291,8 +291,8 @@ SK = ["gap", "rep", "series"]
 _MADE: dict[tuple, str] = {}  # tables of this session that several queries share, by application, input and name
 
 
-def shared(spark, sf, name: str, make):
-    """make() as a table of the shared folder, made once a session and input, and again if its folder has been cleared."""
+def shared(spark, sf, name: str, make, by: list[str] = ()):
+    """make() as a table of the shared folder, made once a session and input, and again if its folder has been cleared; by: a folder for each value."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key in _MADE:
         try:
@@ -300,15 +300,18 @@ def shared(spark, sf, name: str, make):
         except AnalysisException:
             del _MADE[key]
     _MADE[key] = scratch(spark, name)
-    make().write.parquet(_MADE[key])
+    make().write.partitionBy(*by).parquet(_MADE[key])
     return spark.read.parquet(_MADE[key])
 
 
 def scenarios(spark, sf):
-    """(gap, rep, series, t, obs, y, ta, sta, sw): the valid rows once per scenario, y null where masked; sta is the site's TA."""
+    """(gap, rep, series, t, obs, y, ta, sta, sw): the valid rows once per scenario, y null where masked; sta is the site's TA.
+
+    A scenario has a folder of its own, so that what works on one does not read the others.
+    """
     def make():
-        h = panel(spark, sf)
-        h = h.join(h.groupBy("t").agg(F.avg("ta").alias("sta")), "t")
+        h = kept(panel(spark, sf), "panel")
+        h = kept(h.join(h.groupBy("t").agg(F.avg("ta").alias("sta")), "t"), "panel")
         every = F.array(*[F.struct(lit(g).alias("gap"), lit(i).alias("rep")) for g in (*LENGTHS, 0) for i in range(REPS)])
         rows = h.where("y IS NOT NULL").withColumn("z", F.explode(every)).select("z.*", "series", "t", "y", "ta", "sta", "sw")
         steps = F.when(c("gap") > 0, F.array(c("gap"))).otherwise(F.array(*[lit(g) for g in LENGTHS]))
@@ -316,7 +319,7 @@ def scenarios(spark, sf):
         mask = gaps.thrown_gaps(rows, SK, "y", lengths, c("rep"))
         rows = rows.withColumnRenamed("y", "obs").join(mask.withColumn("m", lit(1)), [*SK, "t"], "left")
         return rows.withColumn("y", F.when(c("m").isNull(), c("obs"))).drop("m")
-    return shared(spark, sf, "scenarios", make)
+    return shared(spark, sf, "scenarios", make, ["gap", "rep"])
 
 
 def cv_scores(filled, rows):
